@@ -457,18 +457,22 @@ _RECORD_FIELDS = ("row_id", "streamer", "start_time", "stop_time")
 
 
 def _tree_table(spark, folder, shuffle: bool) -> DataFrame:
-    """Assembled features with a part and a dense index over it, staged for repeated reading."""
+    """Features with a part and a dense index over them, staged for repeated reading."""
     table = features.tree_features(events_log(spark, folder), keep=("streamer",))
     idx = "row_id"
     if shuffle:
         table, idx = splits.shuffled_index(table), "shuffled_idx"
     table = splits.positional_split(table, idx).withColumn("train_idx", F.col(idx))
-    return models.assemble(stage_table(table, "tree-features"))
+    return stage_table(table, "tree-features")
+
+
+def _fit_and_score(estimator, table):
+    return models.fit_and_score(estimator, models.assemble(table))
 
 
 def _report(spark, folder, name, estimator, shuffle) -> DataFrame:
     table = _tree_table(spark, folder, shuffle)
-    _, scored = models.fit_and_score(estimator, table)
+    _, scored = _fit_and_score(estimator, table)
     return _with_baselines(table, scored, name)
 
 
@@ -495,29 +499,33 @@ def gbt(spark, folder):
     return _report(spark, folder, "boosted trees", models.boosted_trees(), shuffle=False)
 
 
+def _part(table: DataFrame, part: str) -> DataFrame:
+    return table.where(F.col("part") == part)
+
+
 def _search_report(table, searched) -> DataFrame:
-    scored = models.score(searched.bestModel, table.where(F.col("part") == splits.TEST))
+    scored = models.score(searched.bestModel, models.assemble(_part(table, splits.TEST)))
     return _with_baselines(table, scored, "best forest")
 
 
 @query
 def rf_grid_search(spark, folder):
     table = _tree_table(spark, folder, shuffle=True)
-    train = table.where(F.col("part") == splits.TRAIN)
+    train = models.assemble(_part(table, splits.TRAIN))
     return _search_report(table, tuning.grid_search(train, trees=(10, 20), parallelism=4))
 
 
 @query
 def rf_random_search(spark, folder):
     table = _tree_table(spark, folder, shuffle=True)
-    train = table.where(F.col("part") == splits.TRAIN)
+    train = models.assemble(_part(table, splits.TRAIN))
     return _search_report(table, tuning.random_search(train, draws=4, trees=(10, 30), parallelism=4))
 
 
 @query
 def learning_curve(spark, folder):
     table = _tree_table(spark, folder, shuffle=True)
-    train = table.where(F.col("part") == splits.TRAIN)
+    train = models.assemble(_part(table, splits.TRAIN))
     return tuning.learning_curve(train, models.default_forest(trees=5, depth=10))
 
 
@@ -525,8 +533,7 @@ def learning_curve(spark, folder):
 def linear_elastic_net(spark, folder):
     log = splits.shuffled_index(features.encoded_features(events_log(spark, folder)))
     table = stage_table(splits.positional_split(log, "shuffled_idx"), "encoded-features")
-    table = models.encode(table)
-    _, scored = models.fit_and_score(models.elastic_net(), table)
+    _, scored = models.fit_and_score(models.elastic_net(), models.encode(table))
     return _with_baselines(table, scored, "elastic net", "duration")
 
 
@@ -534,10 +541,10 @@ def linear_elastic_net(spark, folder):
 def model_roundtrip(spark, folder):
     """Save a forest, load it, and count the test rows on which the two predict differently."""
     table = _tree_table(spark, folder, shuffle=False)
-    model, scored = models.fit_and_score(models.tuned_forest(trees=20), table)
+    model, scored = _fit_and_score(models.tuned_forest(trees=20), table)
     path = scratch_path(spark, "forest")
     models.save_model(model, path)
-    loaded = models.score(RandomForestRegressionModel.load(path), table.where(F.col("part") == splits.TEST))
+    loaded = models.score(RandomForestRegressionModel.load(path), models.assemble(_part(table, splits.TEST)))
     again = loaded.select("row_id", F.col("prediction").alias("again"))
     return scored.join(again, "row_id").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -549,7 +556,7 @@ def model_roundtrip(spark, folder):
 def smoothed_comparison(spark, folder):
     """Smoothed label, model and baseline series over the test part of the boosted trees."""
     table = _tree_table(spark, folder, shuffle=False)
-    _, scored = models.fit_and_score(models.boosted_trees(rounds=20), table)
+    _, scored = _fit_and_score(models.boosted_trees(rounds=20), table)
     n = table.count()
     scored = scored.withColumn("test_idx", F.col("row_id") - (n - -(-n // 5)))
     base = metrics.baseline_scalar(table, TREE_LABEL)
@@ -561,7 +568,7 @@ def smoothed_comparison(spark, folder):
 def model_residual_bins(spark, folder):
     """Residual and prediction scatter plots of the tuned forest, as counts per cell."""
     table = _tree_table(spark, folder, shuffle=True)
-    _, scored = models.fit_and_score(models.tuned_forest(trees=20), table)
+    _, scored = _fit_and_score(models.tuned_forest(trees=20), table)
     return metrics.residual_bins(scored, width=1.0)
 
 
@@ -569,5 +576,5 @@ def model_residual_bins(spark, folder):
 def model_residual_bias(spark, folder):
     """Residuals of the tuned forest per streamer, hour and decile."""
     table = _tree_table(spark, folder, shuffle=True)
-    _, scored = models.fit_and_score(models.tuned_forest(trees=20), table)
+    _, scored = _fit_and_score(models.tuned_forest(trees=20), table)
     return metrics.residual_bias(scored)

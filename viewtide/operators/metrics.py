@@ -58,10 +58,9 @@ def baseline_scalar(df: DataFrame, label: str) -> Column:
 
 def baseline_metrics(df: DataFrame, label: str) -> DataFrame:
     """Errors on the test part when the training mean or median is predicted for every row."""
-    base = baseline_scalar(df, label)
-    errors = label_histogram(df.where(F.col("part") == TEST), label).agg(
-        *_weighted_errors(base.getField("mean"), "mean"),
-        *_weighted_errors(base.getField("median"), "median"),
+    test = label_histogram(df.where(F.col("part") == TEST), label)
+    errors = test.withColumn("_base", baseline_scalar(df, label)).agg(
+        *_weighted_errors(F.col("_base.mean"), "mean"), *_weighted_errors(F.col("_base.median"), "median")
     )
     rows = F.array(
         *[
@@ -74,13 +73,12 @@ def baseline_metrics(df: DataFrame, label: str) -> DataFrame:
 
 def baseline_residuals(df: DataFrame, label: str, row_id: str = "row_id") -> DataFrame:
     """Test rows with the label and its residual against each baseline."""
-    base = baseline_scalar(df, label)
-    actual = F.col(label)
-    return df.where(F.col("part") == TEST).select(
+    test = df.where(F.col("part") == TEST).select(row_id, F.col(label).alias("actual"))
+    return test.withColumn("_base", baseline_scalar(df, label)).select(
         row_id,
-        actual.alias("actual"),
-        (actual - base.getField("mean")).alias("residual_mean"),
-        (actual - base.getField("median")).alias("residual_median"),
+        "actual",
+        (F.col("actual") - F.col("_base.mean")).alias("residual_mean"),
+        (F.col("actual") - F.col("_base.median")).alias("residual_median"),
     )
 
 
@@ -222,10 +220,10 @@ def residual_bins(
 
 def comparison_series(scored: DataFrame, baselines: Column, idx: str, label: str, prediction: str) -> DataFrame:
     """Test rows as the four series of the comparison plot, still unsmoothed."""
-    return scored.select(
+    return scored.withColumn("_base", baselines).select(
         idx,
         F.col(label).cast("double").alias("actual"),
         F.col(prediction).alias("predicted"),
-        baselines.getField("mean").alias("mean_line"),
-        baselines.getField("median").alias("median_line"),
+        F.col("_base.mean").alias("mean_line"),
+        F.col("_base.median").alias("median_line"),
     )

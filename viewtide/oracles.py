@@ -159,9 +159,10 @@ def _one_hot() -> str:
     )
 
 
+_ABOVE = " + ".join(f"CAST(duration > bounds[{i}] AS INTEGER)" for i in range(1, 10))
 _BIAS = f"""bias AS (
         SELECT streamer, {_hour('10min')} AS hour, duration, duration - mean AS residual,
-               1 + len(list_filter(bounds, b -> duration > b)) AS decile
+               1 + {_ABOVE} AS decile
         FROM parts, base,
              (SELECT quantile_cont(duration, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS bounds
               FROM parts WHERE part = 'test')
