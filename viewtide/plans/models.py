@@ -35,14 +35,20 @@ def assemble(df: DataFrame, features: Sequence[str] = TREE_FEATURES, label: str
     return assembler.transform(df.withColumn("label", F.col(label).cast("double")))
 
 
+def _forest(**settings) -> RandomForestRegressor:
+    # With cached node ids a row does not walk every tree again at each level; two to three
+    # times faster from depth 10 on.
+    return RandomForestRegressor(cacheNodeIds=True, **settings)
+
+
 def default_forest(trees: int = FOREST_TREES, depth: int = UNLIMITED_DEPTH, seed: int = SEED) -> RandomForestRegressor:
     """Forest with all features at every split and no depth limit but Spark's own."""
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
+    return _forest(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
 
 
 def tuned_forest(trees: int = FOREST_TREES, depth: int = TUNED_DEPTH, seed: int = SEED) -> RandomForestRegressor:
     """Forest with hand-set depth and feature subset."""
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy=TWO_OF_SIX, seed=seed)
+    return _forest(numTrees=trees, maxDepth=depth, featureSubsetStrategy=TWO_OF_SIX, seed=seed)
 
 
 def boosted_trees(
@@ -94,9 +100,15 @@ def score(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("residual", F.col("label") - F.col("prediction"))
 
 
-def fit_and_score(estimator: Estimator, df: DataFrame) -> tuple[Model, DataFrame]:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an iterative fit on a table of few files; no shuffle for a large one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def fit_and_score(estimator: Estimator, df: DataFrame, row_id: str = "row_id") -> tuple[Model, DataFrame]:
     """Fit on the training part, score the test part."""
-    model = estimator.fit(df.where(F.col("part") == TRAIN))
+    model = estimator.fit(spread(df.where(F.col("part") == TRAIN), row_id))
     return model, score(model, df.where(F.col("part") == TEST))
 
 
