@@ -16,8 +16,7 @@ def planted(spark):
     table = rows.select("row_id", *noise).withColumn(
         TREE_LABEL, F.round(30 * F.col("avg_duration") + 10 * F.col("total_watch_time")).cast("bigint")
     )
-    split = splits.positional_split(splits.shuffled_index(table), "shuffled_idx")
-    return split.withColumn("train_idx", F.col("shuffled_idx")).cache()
+    return splits.positional_split(splits.shuffled_index(table, name="idx"), "idx").cache()
 
 
 @pytest.fixture(scope="module")

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from viewtide.functions import times
 from viewtide.operators import encode, metrics, splits, stats, windows
 from viewtide.operators.joins import join_back
-from viewtide.plans import features, models, tuning
-from viewtide.schema import ENCODED_NUMERIC, RAW_FIELDS, TREE_LABEL
+from viewtide.plans import evaluation, features, models, tuning
+from viewtide.plans.evaluation import ROLLING_WIDTH, part_of
+from viewtide.schema import ENCODED_NUMERIC, TREE_LABEL
 from viewtide.session import scratch_path, stage_table
 from viewtide.sources import interactions, order, records
 from viewtide.sources.adapters import events_log
@@ -25,7 +26,6 @@ from viewtide.sources.adapters import events_log
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-ROLLING_WIDTH = 50
 HEAD_ROWS = 10_000
 PLOT_SAMPLE = 2_000
 FOLDS = 5
@@ -89,12 +89,7 @@ def streamer_popularity(spark, folder):
 
 @query
 def label_range(spark, folder):
-    return metrics_label_range(events_log(spark, folder))
-
-
-def metrics_label_range(log: DataFrame) -> DataFrame:
-    test = splits.positional_split(log).where(F.col("part") == splits.TEST)
-    return stats.label_range(test, "duration")
+    return stats.label_range(part_of(_split_log(spark, folder), splits.TEST), "duration")
 
 
 # --- row-level features ---------------------------------------------------------------------
@@ -240,8 +235,8 @@ def split_shuffled(spark, folder):
 
 @query
 def split_shuffled_exact(spark, folder):
-    log = splits.shuffled_index(events_log(spark, folder).select("row_id"))
-    return splits.positional_split(log, "shuffled_idx")
+    log = events_log(spark, folder).select("row_id")
+    return splits.positional_split(splits.shuffled_index(log), "shuffled_idx", n=splits.row_count(log))
 
 
 @query
@@ -272,6 +267,7 @@ def rolling_mean(spark, folder):
 @query
 def minmax_scale(spark, folder):
     table = features.encoded_features(events_log(spark, folder)).select("row_id", *ENCODED_NUMERIC)
+    table = stage_table(table, "numeric")  # read twice: for the ranges, then to be scaled
     return rounded(encode.minmax_scale(table, ENCODED_NUMERIC), *ENCODED_NUMERIC)
 
 
@@ -343,58 +339,54 @@ def residual_bias(spark, folder):
     return rounded(metrics.residual_bias(scored), "mean_residual", "std_residual")
 
 
-def _scored_by_history(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """The split feature table, and its test rows with the user's mean duration as prediction."""
-    table = splits.positional_split(features.tree_features(events_log(spark, folder)))
+def _scored_by_history(spark, folder) -> DataFrame:
+    """Test rows of the feature table, with the user's mean duration as prediction."""
+    table = features.tree_features(_split_log(spark, folder), keep=("part",))
     test = table.where(F.col("part") == splits.TEST)
-    return table, test.withColumns({"label": F.col(TREE_LABEL), "prediction": F.col("avg_duration")})
+    return test.withColumns({"label": F.col(TREE_LABEL), "prediction": F.col("avg_duration")})
 
 
 @query
 def history_metrics(spark, folder):
-    _, scored = _scored_by_history(spark, folder)
+    scored = _scored_by_history(spark, folder)
     return rounded(metrics.regression_metrics(scored), "mae", "mse", "rmse", "r2")
 
 
 @query
 def metric_report(spark, folder):
-    _, scored = _scored_by_history(spark, folder)
+    scored = _scored_by_history(spark, folder)
     baselines = metrics.baseline_metrics(_split_log(spark, folder), "duration")
     return rounded(metrics.metric_report(metrics.regression_metrics(scored), baselines), "value", digits=FINE)
 
 
 @query
 def residual_bins(spark, folder):
-    _, scored = _scored_by_history(spark, folder)
+    scored = _scored_by_history(spark, folder)
     return metrics.residual_bins(scored, width=1.0)
 
 
 @query
 def smoothed_series(spark, folder):
     """The four smoothed series over the whole test part."""
-    return _smooth(*_history_series(spark, folder))
+    return _smoothed_history(spark, folder, None)
 
 
 @query
 def smoothed_sample(spark, folder):
     """The plot sample itself: the first 2,000 test rows, then smoothed."""
-    series, columns = _history_series(spark, folder)
-    return _smooth(series.where(F.col("test_idx") < PLOT_SAMPLE), columns)
+    return _smoothed_history(spark, folder, PLOT_SAMPLE)
 
 
-def _history_series(spark, folder):
-    _, scored = _scored_by_history(spark, folder)
+def _smoothed_history(spark, folder, sample):
     log = _split_log(spark, folder)
-    n = splits.row_count(log)
-    first_test = n - splits.test_size(n)
-    base = metrics.baseline_scalar(log, "duration")
-    scored = scored.withColumn("test_idx", F.col("row_id") - first_test)
-    series = metrics.comparison_series(scored, base, "test_idx", "label", "prediction")
-    return series, ["actual", "predicted", "mean_line", "median_line"]
-
-
-def _smooth(series, columns):
-    return rounded(windows.rolling_mean(series, "test_idx", columns, ROLLING_WIDTH), *columns)
+    series = evaluation.smoothed_comparison(
+        _scored_by_history(spark, folder),
+        metrics.baseline_scalar(log, "duration"),
+        splits.row_count(log),
+        idx="row_id",
+        sample=sample,
+    )
+    return rounded(series, "actual", "predicted", "mean_line", "median_line")
 
 
 # --- file sources ---------------------------------------------------------------------------
@@ -425,7 +417,7 @@ def scan_quarantine(spark, folder):
 
 @query
 def load_records(spark, folder):
-    """The log as one Python literal per line, every other event type with literals JSON lacks."""
+    """The log as one Python literal per line, two event types with literals JSON lacks."""
     schema = T.StructType(
         [
             T.StructField("row_id", T.LongType()),
@@ -441,7 +433,8 @@ def load_records(spark, folder):
     )
     text = scratch_path(spark, "records")
     log = events_log(spark, folder)
-    lines = log.select(F.when(F.col("streamer").isin("click", "error"), literal).otherwise(plain).alias("value"))
+    files = log.repartition(spark.sparkContext.defaultParallelism, "row_id")
+    lines = files.select(F.when(F.col("streamer").isin("click", "error"), literal).otherwise(plain).alias("value"))
     lines.write.option("compression", "gzip").text(text)
     good, _ = records.load_records(spark, text, schema)
     return good.select("row_id", "streamer", "live", "note", F.col("span")[0].alias("first"), F.col("span")[1].alias("last"))
@@ -457,31 +450,12 @@ _RECORD_FIELDS = ("row_id", "streamer", "start_time", "stop_time")
 
 
 def _tree_table(spark, folder, shuffle: bool) -> DataFrame:
-    """Features with a part and a dense index over them, staged for repeated reading."""
-    table = features.tree_features(events_log(spark, folder), keep=("streamer",))
-    idx = "row_id"
-    if shuffle:
-        table, idx = splits.shuffled_index(table), "shuffled_idx"
-    table = splits.positional_split(table, idx).withColumn("train_idx", F.col(idx))
-    return stage_table(table, "tree-features")
-
-
-def _fit_and_score(estimator, table):
-    return models.fit_and_score(estimator, models.assemble(table))
+    return evaluation.tree_table(events_log(spark, folder), shuffle=shuffle)
 
 
 def _report(spark, folder, name, estimator, shuffle) -> DataFrame:
     table = _tree_table(spark, folder, shuffle)
-    _, scored = _fit_and_score(estimator, table)
-    return _with_baselines(table, scored, name)
-
-
-def _with_baselines(table, scored, name, label: str = TREE_LABEL) -> DataFrame:
-    baselines = metrics.baseline_metrics(table, label).select(
-        F.concat(F.lit("baseline "), "baseline").alias("model"),
-        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mae", "rmse", "mse")])),
-    )
-    return models.metric_table(scored, name).unionByName(baselines)
+    return evaluation.report(table, evaluation.score_trees(estimator, table), name)
 
 
 @query
@@ -499,52 +473,44 @@ def gbt(spark, folder):
     return _report(spark, folder, "boosted trees", models.boosted_trees(), shuffle=False)
 
 
-def _part(table: DataFrame, part: str) -> DataFrame:
-    return table.where(F.col("part") == part)
-
-
-def _search_report(table, searched) -> DataFrame:
-    scored = models.score(searched.bestModel, models.assemble(_part(table, splits.TEST)))
-    return _with_baselines(table, scored, "best forest")
+def _search(spark, folder, search, **settings) -> DataFrame:
+    table = _tree_table(spark, folder, shuffle=True)
+    found = search(models.assemble(part_of(table, splits.TRAIN)), **settings)
+    scored = models.score(found.bestModel, models.assemble(part_of(table, splits.TEST)))
+    return evaluation.report(table, scored, "best forest")
 
 
 @query
 def rf_grid_search(spark, folder):
-    table = _tree_table(spark, folder, shuffle=True)
-    train = models.assemble(_part(table, splits.TRAIN))
-    return _search_report(table, tuning.grid_search(train, trees=(10, 20), parallelism=4))
+    return _search(spark, folder, tuning.grid_search, trees=(10, 20), parallelism=4)
 
 
 @query
 def rf_random_search(spark, folder):
-    table = _tree_table(spark, folder, shuffle=True)
-    train = models.assemble(_part(table, splits.TRAIN))
-    return _search_report(table, tuning.random_search(train, draws=4, trees=(10, 30), parallelism=4))
+    return _search(spark, folder, tuning.random_search, draws=4, trees=(10, 30), parallelism=4)
 
 
 @query
 def learning_curve(spark, folder):
-    table = _tree_table(spark, folder, shuffle=True)
-    train = models.assemble(_part(table, splits.TRAIN))
+    train = models.assemble(part_of(_tree_table(spark, folder, shuffle=True), splits.TRAIN))
     return tuning.learning_curve(train, models.default_forest(trees=5, depth=10))
 
 
 @query
 def linear_elastic_net(spark, folder):
-    log = splits.shuffled_index(features.encoded_features(events_log(spark, folder)))
-    table = stage_table(splits.positional_split(log, "shuffled_idx"), "encoded-features")
-    _, scored = models.fit_and_score(models.elastic_net(), models.encode(table))
-    return _with_baselines(table, scored, "elastic net", "duration")
+    table = evaluation.encoded_table(events_log(spark, folder))
+    _, scored = models.fit_and_score(models.elastic_net(), models.encode(table), "idx")
+    return evaluation.report(table, scored, "elastic net", "duration")
 
 
 @query
 def model_roundtrip(spark, folder):
     """Save a forest, load it, and count the test rows on which the two predict differently."""
-    table = _tree_table(spark, folder, shuffle=False)
-    model, scored = _fit_and_score(models.tuned_forest(trees=20), table)
+    table = models.assemble(_tree_table(spark, folder, shuffle=False))
+    model, scored = models.fit_and_score(models.tuned_forest(trees=20), table, "idx")
     path = scratch_path(spark, "forest")
     models.save_model(model, path)
-    loaded = models.score(RandomForestRegressionModel.load(path), models.assemble(_part(table, splits.TEST)))
+    loaded = models.score(RandomForestRegressionModel.load(path), part_of(table, splits.TEST))
     again = loaded.select("row_id", F.col("prediction").alias("again"))
     return scored.join(again, "row_id").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -556,25 +522,22 @@ def model_roundtrip(spark, folder):
 def smoothed_comparison(spark, folder):
     """Smoothed label, model and baseline series over the test part of the boosted trees."""
     table = _tree_table(spark, folder, shuffle=False)
-    _, scored = _fit_and_score(models.boosted_trees(rounds=20), table)
-    n = table.count()
-    scored = scored.withColumn("test_idx", F.col("row_id") - (n - -(-n // 5)))
+    scored = evaluation.score_trees(models.boosted_trees(rounds=20), table)
     base = metrics.baseline_scalar(table, TREE_LABEL)
-    series = metrics.comparison_series(scored, base, "test_idx", "label", "prediction")
-    return windows.rolling_mean(series, "test_idx", series.columns[1:], ROLLING_WIDTH)
+    return evaluation.smoothed_comparison(scored, base, splits.row_count(table))
+
+
+def _forest_scores(spark, folder) -> DataFrame:
+    return evaluation.score_trees(models.tuned_forest(trees=20), _tree_table(spark, folder, shuffle=True))
 
 
 @query
 def model_residual_bins(spark, folder):
     """Residual and prediction scatter plots of the tuned forest, as counts per cell."""
-    table = _tree_table(spark, folder, shuffle=True)
-    _, scored = _fit_and_score(models.tuned_forest(trees=20), table)
-    return metrics.residual_bins(scored, width=1.0)
+    return metrics.residual_bins(_forest_scores(spark, folder), width=1.0)
 
 
 @query
 def model_residual_bias(spark, folder):
     """Residuals of the tuned forest per streamer, hour and decile."""
-    table = _tree_table(spark, folder, shuffle=True)
-    _, scored = _fit_and_score(models.tuned_forest(trees=20), table)
-    return metrics.residual_bias(scored)
+    return metrics.residual_bias(_forest_scores(spark, folder))

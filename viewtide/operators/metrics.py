@@ -159,19 +159,20 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
 
 def metric_report(metrics: DataFrame, baselines: DataFrame) -> DataFrame:
     """The results table: model MAE and RMSE, then the MAE of both baselines."""
-    baseline = baselines.groupBy().pivot("baseline", ["mean", "median"]).agg(F.first("mae"))
+    named = [F.max(F.when(F.col("baseline") == b, F.col("mae"))).alias(b) for b in ("mean", "median")]
+    both = baselines.agg(F.struct(*named).alias("both")).scalar()
     rows = F.array(
         *[
-            F.struct(F.lit(name).alias("metric"), value.alias("value"))
+            F.struct(F.lit(name).alias("metric"), F.col(value).alias("value"))
             for name, value in (
-                ("Mean Absolute Error (MAE)", F.col("mae")),
-                ("Root Mean Squared Error (RMSE)", F.col("rmse")),
-                ("Baseline Mean Engagement Duration (MAE)", baseline.select("mean").scalar()),
-                ("Baseline Median Engagement Duration (MAE)", baseline.select("median").scalar()),
+                ("Mean Absolute Error (MAE)", "mae"),
+                ("Root Mean Squared Error (RMSE)", "rmse"),
+                ("Baseline Mean Engagement Duration (MAE)", "_both.mean"),
+                ("Baseline Median Engagement Duration (MAE)", "_both.median"),
             )
         ]
     )
-    return metrics.select(F.inline(rows))
+    return metrics.withColumn("_both", both).select(F.inline(rows))
 
 
 def label_deciles(df: DataFrame, label: str) -> Column:

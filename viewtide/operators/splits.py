@@ -2,7 +2,9 @@
 
 Everything is a pure function of a dense whole-number index, so a split is the same for any
 partitioning of the data, and selecting a part is a filter, not a shuffle. Sizes come from a
-scalar count, which Spark answers from Parquet footers for a stored table.
+scalar count, which Spark answers from Parquet footers for a stored table. Where the index
+hangs off a long plan, pass ``n``, the count of the table it was made from, instead of having
+the plan run once more just to be counted.
 """
 
 from __future__ import annotations
@@ -34,10 +36,15 @@ def test_size(n: Column, num: int = 1, den: int = 5) -> Column:
 
 
 def positional_split(
-    df: DataFrame, idx: str = "row_id", num: int = 1, den: int = 5, name: str = "part"
+    df: DataFrame,
+    idx: str = "row_id",
+    num: int = 1,
+    den: int = 5,
+    name: str = "part",
+    n: Column | None = None,
 ) -> DataFrame:
     """Mark the last ``ceil(n * num / den)`` rows in ``idx`` order as test, the others as train."""
-    n = row_count(df)
+    n = row_count(df) if n is None else n
     return df.withColumn(
         name, F.when(F.col(idx) < n - test_size(n, num, den), F.lit(TRAIN)).otherwise(F.lit(TEST))
     )

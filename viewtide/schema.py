@@ -26,6 +26,18 @@ INTERACTIONS = T.StructType(
     ]
 )
 
+#: Columns of the events table that the log adapter reads.
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
 TREE_FEATURES = (
     "total_watch_time",
     "num_streams_watched",

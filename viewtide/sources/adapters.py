@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewtide.functions.arithmetic import int_div
+from viewtide.schema import EVENTS
 
 # Fixed value: 2024-01-01 in 10-minute units since 1970, the origin of the derived log.
 LOG_ORIGIN = 2_840_112
@@ -29,7 +30,7 @@ def events_log(spark: SparkSession, folder: str, unit: str = "10min") -> DataFra
     10-minute units since the start of the log, or seconds or nanoseconds since 1970. A plain
     projection, so column pruning and filters on ``row_id`` reach the Parquet scan.
     """
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
     ts = F.col("ts")
     start = {
         "10min": int_div(_epoch_seconds(ts), F.lit(600)) - LOG_ORIGIN,

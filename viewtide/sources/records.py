@@ -30,7 +30,9 @@ def _literal_parser():
 
         return lines.map(convert, na_action="ignore")
 
-    return F.pandas_udf(to_json, T.StringType())
+    # Declared non-deterministic so that the optimizer never copies it into a filter, where
+    # each line would be parsed a second time.
+    return F.pandas_udf(to_json, T.StringType()).asNondeterministic()
 
 
 def _parse(text: Column, schema: T.StructType) -> Column:
