@@ -15,6 +15,13 @@ from viewtide.schema import INTERACTIONS
 POLICY = HotKeys(max_keys=50, min_rows=20, shard_rows=37)
 
 
+@pytest.fixture(autouse=True, params=["10MB", "-1"], ids=["broadcast", "sort-merge"])
+def join_kind(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def skewed_rows(n=2_000, seed=7):
     rng = random.Random(seed)
     rows = []

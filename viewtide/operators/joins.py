@@ -5,18 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from viewtide.operators.skew import DEFAULT, HotKeys, row_limit, shard_of
+from viewtide.operators.skew import DEFAULT, HotKeys, join_cold, join_hot, row_limit
 
 
 def join_back(
     df: DataFrame,
     stats: DataFrame,
     keys: str | Sequence[str],
-    rows: str,
+    rows: str = "rows",
     row_id: str = "row_id",
-    shard: str | None = None,
     policy: HotKeys = DEFAULT,
     limit: Column | None = None,
 ) -> DataFrame:
@@ -24,31 +22,12 @@ def join_back(
 
     ``rows`` names the column of ``stats`` with the number of ``df`` rows of each key; it is
     not part of the result. Hot keys get their values from a broadcast list of bounded
-    length and are kept out of the exchange; all other keys join on ``(key, shard 0)``,
-    where the adaptive planner picks broadcast or sort-merge from the measured size.
-    Every row of ``df`` comes out once; rows with a null or unknown key get nulls.
-
-    With ``shard`` the shard column stays in the result, so that a following
-    ``prev_session`` on the same key can reuse it. ``limit`` is the row limit of a hot key if
-    the caller has it already (``df`` may be a long plan that is not worth counting).
+    length; the other keys are joined by exchange or, if few, by broadcast. Every row of
+    ``df`` comes out once; rows with a null or unknown key get nulls. ``limit`` is the row
+    limit of a hot key if the caller has it already (``df`` may be a long plan that is not
+    worth counting).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    values = [c for c in stats.columns if c not in (*keys, rows)]
     limit = row_limit(df, policy) if limit is None else limit
-    hot = stats.where(F.col(rows) > limit).select(
-        *keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
-    )
-    cold = stats.where(F.col(rows) <= limit).select(
-        *keys, F.lit(0).cast("bigint").alias("_shard"), *[F.col(v).alias(f"_cold_{v}") for v in values]
-    )
-    joined = (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_shard", shard_of(F.col("_hot").isNotNull(), keys, row_id, policy))
-        .join(cold, [*keys, "_shard"], "left")
-    )
-    kept = [F.col("_shard").alias(shard)] if shard else []
-    return joined.select(
-        *df.columns,
-        *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values],
-        *kept,
-    )
+    marked = join_hot(df, stats, keys, rows, limit, "_shard", row_id, policy)
+    return join_cold(marked, stats, keys, rows, limit, "_shard").drop("_shard")

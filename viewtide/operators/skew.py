@@ -55,11 +55,52 @@ def add_shards(
     df: DataFrame, keys: Sequence[str], shard: str, row_id: str = "row_id", policy: HotKeys = DEFAULT
 ) -> DataFrame:
     """Add the shard column, finding the hot keys of ``df`` with one pre-aggregated count."""
-    sizes = (
-        df.where(~any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = df.where(~any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    return join_hot(df, sizes, keys, "rows", row_limit(df, policy), shard, row_id, policy)
+
+
+def join_hot(
+    df: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    rows: str,
+    limit: Column,
+    shard: str,
+    row_id: str = "row_id",
+    policy: HotKeys = DEFAULT,
+) -> DataFrame:
+    """Add the shard column and, as ``_hot_<name>``, the statistics of hot keys.
+
+    ``stats`` has one row per key and in ``rows`` the number of ``df`` rows of the key. Only
+    its hot keys, at most ``policy.max_keys`` rows, are broadcast.
+    """
+    values = [c for c in stats.columns if c not in (*keys, rows)]
+    hot = stats.where(F.col(rows) > limit).select(
+        *keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
+    )
+    return df.join(F.broadcast(hot), list(keys), "left").select(
+        *df.columns,
+        *[f"_hot_{v}" for v in values],
+        shard_of(F.col("_hot").isNotNull(), keys, row_id, policy).alias(shard),
+    )
+
+
+def join_cold(
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str, limit: Column, shard: str
+) -> DataFrame:
+    """Complete ``join_hot``: join the statistics of all other keys on ``(key, shard 0)``.
+
+    Rows of hot and missing keys have another shard, so they spread over the exchange and
+    match nothing. The adaptive planner picks broadcast or sort-merge from the measured size.
+    """
+    values = [c for c in stats.columns if c not in (*keys, rows)]
+    # Always 0, as a key has rows, but no literal: the optimizer would turn an equality with a
+    # literal into a filter and hash the exchange on the key alone.
+    zero = F.least(F.col(rows), F.lit(0)).cast("bigint")
+    cold = stats.where(F.col(rows) <= limit).select(
+        *keys, zero.alias(shard), *[F.col(v).alias(f"_cold_{v}") for v in values]
     )
-    hot = sizes.where(F.col("_rows") > row_limit(df, policy)).select(*keys, F.lit(True).alias("_hot"))
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .select(*df.columns, shard_of(F.col("_hot").isNotNull(), keys, row_id, policy).alias(shard))
+    kept = [c for c in df.columns if c not in {f"_hot_{v}" for v in values}]
+    return df.join(cold, [*keys, shard], "left").select(
+        *kept, *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values]
     )

@@ -17,40 +17,52 @@ def prev_session(
     value: str = "duration",
     name: str = "prev_session_duration",
     order_col: str = "row_id",
-    shard: str | None = None,
     policy: HotKeys = DEFAULT,
 ) -> DataFrame:
     """Value of the key's preceding row in ``order_col`` order, 0 for its first row.
 
-    Inside a shard this is a plain ``lag``. The first row of a shard of a hot key takes the
-    last value of the key's previous shard, found from one row per ``(hot key, shard)``.
-    Rows with a null key have no predecessor and get 0. ``order_col`` is a whole number
-    that is unique within the key.
+    ``order_col`` is a dense row order. Rows with a null key have no predecessor and get 0.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if shard is None:
-        shard = "_shard"
-        df = add_shards(df, keys, shard, order_col, policy)
-        out = [c for c in df.columns if c != shard]
-    else:
-        out = df.columns
+    sharded = add_shards(df, keys, "_shard", order_col, policy)
+    return prev_in_shards(sharded, keys, keys, "_shard", value, name, order_col).drop("_shard")
+
+
+def prev_in_shards(
+    df: DataFrame,
+    keys: Sequence[str],
+    shard_keys: Sequence[str],
+    shard: str,
+    value: str,
+    name: str,
+    order_col: str = "row_id",
+) -> DataFrame:
+    """``prev_session`` on a table that has its shards, made for ``shard_keys`` out of ``keys``.
+
+    Each shard of a hot key first receives a copy of the last row of the key's previous
+    shard, so that a plain ``lag`` inside the shard is right for its first row too. There is
+    one copy per ``(hot key, shard)``; the copies are dropped afterwards. The rows are
+    exchanged once, on the shard keys, and stay so for a join on them.
+    """
+    rows = df.withColumn("_copy", F.lit(False))
     tails = (
         df.where((F.col(shard) > 0) & ~any_null(keys))
         .groupBy(*keys, shard)
-        .agg(F.max_by(value, order_col).alias("_tail"))
+        .agg(F.max_by(value, order_col).alias(value))
     )
-    by_key = Window.partitionBy(*keys).orderBy(shard)
-    carried = tails.select(*keys, shard, F.lag("_tail").over(by_key).alias("_carried"))
-
-    within = Window.partitionBy(*keys, shard).orderBy(order_col)
-    lagged = df.withColumn("_lag", F.lag(value).over(within)).withColumn("_pos", F.row_number().over(within))
-    previous = (
-        F.when(any_null(keys), F.lit(0))
-        .when(F.col("_pos") > 1, F.col("_lag"))
-        .otherwise(F.col("_carried"))
+    later = F.lead(shard).over(Window.partitionBy(*keys).orderBy(shard))
+    copies = (
+        tails.select(*keys, later.alias(shard), value, F.lit(True).alias("_copy"))
+        .where(F.col(shard).isNotNull())
     )
-    return lagged.join(carried, [*keys, shard], "left").select(
-        *out, F.coalesce(previous, F.lit(0)).alias(name)
+    within = Window.partitionBy(*keys, shard).orderBy(F.col("_copy").desc(), order_col)
+    previous = F.when(~any_null(keys), F.lag(value).over(within))
+    return (
+        rows.unionByName(copies, allowMissingColumns=True)
+        .repartition(*shard_keys, shard)
+        .withColumn(name, F.coalesce(previous, F.lit(0)))
+        .where(~F.col("_copy"))
+        .drop("_copy")
     )
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from viewtide.functions import times
 from viewtide.operators import stats
 from viewtide.operators.joins import join_back
-from viewtide.operators.skew import DEFAULT, HotKeys, row_limit
+from viewtide.operators.skew import DEFAULT, HotKeys, join_cold, join_hot, row_limit
 from viewtide.operators.splits import head_rows
-from viewtide.operators.windows import prev_session
+from viewtide.operators.windows import prev_in_shards
 from viewtide.schema import ENCODED_CATEGORIES, ENCODED_LABEL, ENCODED_NUMERIC, TREE_FEATURES, TREE_LABEL
 from viewtide.sources.interactions import session_duration
 
@@ -46,15 +46,29 @@ def tree_features(
     users = stats.user_stats(log, TREE_LABEL, fit_on=fit_on)
     streamers = stats.streamer_watch_time(log, TREE_LABEL, fit_on=fit_on)
 
-    rows = join_back(log, users, "user_id", "rows", row_id, "_shard", policy, limit)
-    rows = prev_session(rows, "user_id", TREE_LABEL, order_col=row_id, shard="_shard")
-    rows = join_back(rows, streamers, "streamer", "rows", row_id, policy=policy, limit=limit)
+    rows = _add_user_columns(log, users, ["user_id"], TREE_LABEL, limit, row_id, policy)
+    rows = join_back(rows, streamers, "streamer", row_id=row_id, policy=policy, limit=limit)
     rows = time_features(rows, unit)
     if fit_on is not None:
         rows = rows.fillna(0, ["total_watch_time", "num_streams_watched", "avg_duration"])
     return rows.select(row_id, *keep, *TREE_FEATURES, TREE_LABEL)
 
 
+def _add_user_columns(
+    log: DataFrame,
+    users: DataFrame,
+    session_keys: list[str],
+    label: str,
+    limit: Column,
+    row_id: str,
+    policy: HotKeys,
+) -> DataFrame:
+    """User statistics and previous session, on one exchange of the rows by (user, shard)."""
+    rows = join_hot(log, users, ["user_id"], "rows", limit, "_shard", row_id, policy)
+    rows = prev_in_shards(rows, session_keys, ["user_id"], "_shard", label, "prev_session_duration", row_id)
+    return join_cold(rows, users, ["user_id"], "rows", limit, "_shard").drop("_shard")
+
+
 def encoded_features(
     df: DataFrame,
     cap: int | None = None,
@@ -74,9 +88,8 @@ def encoded_features(
     users = stats.user_stats(log, ENCODED_LABEL, "streams_watched", fit_on)
     popularity = stats.streamer_popularity(log, fit_on)
 
-    rows = join_back(log, users, "user_id", "rows", row_id, "_shard", policy, limit)
-    rows = prev_session(rows, ["user_id", "streamer"], ENCODED_LABEL, order_col=row_id, shard="_shard")
-    rows = join_back(rows, popularity, "streamer", "rows", row_id, policy=policy, limit=limit)
+    rows = _add_user_columns(log, users, ["user_id", "streamer"], ENCODED_LABEL, limit, row_id, policy)
+    rows = join_back(rows, popularity, "streamer", row_id=row_id, policy=policy, limit=limit)
     t = F.col("start_time")
     rows = rows.withColumns(
         {
