@@ -44,6 +44,14 @@ def test_quotes_and_spaces_are_ordinary_characters(spark, write):
     ]
 
 
+def test_blanks_around_a_line_do_not_matter(spark, write):
+    path = write("a.csv.gz", "  1,s,b,1,3  ", "2,s,b,1,4\t")
+    assert [r[1:] for r in rows(interactions.scan_interactions(spark, path, skip_header=False))] == [
+        (1, "s", "b", 1, 3, 2),
+        (2, "s", "b", 1, 4, 3),
+    ]
+
+
 @pytest.mark.parametrize("bad", ["1,s,b,1", "1,s,b,1,2,3", "x,s,b,1,2", "1,s,b,1,2.5", "1,s,b,,2"])
 def test_malformed_rows_fail(spark, write, tmp_path, bad):
     path = write("a.csv.gz", EXAMPLE, bad)

@@ -6,11 +6,20 @@ import pytest
 from viewtide.operators.windows import rolling_mean
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_nulls_blank_their_windows(spark, kind):
+    values = [(i, None if i in (3, 40) else i * i) for i in range(60)]
+    df = spark.createDataFrame(values, "i bigint, v bigint").selectExpr("i", f"cast(v as {kind}) as v")
+    got = rolling_mean(df, "i", ["v"], width=4, block=16).orderBy("i").toPandas()
+    want = pd.Series([v for _, v in values], dtype=float).rolling(4).mean()
+    pd.testing.assert_series_equal(got["v"].astype(float), want, check_names=False)
+
+
 @pytest.mark.parametrize("width,block,n", [(50, 50, 1_000), (50, 64, 1_001), (7, 100, 350), (1, 5, 20), (50, 64, 30)])
 def test_blocks_match_one_window(spark, width, block, n):
     rng = random.Random(n)
-    values = [(i, float(rng.randrange(100)), rng.random()) for i in range(n)]
-    df = spark.createDataFrame(values, "i bigint, a double, b double").repartition(6)
+    values = [(i, rng.randrange(-50, 100), rng.random()) for i in range(n)]
+    df = spark.createDataFrame(values, "i bigint, a bigint, b double").repartition(6)
     got = rolling_mean(df, "i", ["a", "b"], width, block).orderBy("i").toPandas()
     want = pd.DataFrame(values, columns=["i", "a", "b"])
     assert list(got["i"]) == list(range(n))

@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 
 from viewtide.operators.splits import TEST, TRAIN
 
+# Names of the results table, in its order.
+REPORT_NAMES = (
+    "Mean Absolute Error (MAE)",
+    "Root Mean Squared Error (RMSE)",
+    "Baseline Mean Engagement Duration (MAE)",
+    "Baseline Median Engagement Duration (MAE)",
+)
+
 
 def label_histogram(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per distinct label (and per ``by``), as columns ``label`` and ``n``."""
@@ -164,12 +172,7 @@ def metric_report(metrics: DataFrame, baselines: DataFrame) -> DataFrame:
     rows = F.array(
         *[
             F.struct(F.lit(name).alias("metric"), F.col(value).alias("value"))
-            for name, value in (
-                ("Mean Absolute Error (MAE)", "mae"),
-                ("Root Mean Squared Error (RMSE)", "rmse"),
-                ("Baseline Mean Engagement Duration (MAE)", "_both.mean"),
-                ("Baseline Median Engagement Duration (MAE)", "_both.median"),
-            )
+            for name, value in zip(REPORT_NAMES, ("mae", "rmse", "_both.mean", "_both.median"), strict=True)
         ]
     )
     return metrics.withColumn("_both", both).select(F.inline(rows))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from viewtide.functions.arithmetic import int_div
 from viewtide.operators.skew import DEFAULT, HotKeys, add_shards, any_null
@@ -69,25 +70,41 @@ def prev_in_shards(
 def rolling_mean(
     df: DataFrame, idx: str, columns: Sequence[str], width: int = 50, block: int = 16_384
 ) -> DataFrame:
-    """Trailing mean of the last ``width`` rows in ``idx`` order, null for the first rows.
+    """Trailing mean of the last ``width`` rows in ``idx`` order.
 
-    ``idx`` is dense from 0. Rows are cut into blocks of ``block`` consecutive indexes; each
-    block also receives the last ``width - 1`` rows of the block before it, so every block
-    is computed on its own and no task sees more than ``block + width - 1`` rows. The copies
-    are dropped afterwards.
+    Null for the first rows and wherever a null value is among the ``width``. ``idx`` is dense
+    from 0. Rows are cut into blocks of ``block`` consecutive indexes; each block also receives
+    the last ``width - 1`` rows of the block before it, so every block is computed on its own
+    and no task sees more than ``block + width - 1`` rows. The copies are dropped afterwards.
     """
     if not 1 <= width <= block:
         raise ValueError("width must be between 1 and block")
     own = int_div(F.col(idx), F.lit(block))
     in_tail = F.pmod(F.col(idx), F.lit(block)) >= block - (width - 1)
     blocks = F.when(in_tail, F.array(own, own + 1)).otherwise(F.array(own))
-    trailing = Window.partitionBy("_block").orderBy(idx).rowsBetween(1 - width, 0)
-    full = F.count(F.lit(1)).over(trailing) == width
-    means = [F.when(full, F.avg(c).over(trailing)).alias(c) for c in columns]
+    rows = df.select(idx, *columns).withColumn("_block", F.explode(blocks))
+
+    ordered = Window.partitionBy("_block").orderBy(idx)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    trailing = ordered.rowsBetween(1 - width, 0)
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    # Whole numbers add up exactly, so their window is the difference of two running totals: a
+    # constant amount of work per row. Other types are summed window by window.
+    rows = rows.withColumns(
+        {f"_sum_{c}": F.sum(c).over(so_far) for c in whole} | {f"_n_{c}": F.count(c).over(so_far) for c in whole}
+    )
+
+    def in_window(total: str) -> Column:
+        return F.col(total) - F.coalesce(F.lag(total, width).over(ordered), F.lit(0))
+
+    means = [
+        F.when(in_window(f"_n_{c}") == width, in_window(f"_sum_{c}") / width)
+        if c in whole
+        else F.when(F.count(c).over(trailing) == width, F.avg(c).over(trailing))
+        for c in columns
+    ]
     return (
-        df.select(idx, *columns)
-        .withColumn("_block", F.explode(blocks))
-        .select(idx, "_block", *means)
+        rows.select(idx, "_block", *[m.alias(c) for m, c in zip(means, columns, strict=True)])
         .where(F.col("_block") == own)
         .select(idx, *columns)
     )
