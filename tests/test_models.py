@@ -5,8 +5,9 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from viewtide.operators import metrics, splits
-from viewtide.plans import models, tuning
+from viewtide.plans import evaluation, models, tuning
 from viewtide.schema import TREE_FEATURES, TREE_LABEL
+from viewtide.sources.adapters import events_log
 
 
 @pytest.fixture(scope="module")
@@ -82,7 +83,9 @@ def test_grid_has_each_distinct_setting_once(spark):
 def test_random_search(train):
     found = tuning.random_search(train, k=2, draws=2, trees=(2, 4), depths=(3,))
     assert found.bestModel.getNumTrees in (2, 3)
-    assert len(tuning.search_table(found)) == 2
+    table = tuning.search_table(found, train.sparkSession).collect()
+    assert len(table) == 4
+    assert {r["metric"] for r in table} == {"fold_r2_mean", "fold_r2_std"}
 
 
 def test_learning_curve(train):
@@ -120,3 +123,23 @@ def test_encoder_width_and_scope(spark):
     assert train_only[9]["features"][0] == pytest.approx(9 / 7)
     with pytest.raises(ValueError, match="fit_scope"):
         models.encode(df, "some")
+
+
+def test_capped_tables_and_reports(spark, folder):
+    log = events_log(spark, folder)
+    table = evaluation.tree_table(log, cap=500, shuffle=True)
+    assert sorted(r["idx"] for r in table.collect()) == list(range(500))
+    assert table.where("part = 'test'").count() == 100
+    scored = evaluation.score_trees(models.tuned_forest(trees=3), table)
+    assert scored.count() == 100
+    named = {(r["model"], r["metric"]) for r in evaluation.report(table, scored, "forest").collect()}
+    assert {m for m, _ in named} == {"forest", "baseline mean", "baseline median"}
+    assert {k for m, k in named if m == "forest"} == {"mae", "rmse", "mse", "r2"}
+
+    series = evaluation.smoothed_comparison(
+        scored, metrics.baseline_scalar(table, TREE_LABEL), splits.row_count(table), sample=60
+    )
+    rows = series.orderBy("test_idx").collect()
+    assert [r["test_idx"] for r in rows] == list(range(60))
+    assert [r["predicted"] is None for r in rows] == [True] * 49 + [False] * 11
+    assert rows[59]["mean_line"] == pytest.approx(metrics.baseline_values(table, TREE_LABEL).first()["mean"])

@@ -477,7 +477,7 @@ def _search(spark, folder, search, **settings) -> DataFrame:
     table = _tree_table(spark, folder, shuffle=True)
     found = search(models.assemble(part_of(table, splits.TRAIN)), **settings)
     scored = models.score(found.bestModel, models.assemble(part_of(table, splits.TEST)))
-    return evaluation.report(table, scored, "best forest")
+    return evaluation.report(table, scored, "best forest").unionByName(tuning.search_table(found, spark))
 
 
 @query
