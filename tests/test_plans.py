@@ -69,6 +69,13 @@ def test_small_statistics_are_broadcast_at_run_time(spark, folder):
     assert "SortMergeJoin" not in final
 
 
+def test_without_hot_keys_nothing_is_scanned_for_their_copies(spark, folder):
+    df = QUERIES["prev_session_user"](spark, folder)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "max_by" not in final and "Union" not in final
+
+
 def test_the_cap_reaches_the_scan(spark, folder):
     assert re.search(r"PushedFilters: \[.*LessThan\(event_id,10000\)", plan(spark, folder, "head_rows"))
 

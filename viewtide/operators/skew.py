@@ -54,7 +54,7 @@ def shard_of(hot: Column, keys: Sequence[str], row_id: str, policy: HotKeys) ->
 def add_shards(
     df: DataFrame, keys: Sequence[str], shard: str, row_id: str = "row_id", policy: HotKeys = DEFAULT
 ) -> DataFrame:
-    """Add the shard column, finding the hot keys of ``df`` with one pre-aggregated count."""
+    """Add the shard column and ``_hot`` mark, finding hot keys with one pre-aggregated count."""
     sizes = df.where(~any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     return join_hot(df, sizes, keys, "rows", row_limit(df, policy), shard, row_id, policy)
 
@@ -69,7 +69,7 @@ def join_hot(
     row_id: str = "row_id",
     policy: HotKeys = DEFAULT,
 ) -> DataFrame:
-    """Add the shard column and, as ``_hot_<name>``, the statistics of hot keys.
+    """Add the shard column, a ``_hot`` mark and, as ``_hot_<name>``, the statistics of hot keys.
 
     ``stats`` has one row per key and in ``rows`` the number of ``df`` rows of the key. Only
     its hot keys, at most ``policy.max_keys`` rows, are broadcast.
@@ -81,6 +81,7 @@ def join_hot(
     return df.join(F.broadcast(hot), list(keys), "left").select(
         *df.columns,
         *[f"_hot_{v}" for v in values],
+        "_hot",
         shard_of(F.col("_hot").isNotNull(), keys, row_id, policy).alias(shard),
     )
 
@@ -100,7 +101,7 @@ def join_cold(
     cold = stats.where(F.col(rows) <= limit).select(
         *keys, zero.alias(shard), *[F.col(v).alias(f"_cold_{v}") for v in values]
     )
-    kept = [c for c in df.columns if c not in {f"_hot_{v}" for v in values}]
+    kept = [c for c in df.columns if c not in {"_hot", *[f"_hot_{v}" for v in values]}]
     return df.join(cold, [*keys, shard], "left").select(
         *kept, *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values]
     )

@@ -38,16 +38,18 @@ def prev_in_shards(
     name: str,
     order_col: str = "row_id",
 ) -> DataFrame:
-    """``prev_session`` on a table that has its shards, made for ``shard_keys`` out of ``keys``.
+    """``prev_session`` on a table with shards and ``_hot`` marks for ``shard_keys`` out of ``keys``.
 
     Each shard of a hot key first receives a copy of the last row of the key's previous
     shard, so that a plain ``lag`` inside the shard is right for its first row too. There is
     one copy per ``(hot key, shard)``; the copies are dropped afterwards. The rows are
     exchanged once, on the shard keys, and stay so for a join on them.
     """
-    rows = df.withColumn("_copy", F.lit(False))
+    rows = df.drop("_hot").withColumn("_copy", F.lit(False))
+    # A filter on the mark turns the join that made it into an inner one, so without hot keys
+    # the adaptive planner drops this branch before it scans anything.
     tails = (
-        df.where((F.col(shard) > 0) & ~any_null(keys))
+        df.where(F.col("_hot") & ~any_null(keys))
         .groupBy(*keys, shard)
         .agg(F.max_by(value, order_col).alias(value))
     )
