@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from viewtide.llm import ngram_join
+from viewtide.llm import byte_bpe, mixing, ngram_join, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,7 +16,23 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.sample_counts(_table(spark, folder, "documents"))
+
+
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality_rules": op9_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
