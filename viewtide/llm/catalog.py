@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from viewtide.llm import byte_bpe, mixing, ngram_join, quality
+from viewtide.llm import byte_bpe, mixing, ngram_join, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,10 +29,15 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
