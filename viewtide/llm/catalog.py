@@ -4,14 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from viewtide.llm import byte_bpe, mixing, ngram_join, quality, suffix_dedup
+from viewtide.llm import byte_bpe, embedding_links, mixing, ngram_join, quality, suffix_dedup, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_links.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    labels = _table(spark, folder, "labels").where(~held_out)
+    scored = toxicity.scores(_table(spark, folder, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_terms")
+
+
+def op7_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_zip.round_trip(spark, _table(spark, folder, "pages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
 
@@ -38,6 +54,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op7_warc_zip": op7_warc_zip,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
