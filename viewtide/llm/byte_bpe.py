@@ -173,7 +173,7 @@ class ByteBpe:
         cut = {p: self.find(p) for p in pieces}
         young, old = self.tokens
         rare = []
-        for t in set().union(*cut.values()) - young.keys():
+        for t in set().union(*cut.values()).difference(young):
             word = t.encode()
             if word in self.ranks:
                 young[t] = self.ranks[word].to_bytes(4, "little")
@@ -198,9 +198,9 @@ class ByteBpe:
         """Ids of each text as little-endian 32-bit numbers."""
         pieces = [self._pieces(t) for t in texts]
         wanted = set().union(*pieces)
-        new = wanted - self.young.keys()
+        new = wanted.difference(self.young)
         known = {p: x for p in new if (x := self.old.get(p)) is not None}
-        known |= self._learn(new - known.keys())
+        known |= self._learn(new.difference(known))
         self.young |= known
         get = self.young.__getitem__
         out = [b"".join(map(get, ps)) for ps in pieces]

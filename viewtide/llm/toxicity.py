@@ -156,7 +156,7 @@ def found_terms(text: str, matcher: Matcher, known: dict) -> list[tuple[str, str
     """(matched form, term, edits, context) for each word of ``text`` near a term; ``known`` keeps verdicts of words."""
     lower = text.lower()
     here = set(_WORD.findall(lower))
-    for w in here - known.keys():
+    for w in here.difference(known):
         known[w] = matcher.find(w)
     near = {w: x for w in here if (x := known[w]) is not None}
     if not near:
