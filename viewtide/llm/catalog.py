@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewtide.llm import byte_bpe, embedding_links, mixing, ngram_join, quality, suffix_dedup, toxicity, warc_zip
+from viewtide.llm import byte_bpe, embedding_links, licenses, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc_zip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,15 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return url_filter.evaluate(url_filter.dated_pages(pages), url_filter.dated_entries(pages)).withColumnRenamed("id", "page_id")
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(licenses.filed_documents(_table(spark, folder, "documents")))
+
+
 def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.sample_counts(_table(spark, folder, "documents"))
 
@@ -50,14 +59,19 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_source_mixing": op2_source_mixing,
-    "op8_byte_bpe": op8_byte_bpe,
-    "op9_quality_rules": op9_quality_rules,
-    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_toxicity": op4_toxicity,
-    "op7_warc_zip": op7_warc_zip,
+    "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_warc_zip": op7_warc_zip,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_url_filter": url_filter.SQL,
+    "op5_license_scan": licenses.SQL,
+}

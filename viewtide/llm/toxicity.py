@@ -44,7 +44,7 @@ PRIOR = {0: 0.9, 1: 0.75, 2: 0.6}
 PRIOR_ROWS = 2.0
 QUOTED_SHARE = 0.5
 BASE_RATE = 0.05
-KNOWN = 200_000
+KNOWN = 400_000
 _WORD = re.compile(r"[\w@$]+")
 _QUOTES = re.compile("[\"“”„«»]")
 _MOST = 2
