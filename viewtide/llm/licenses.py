@@ -7,7 +7,7 @@ cosine from ``THRESHOLD`` up. Texts are searched first for any strong term: the
 of a template hold so little of its length that no unit made of them alone can reach the threshold
 (Cauchy-Schwarz, see ``strong_terms``), so the search loses nothing. A document's own licence is its best unit's.
 A document without one inherits from the nearest directory above it that has a licence file with a
-licence. Only DataFrame expressions are used; the templates are fixed literals.
+licence. Only DataFrame expressions are used; the templates are a fixed small table.
 
 Defined cases: null and empty texts have no licence of their own. A null path has no directory and inherits
 nothing. Of equal scores the template first in order wins, of several licence files in a directory the
@@ -20,7 +20,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
@@ -73,25 +73,27 @@ def strong_terms(threshold: float = THRESHOLD) -> list[str]:
     return sorted(set(idf) - weak)
 
 
-def _literal(values: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
 
 
-def best_template(text: Column) -> tuple[Column, Column]:
-    """The array terms of ``text`` and, over a column of that name, the struct (score, place, license) of the closest template."""
-    idf, unknown, vectors = template_weights()
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    terms = F.transform(
-        F.array_sort(F.array_distinct(words)),
-        lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(F.element_at(_literal(idf), w), F.lit(unknown))).alias("x")),
-    )
-    add = lambda f: F.aggregate("terms", F.lit(0.0), lambda total, t: total + f(t))
-    length = F.sqrt(add(lambda t: t["x"] * t["x"]))
-    scores = [
-        F.struct(F.coalesce(F.try_divide(add(lambda t, v=v: t["x"] * F.coalesce(F.element_at(_literal(v), t["w"]), F.lit(0.0))), length), F.lit(0.0)).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("license"))
-        for i, (name, v) in enumerate(vectors)
-    ]
-    return terms, F.array_max(F.array(*scores))
+def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(w, idf) and (w, v, place, license) of the fixed templates."""
+    idf, _, vectors = template_weights()
+    rows = [(w, x, -i, name) for i, (name, v) in enumerate(vectors) for w, x in v.items()]
+    return spark.sql(f"SELECT * FROM VALUES {_values(list(idf.items()))} AS t(w, idf)"), spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS t(w, v, place, license)")
+
+
+def best_templates(units: DataFrame) -> DataFrame:
+    """Struct best (score, place, license) of the closest template for each (doc_id, path, line) of units with a column unit."""
+    idf, vectors = template_tables(units.sparkSession)
+    key = ["doc_id", "path", "line"]
+    words = units.select(*key, F.explode(F.split(F.lower("unit"), "[^a-z0-9]+")).alias("w")).where("w <> ''")
+    terms = words.groupBy(*key, "w").count().join(idf, "w", "left")
+    terms = terms.withColumn("x", F.col("count") * F.coalesce("idf", F.lit(template_weights()[1])))
+    terms = terms.withColumn("length", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*key))))
+    scores = terms.join(vectors, "w").groupBy(*key, "place", "license").agg((F.sum(F.col("x") * F.col("v")) / F.first("length")).alias("score"))
+    return scores.groupBy(*key).agg(F.max(F.struct("score", "place", "license")).alias("best"))
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -100,9 +102,8 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     able = files.where(F.col("text").rlike(pattern))
     named = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
-    units = able.select("doc_id", "path", F.explode(F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("unit"))
-    terms, best = best_template(F.col("unit"))
-    scored = units.select("doc_id", "path", terms.alias("terms")).select("doc_id", "path", best.alias("best"))
+    units = able.select("doc_id", "path", F.posexplode(F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
+    scored = best_templates(units)
     return scored.where(F.col("best.score") >= threshold).groupBy("doc_id", "path").agg(F.max("best").alias("best"))
 
 
@@ -160,11 +161,11 @@ lengths AS (SELECT u, sqrt(sum(x * x)) AS len FROM weighed GROUP BY u),
 scored AS (SELECT w.u, v.place, v.license, sum(w.x * v.v) / any_value(l.len) AS score FROM weighed w JOIN vec v USING (w) JOIN lengths l USING (u) GROUP BY w.u, v.place, v.license),
 own AS (SELECT doc_id, path, max({{'score': score, 'place': place, 'license': license}}) AS best FROM scored JOIN units USING (u) WHERE score >= {THRESHOLD} GROUP BY doc_id, path),
 licensed AS (SELECT dir, max(best) AS best FROM own JOIN dirs USING (doc_id, path) WHERE named GROUP BY dir),
-above AS (SELECT at, array_to_string(list_slice(string_split(at, '/'), 1, k), '/') AS dir FROM (SELECT at, unnest(range(1, len(string_split(at, '/')) + 1)) AS k FROM (SELECT DISTINCT dir AS at FROM dirs))),
-nearest AS (SELECT at, arg_max(l.best, length(a.dir)) AS best, arg_max(a.dir, length(a.dir)) AS dir FROM above a JOIN licensed l ON a.dir = l.dir GROUP BY at)
+above AS (SELECT base, array_to_string(list_slice(string_split(base, '/'), 1, k), '/') AS dir FROM (SELECT base, unnest(range(1, len(string_split(base, '/')) + 1)) AS k FROM (SELECT DISTINCT dir AS base FROM dirs))),
+nearest AS (SELECT base, arg_max(l.best, length(a.dir)) AS best, arg_max(a.dir, length(a.dir)) AS dir FROM above a JOIN licensed l ON a.dir = l.dir GROUP BY base)
 SELECT d.doc_id, d.path, coalesce(o.best, n.best).license AS license, round(coalesce(o.best, n.best).score, 6) AS score,
   CASE WHEN o.best IS NOT NULL THEN 'own' WHEN n.best IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN o.best IS NULL THEN n.dir END AS license_dir
-FROM dirs d LEFT JOIN own o ON d.doc_id = o.doc_id AND d.path = o.path LEFT JOIN nearest n ON n.at = d.dir
+FROM dirs d LEFT JOIN own o ON d.doc_id = o.doc_id AND d.path = o.path LEFT JOIN nearest n ON n.base = d.dir
 """
 
 
