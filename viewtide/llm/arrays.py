@@ -153,6 +153,24 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def deal(doc: np.ndarray, columns: dict[str, np.ndarray], groups: int) -> pa.Table:
+    """Entries about documents, packed by hash group of the document: a row per group, not per document."""
+    group = bucket_of(mix(doc.view(np.uint64)), groups)
+    order = np.argsort(group, kind="stable")
+    starts = runs(group[order])
+    parts = [order[a:z] for a, z in zip(starts[:-1], starts[1:], strict=True)]
+    out = {"part": pa.array(group[order][starts[:-1]], pa.int64()), "docs": pa.array([doc[p].tobytes() for p in parts], pa.binary())}
+    return pa.table(out | {c: pa.array([x[p].tobytes() for p in parts], pa.binary()) for c, x in columns.items()})
+
+
+def gather(table: pa.Table, columns: dict[str, str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct documents of dealt entries, where each one's entries begin, and the columns in that order."""
+    doc = packed(table.column("docs"), "<i8")
+    order = np.argsort(doc, kind="stable")
+    starts = runs(doc[order])
+    return doc[order][starts[:-1]], starts, [packed(table.column(c), k)[order] for c, k in columns.items()]
+
+
 class Forest:
     """Union-find over small non-negative numbers; the smallest member is the root."""
 

@@ -92,7 +92,7 @@ def best_templates(units: DataFrame) -> DataFrame:
     terms = words.groupBy(*key, "w").count().join(idf, "w", "left")
     terms = terms.withColumn("x", F.col("count") * F.coalesce("idf", F.lit(template_weights()[1])))
     terms = terms.withColumn("length", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*key))))
-    scores = terms.join(vectors, "w").groupBy(*key, "place", "license").agg((F.sum(F.col("x") * F.col("v")) / F.first("length")).alias("score"))
+    scores = terms.join(vectors, "w").groupBy(*key, "place", "license").agg(F.round(F.sum(F.col("x") * F.col("v")) / F.first("length"), 9).alias("score"))
     return scores.groupBy(*key).agg(F.max(F.struct("score", "place", "license")).alias("best"))
 
 
@@ -158,7 +158,7 @@ units AS (SELECT row_number() OVER () AS u, doc_id, path, unit FROM (
 terms AS (SELECT u, w, count(*) AS n FROM (SELECT u, unnest(string_split_regex(lower(unit), '[^a-z0-9]+')) AS w FROM units WHERE regexp_matches(unit, '{pattern}')) WHERE w <> '' GROUP BY u, w),
 weighed AS (SELECT t.u, t.w, t.n * coalesce(CAST(i.f AS DOUBLE), CAST({unknown!r} AS DOUBLE)) AS x FROM terms t LEFT JOIN idf i USING (w)),
 lengths AS (SELECT u, sqrt(sum(x * x)) AS len FROM weighed GROUP BY u),
-scored AS (SELECT w.u, v.place, v.license, sum(w.x * CAST(v.v AS DOUBLE)) / any_value(l.len) AS score FROM weighed w JOIN vec v USING (w) JOIN lengths l USING (u) GROUP BY w.u, v.place, v.license),
+scored AS (SELECT w.u, v.place, v.license, round(sum(w.x * CAST(v.v AS DOUBLE)) / any_value(l.len), 9) AS score FROM weighed w JOIN vec v USING (w) JOIN lengths l USING (u) GROUP BY w.u, v.place, v.license),
 own AS (SELECT doc_id, path, max({{'score': score, 'place': place, 'license': license}}) AS best FROM scored JOIN units USING (u) WHERE score >= {THRESHOLD} GROUP BY doc_id, path),
 licensed AS (SELECT dir, max(best) AS best FROM own JOIN dirs USING (doc_id, path) WHERE named GROUP BY dir),
 above AS (SELECT base, array_to_string(list_slice(string_split(base, '/'), 1, k), '/') AS dir FROM (SELECT base, unnest(range(1, len(string_split(base, '/')) + 1)) AS k FROM (SELECT DISTINCT dir AS base FROM dirs))),

@@ -83,26 +83,36 @@ def _emit_shingles(buckets: int):
     return task
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    own = table.filter(pc.is_valid(table.column("doc_id")))
-    rest = table.filter(pc.is_null(table.column("doc_id")))
-    ids, n, shared = [own.column("doc_id").to_numpy()], [own.column("n").to_numpy()], [arrays.packed(own.column("docs"), "<i8")]
-    if len(rest):
-        sizes = arrays.packed(rest.column("sizes"), "<u4")
-        known, docs = [], []
-        for x in rest.column("docs").to_pylist():
-            k = len(x) // 9
-            known.append(np.frombuffer(x, bool, k))
-            docs.append(np.frombuffer(x, "<i8", k, k))
-        known, docs = np.repeat(np.concatenate(known), sizes), np.repeat(np.concatenate(docs), sizes)
-        h = arrays.packed(rest.column("hashes"), "<u4")
-        order = np.argsort(h)
-        length = np.diff(arrays.runs(h[order]))
-        again = np.repeat(length > 1, length)
-        hit = order[again]
-        found, count = np.unique(docs[hit[known[hit]]], return_counts=True)
-        ids.append(found), n.append(np.zeros(len(found), np.int64)), shared.append(count)
-    return pa.table({"doc_id": np.concatenate(ids), "n": np.concatenate(n), "shared": np.concatenate(shared)})
+def _count_shared(groups: int):
+    def task(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.is_valid(table.column("doc_id")))
+        rest = table.filter(pc.is_null(table.column("doc_id")))
+        ids, n, shared = [own.column("doc_id").to_numpy()], [own.column("n").to_numpy()], [arrays.packed(own.column("docs"), "<i8")]
+        if len(rest):
+            sizes = arrays.packed(rest.column("sizes"), "<u4")
+            known, docs = [], []
+            for x in rest.column("docs").to_pylist():
+                k = len(x) // 9
+                known.append(np.frombuffer(x, bool, k))
+                docs.append(np.frombuffer(x, "<i8", k, k))
+            known, docs = np.repeat(np.concatenate(known), sizes), np.repeat(np.concatenate(docs), sizes)
+            h = arrays.packed(rest.column("hashes"), "<u4")
+            order = np.argsort(h)
+            length = np.diff(arrays.runs(h[order]))
+            again = np.repeat(length > 1, length)
+            hit = order[again]
+            found, count = np.unique(docs[hit[known[hit]]], return_counts=True)
+            ids.append(found), n.append(np.zeros(len(found), np.int64)), shared.append(count)
+        return arrays.deal(np.concatenate(ids), {"n": np.concatenate(n).astype("<i8"), "shared": np.concatenate(shared).astype("<i8")}, groups)
+
+    return task
+
+
+def _sum_by_document(table: pa.Table) -> pa.Table:
+    ids, starts, (n, shared) = arrays.gather(table, {"n": "<i8", "shared": "<i8"})
+    if not len(ids):
+        return pa.table({"doc_id": ids, "n": n, "shared": shared})
+    return pa.table({"doc_id": ids, "n": np.maximum.reduceat(n, starts[:-1]), "shared": np.add.reduceat(shared, starts[:-1])})
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
@@ -110,8 +120,8 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = _buckets(docs, amount)
     sent = docs.mapInArrow(_emit_shingles(buckets), "bucket long, doc_id long, n long, docs binary, sizes binary, hashes binary")
-    found = sent.groupBy("bucket").applyInArrow(_count_shared, SHARED)
-    return found.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    found = sent.groupBy("bucket").applyInArrow(_count_shared(buckets), "part long, docs binary, n binary, shared binary")
+    return found.groupBy("part").applyInArrow(_sum_by_document, SHARED)
 
 
 def _sets(batches):
@@ -150,35 +160,34 @@ def _by_bucket(buckets: int):
     return task
 
 
-def _frequencies(table: pa.Table) -> pa.Table:
+def _frequencies(groups: int):
     """Shingles held by two documents or more, with order keys: 12 bits of frequency, 52 of hash."""
-    docs, h = arrays.packed(table.column("docs"), "<i8"), arrays.packed(table.column("tokens"), "<u8")
-    order = np.argsort(h)
-    length = np.diff(arrays.runs(h[order]))
-    df = np.repeat(length, length)
-    order, df = order[df > 1], df[df > 1]
-    rank = np.minimum(4095, (np.log2(df) * 64).astype(np.int64)).astype(np.uint64)
-    keys = (rank << np.uint64(52)) | (h[order] >> np.uint64(12))
-    docs = docs[order]
-    order = np.argsort(docs, kind="stable")
-    starts = arrays.runs(docs[order])
-    return pa.table({"doc_id": docs[order][starts[:-1]], "keys": pa.array([keys[order[a:z]].tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)], pa.binary())})
-
-
-def _ordered(table: pa.Table) -> pa.Table:
+
+    def task(table: pa.Table) -> pa.Table:
+        docs, h = arrays.packed(table.column("docs"), "<i8"), arrays.packed(table.column("tokens"), "<u8")
+        order = np.argsort(h)
+        length = np.diff(arrays.runs(h[order]))
+        df = np.repeat(length, length)
+        order, df = order[df > 1], df[df > 1]
+        rank = np.minimum(4095, (np.log2(df) * 64).astype(np.int64)).astype(np.uint64)
+        keys = (rank << np.uint64(52)) | (h[order] >> np.uint64(12))
+        return arrays.deal(docs[order], {"keys": keys}, groups)
+
+    return task
+
+
+def _keys_by_document(table: pa.Table) -> pa.Table:
+    ids, starts, (keys,) = arrays.gather(table, {"keys": "<u8"})
+    return pa.table({"doc_id": ids, "keys": pa.array([np.sort(keys[a:z]).tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)], pa.binary())})
+
+
+def _with_prefix(batches):
     """One row per document: its shared shingles in global order and how many of them are prefix."""
-    ids, n, keys = table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("keys").to_pylist()
-    order = np.argsort(ids, kind="stable")
-    starts = arrays.runs(ids[order])
-    out: list[list] = [[], [], [], []]
-    for a, z in zip(starts[:-1], starts[1:], strict=True):
-        own = np.sort(np.frombuffer(b"".join(keys[i] for i in order[a:z]), "<u8"))
-        size = int(n[order[a]])
-        prefix = size - -(-80 * size // 100) + 1 - (size - len(own))
-        if prefix > 0:
-            for o, x in zip(out, (int(ids[order[a]]), size, prefix, own.tobytes()), strict=True):
-                o.append(x)
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["doc_id", "n", "prefix", "keys"])
+    for b in batches:
+        n, held = b.column("n").to_numpy(), pc.binary_length(b.column("keys")).to_numpy() // 8
+        prefix = n - (80 * n + 99) // 100 + 1 - (n - held)
+        rows = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(prefix), b.column("keys")], names=["doc_id", "n", "prefix", "keys"])
+        yield rows.filter(pa.array(prefix > 0))
 
 
 def ordered_sets(sets: DataFrame) -> DataFrame:
@@ -186,8 +195,9 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     amount = 8 * (sets.agg(F.sum("n")).first()[0] or 0)
     buckets = _buckets(sets, amount)
     sent = sets.select("doc_id", "tokens").mapInArrow(_by_bucket(buckets), "bucket long, docs binary, tokens binary")
-    found = sent.groupBy("bucket").applyInArrow(_frequencies, "doc_id long, keys binary")
-    return found.join(sets.select("doc_id", "n"), "doc_id").groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")).applyInArrow(_ordered, "doc_id long, n long, prefix long, keys binary")
+    found = sent.groupBy("bucket").applyInArrow(_frequencies(buckets), "part long, docs binary, keys binary")
+    keys = found.groupBy("part").applyInArrow(_keys_by_document, "doc_id long, keys binary")
+    return keys.join(sets.select("doc_id", "n"), "doc_id").select("doc_id", "n", "keys").mapInArrow(_with_prefix, "doc_id long, n long, prefix long, keys binary")
 
 
 def _chains(token: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

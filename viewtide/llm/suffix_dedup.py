@@ -132,35 +132,43 @@ def _emit_keys(buckets: int):
     return task
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    given = table.filter(pc.is_valid(table.column("doc_id")))
-    rest = table.filter(pc.is_null(table.column("doc_id")))
-    ids, keys = [given.column("doc_id").to_numpy()], given.column("keys").to_pylist()
-    if len(rest):
-        bucket = rest.column("bucket")[0].as_py()
-        sizes = arrays.packed(rest.column("sizes"), "<u4")
-        known, docs = [], []
-        for x in rest.column("docs").to_pylist():
-            known.append(np.frombuffer(x, bool, len(x) // 9))
-            docs.append(np.frombuffer(x, "<i8", len(x) // 9, len(x) // 9))
-        known, docs = np.repeat(np.concatenate(known), sizes), np.repeat(np.concatenate(docs), sizes)
-        key = arrays.packed(rest.column("keys"), "<u4")
-        order = np.argsort(key)
-        length = np.diff(arrays.runs(key[order]))
-        hit = order[np.repeat(length > 1, length)]
-        hit = hit[known[hit]]
-        hit = hit[np.argsort(docs[hit], kind="stable")]
-        cuts = arrays.runs(docs[hit])
-        ids.append(docs[hit[cuts[:-1]]])
-        keys += [(key[hit[a:z]].astype("<i8") | (bucket << 32)).tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"doc_id": np.concatenate(ids), "keys": pa.array(keys, pa.binary())})
+def _shared(groups: int):
+    def task(table: pa.Table) -> pa.Table:
+        given = table.filter(pc.is_valid(table.column("doc_id")))
+        rest = table.filter(pc.is_null(table.column("doc_id")))
+        own = given.column("keys").to_pylist()
+        ids = [np.repeat(given.column("doc_id").to_numpy(), [len(x) // 8 for x in own])]
+        keys = [np.frombuffer(b"".join(own), "<i8")]
+        if len(rest):
+            bucket = rest.column("bucket")[0].as_py()
+            sizes = arrays.packed(rest.column("sizes"), "<u4")
+            known, docs = [], []
+            for x in rest.column("docs").to_pylist():
+                known.append(np.frombuffer(x, bool, len(x) // 9))
+                docs.append(np.frombuffer(x, "<i8", len(x) // 9, len(x) // 9))
+            known, docs = np.repeat(np.concatenate(known), sizes), np.repeat(np.concatenate(docs), sizes)
+            key = arrays.packed(rest.column("keys"), "<u4")
+            order = np.argsort(key)
+            length = np.diff(arrays.runs(key[order]))
+            hit = order[np.repeat(length > 1, length)]
+            hit = hit[known[hit]]
+            ids.append(docs[hit])
+            keys.append(key[hit].astype("<i8") | (bucket << 32))
+        return arrays.deal(np.concatenate(ids), {"keys": np.concatenate(keys)}, groups)
+
+    return task
+
+
+def _keys_by_document(table: pa.Table) -> pa.Table:
+    ids, starts, (keys,) = arrays.gather(table, {"keys": "<i8"})
+    return pa.table({"doc_id": ids, "keys": pa.array([np.unique(keys[a:z]).tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)], pa.binary())})
 
 
 def shared_keys(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id and lists of its shard keys that occur twice or more in ``docs``."""
+    """doc_id and its shard keys, packed, that occur twice or more in ``docs``."""
     sent = docs.mapInArrow(_emit_keys(buckets), "bucket long, doc_id long, docs binary, sizes binary, keys binary")
-    found = sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, keys binary")
-    return found.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    found = sent.groupBy("bucket").applyInArrow(_shared(buckets), "part long, docs binary, keys binary")
+    return found.groupBy("part").applyInArrow(_keys_by_document, "doc_id long, keys binary")
 
 
 PIECES = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("twice", pa.binary()), ("text", pa.binary())])
@@ -193,7 +201,7 @@ def _emit_segments(buckets: int):
                 first, size, row, key, twice = segments(data, offsets)
                 tag = _tag(key, buckets)
                 cuts = np.searchsorted(row, np.arange(rows.stop - rows.start + 1))
-                keep = [np.isin(tag[a:z], np.frombuffer(b"".join(w), "<i8")) for a, z, w in zip(cuts[:-1], cuts[1:], wanted[rows], strict=True)]
+                keep = [np.isin(tag[a:z], np.frombuffer(w, "<i8")) for a, z, w in zip(cuts[:-1], cuts[1:], wanted[rows], strict=True)]
                 keep = np.flatnonzero(np.concatenate(keep))
                 if not len(keep):
                     continue
@@ -240,43 +248,52 @@ def shard_repeats(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return [starts[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    given = table.filter(pc.is_valid(table.column("doc_id")))
-    rest = table.filter(pc.is_null(table.column("doc_id")))
-    ids, ranges = [given.column("doc_id").to_numpy()], given.column("starts").to_pylist()
-    if len(rest):
-        doc, place, size, key, twice = (arrays.packed(rest.column(c), k) for c, k in (("docs", "<i8"), ("places", "<i8"), ("sizes", "<u4"), ("keys", "<u8"), ("twice", "?")))
-        size = size.astype(np.int64)
-        whole = b"".join(rest.column("text").to_pylist())
-        bounds = np.concatenate(([0], np.cumsum(size + WIDTH - 1))).tolist()
-        texts = [whole[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-        heads, later = _collapse(texts, doc, place)
-        found = [(doc[later], place[later], size[later])]
-        order = heads[np.lexsort((place[heads], doc[heads], key[heads]))]
-        cuts = arrays.runs(key[order])
-        alone = np.repeat(np.diff(cuts) == 1, np.diff(cuts)) & ~twice[order]
-        order = order[~alone]  # a single segment that holds its hash once has no equal strings
-        cuts = arrays.runs(key[order]).tolist()
-        shard: list[int] = []
-        held = 0
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            shard += order[a:z].tolist()
-            held += int((size[order[a:z]] + WIDTH).sum())
-            if held >= SHARD_BYTES or z == cuts[-1]:
-                for i, starts in zip(shard, shard_repeats([texts[i] for i in shard]), strict=True):
-                    if len(starts):
-                        edges = np.concatenate(([0], np.flatnonzero(np.diff(starts) > 1) + 1, [len(starts)]))
-                        found.append((np.full(len(edges) - 1, doc[i]), place[i] + starts[edges[:-1]], np.diff(edges)))
-                shard, held = [], 0
-        out_ids, packed = _ranges_by_doc(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        ids.append(out_ids)
-        ranges += packed
-    return pa.table({"doc_id": np.concatenate(ids), "starts": pa.array(ranges, pa.binary())})
-
-
-def removed_spans(n: int, starts: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Maximal removed runs (start, stop) of a text from packed (first, number) pairs of repeated starts."""
-    pairs = np.frombuffer(b"".join(starts), "<i8").reshape(-1, 2)
+def _repeats(groups: int):
+    def task(table: pa.Table) -> pa.Table:
+        given = table.filter(pc.is_valid(table.column("doc_id")))
+        rest = table.filter(pc.is_null(table.column("doc_id")))
+        own = given.column("starts").to_pylist()
+        pairs = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+        found = [(np.repeat(given.column("doc_id").to_numpy(), [len(x) // 16 for x in own]), pairs[:, 0], pairs[:, 1])]
+        if len(rest):
+            doc, place, size, key, twice = (arrays.packed(rest.column(c), k) for c, k in (("docs", "<i8"), ("places", "<i8"), ("sizes", "<u4"), ("keys", "<u8"), ("twice", "?")))
+            size = size.astype(np.int64)
+            whole = b"".join(rest.column("text").to_pylist())
+            bounds = np.concatenate(([0], np.cumsum(size + WIDTH - 1))).tolist()
+            texts = [whole[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+            heads, later = _collapse(texts, doc, place)
+            found.append((doc[later], place[later], size[later]))
+            order = heads[np.lexsort((place[heads], doc[heads], key[heads]))]
+            cuts = arrays.runs(key[order])
+            alone = np.repeat(np.diff(cuts) == 1, np.diff(cuts)) & ~twice[order]
+            order = order[~alone]  # a single segment that holds its hash once has no equal strings
+            cuts = arrays.runs(key[order]).tolist()
+            shard: list[int] = []
+            held = 0
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                shard += order[a:z].tolist()
+                held += int((size[order[a:z]] + WIDTH).sum())
+                if held >= SHARD_BYTES or z == cuts[-1]:
+                    for i, starts in zip(shard, shard_repeats([texts[i] for i in shard]), strict=True):
+                        if len(starts):
+                            edges = np.concatenate(([0], np.flatnonzero(np.diff(starts) > 1) + 1, [len(starts)]))
+                            found.append((np.full(len(edges) - 1, doc[i]), place[i] + starts[edges[:-1]], np.diff(edges)))
+                    shard, held = [], 0
+        doc, first, number = (np.concatenate(x) for x in zip(*found, strict=True))
+        return arrays.deal(doc, {"first": first.astype("<i8"), "number": number.astype("<i8")}, groups)
+
+    return task
+
+
+def _starts_by_document(table: pa.Table) -> pa.Table:
+    ids, starts, columns = arrays.gather(table, {"first": "<i8", "number": "<i8"})
+    pairs = np.stack(columns, 1)
+    return pa.table({"doc_id": ids, "starts": pa.array([pairs[a:z].tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)], pa.binary())})
+
+
+def removed_spans(starts: bytes, width: int = WIDTH) -> np.ndarray:
+    """Maximal removed runs (start, stop) from packed (first, number) pairs of repeated starts."""
+    pairs = np.frombuffer(starts, "<i8").reshape(-1, 2)
     if not len(pairs):
         return np.zeros((0, 2), np.int64)
     order = np.argsort(pairs[:, 0], kind="stable")
@@ -290,7 +307,7 @@ def _cut(batches):
     for b in batches:
         out: list[list] = [[], [], [], [], [], []]
         for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), strict=True):
-            spans = removed_spans(len(text), starts or [])
+            spans = removed_spans(starts or b"")
             edges = np.concatenate(([0], spans.ravel(), [len(text)])).tolist()
             left = b"".join([text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)])
             row = (doc, len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)
@@ -322,7 +339,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     split = stage_table(split, "repeat-texts")
     sharing = split.where("keys is not null").select("doc_id", "text", "keys")
     pieces = sharing.mapInArrow(_emit_segments(buckets), "bucket long, doc_id long, starts binary, docs binary, places binary, sizes binary, keys binary, twice binary, text binary")
-    starts = pieces.groupBy("bucket").applyInArrow(_repeats, "doc_id long, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    found = pieces.groupBy("bucket").applyInArrow(_repeats(buckets), "part long, docs binary, first binary, number binary")
+    starts = found.groupBy("part").applyInArrow(_starts_by_document, "doc_id long, starts binary")
     done = sharing.drop("keys").join(starts, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     zero = F.lit(0).cast("long")
     rest = split.where("keys is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
