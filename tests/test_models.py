@@ -56,8 +56,17 @@ def test_metrics_of_known_errors(spark):
 def test_penalty_mapping(spark):
     net = models.elastic_net(l1=0.02, l2=0.03)
     reg, mix = net.getRegParam(), net.getElasticNetParam()
-    assert reg * mix == pytest.approx(0.02)
-    assert reg * (1 - mix) / 2 == pytest.approx(0.03)
+    # half the squared error, so half of each penalty
+    assert reg * mix == pytest.approx(0.01)
+    assert reg * (1 - mix) / 2 == pytest.approx(0.015)
+    assert not net.getStandardization()
+
+
+def test_r2_of_constant_labels(spark):
+    same = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "label double, prediction double")
+    assert metrics.regression_metrics(same).first().r2 == 1.0
+    off = spark.createDataFrame([(2.0, 2.0), (2.0, 3.0)], "label double, prediction double")
+    assert metrics.regression_metrics(off).first().r2 == 0.0
 
 
 def test_grid_search(train):

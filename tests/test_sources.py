@@ -138,3 +138,11 @@ def test_records(spark, write):
         (5, None, None, [7, 8]),
     ]
     assert sorted(r[0] for r in failed.collect()) == ["[1, 2]", "__import__('os').getcwd()", "{'id': 6, 'name': "]
+
+
+def test_empty_text_fields_are_keys(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("1,,b,1,3\n1,s,,1,4\n")
+    strict = interactions.scan_interactions(spark, str(tmp_path), skip_header=False).select("stream_id", "streamer").collect()
+    good, bad = interactions.scan_with_quarantine(spark, str(tmp_path), skip_header=False)
+    assert sorted(map(tuple, strict)) == [("", "b"), ("s", "")] == sorted(map(tuple, good.select("stream_id", "streamer").collect()))
+    assert bad.count() == 0

@@ -154,14 +154,18 @@ _SPREAD = {"mae_mean": F.avg, "mae_std": F.stddev_samp}
 
 
 def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row: MAE, MSE, RMSE and R2 of a scored table, in a single aggregate."""
+    """One row: MAE, MSE, RMSE and R2 of a scored table, in a single aggregate.
+
+    R2 of labels that do not vary is 1 for a perfect fit, else 0.
+    """
     error = F.col(label) - F.col(prediction)
     mse = F.avg(error * error)
+    constant = F.when(mse == 0, 1.0).when(mse > 0, 0.0)
     return scored.agg(
         F.avg(F.abs(error)).alias("mae"),
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
-        (1 - mse / F.var_pop(label)).alias("r2"),
+        F.coalesce(1 - F.try_divide(mse, F.var_pop(label)), constant).alias("r2"),
     )
 
 

@@ -60,10 +60,12 @@ def boosted_trees(
 def elastic_net(l1: float = L1_PENALTY, l2: float = L2_PENALTY) -> LinearRegression:
     """Linear model with separate L1 and squared L2 penalties on the squared error.
 
-    Spark writes the penalty as ``reg * (mix * |w| + (1 - mix) / 2 * w^2)``.
+    The loss is the mean squared error plus ``l1 * |w| + l2 * w^2``. Spark minimises half the mean squared
+    error plus ``reg * (mix * |w| + (1 - mix) / 2 * w^2)``, so both penalties are halved, and
+    weights are penalised as they are, not scaled by their column's spread.
     """
-    reg = l1 + 2 * l2
-    return LinearRegression(regParam=reg, elasticNetParam=l1 / reg if reg else 0.0)
+    reg = l1 / 2 + l2
+    return LinearRegression(regParam=reg, elasticNetParam=l1 / 2 / reg if reg else 0.0, standardization=False)
 
 
 def encoder(numeric: Sequence[str] = ENCODED_NUMERIC, categories: Sequence[str] = ENCODED_CATEGORIES) -> Pipeline:

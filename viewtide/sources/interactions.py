@@ -30,7 +30,8 @@ def _whole_number(field: str) -> Column:
 
 
 def _typed(rows: DataFrame, cast) -> DataFrame:
-    fields = [cast(f).alias(f) if f in INTEGER_FIELDS else F.col(f) for f in RAW_FIELDS]
+    # an empty text field is a key of its own; the reader gives null for it
+    fields = [cast(f).alias(f) if f in INTEGER_FIELDS else F.coalesce(f, F.lit("")).alias(f) for f in RAW_FIELDS]
     return session_duration(rows.select("row_id", *fields))
 
 
