@@ -1,7 +1,7 @@
 """WARC records in ZIP-packaged archives, written and read back by byte ranges.
 
-An archive is a ZIP file with two stored members: ``archive/data.warc``, all records, and
-``indexes/index.cdxj``, a line per record with its offset and length in the first. A reader needs
+An archive is a ZIP file with two stored members: ``archive/data.warc.gz``, all records, each a gzip
+member of its own, and ``indexes/index.cdxj``, a line per record with its offset and length in the first. A reader needs
 no extraction: it reads the end of the file, the central directory (in its 64-bit form where a
 size or offset asks for that), the index member, and then only the record ranges.
 
@@ -17,6 +17,7 @@ gives no archive and no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -37,7 +38,7 @@ from viewtide.session import scratch_path, stage_table
 ARCHIVE_BYTES = 16 << 20
 RANGE_BYTES = 4 << 20
 LEAST_SHARED = 100
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the ZIP format.
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -199,7 +200,7 @@ def _write(folder: str, limit: int):
         for b in batches:
             for i in range(b.num_rows):
                 page, url, payload, digest, refers = (b.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to"))
-                records.append(record_bytes(page, url, payload or b"", digest, refers))
+                records.append(gzip.compress(record_bytes(page, url, payload or b"", digest, refers), 1, mtime=0))
                 keys.append({"url": url, "digest": digest})
                 held += len(records[-1])
                 if held >= limit:
@@ -261,7 +262,7 @@ def _read(folder: str, names: list[str]):
                     data = _at(file, start, sum(lengths))
                 rows, at = [], 0
                 for n in lengths:
-                    rows.append(parse_record(data[at : at + n]))
+                    rows.append(parse_record(gzip.decompress(data[at : at + n])))
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], FIELDS[f]) for f in names], names=names)
 
