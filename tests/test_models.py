@@ -152,3 +152,13 @@ def test_capped_tables_and_reports(spark, folder):
     assert [r["test_idx"] for r in rows] == list(range(60))
     assert [r["predicted"] is None for r in rows] == [True] * 49 + [False] * 11
     assert rows[59]["mean_line"] == pytest.approx(metrics.baseline_values(table, TREE_LABEL).first()["mean"])
+
+
+def test_a_fit_does_not_depend_on_the_partitions_of_its_table(planted):
+    table = models.assemble(planted)
+    layouts = [table.repartition(1), table.repartition(7), table.coalesce(2)]
+    predictions = [
+        [r.prediction for r in models.fit_and_score(models.tuned_forest(trees=5), t)[1].orderBy("row_id").collect()]
+        for t in layouts
+    ]
+    assert predictions[0] == predictions[1] == predictions[2]

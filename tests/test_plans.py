@@ -77,7 +77,7 @@ def test_without_hot_keys_nothing_is_scanned_for_their_copies(spark, folder):
 
 
 def test_the_cap_reaches_the_scan(spark, folder):
-    assert re.search(r"PushedFilters: \[.*LessThan\(event_id,10000\)", plan(spark, folder, "head_rows"))
+    assert re.search(r"PushedFilters: \[.*LessThan\(event_id,700\)", plan(spark, folder, "head_rows"))
 
 
 @pytest.mark.parametrize(

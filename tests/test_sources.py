@@ -146,3 +146,34 @@ def test_empty_text_fields_are_keys(spark, tmp_path):
     good, bad = interactions.scan_with_quarantine(spark, str(tmp_path), skip_header=False)
     assert sorted(map(tuple, strict)) == [("", "b"), ("s", "")] == sorted(map(tuple, good.select("stream_id", "streamer").collect()))
     assert bad.count() == 0
+
+
+def test_lines_of_more_than_one_value_fail(spark, write):
+    lines = [
+        "{'id': 1} garbage",
+        "{'id': 2}, {'id': 3}",
+        "{'id': 4}{'id': 5}",
+        "{'id': 6}] garbage",
+        "{'id': 7}} garbage",
+        "{'id': 8}, 'a': {'id': 9}",
+    ]
+    good, failed = records.load_records(spark, write("m.gz", *lines, "  {'id': 10} "), RECORD)
+    assert [r.id for r in good.collect()] == [10]
+    assert sorted(r.line for r in failed.collect()) == sorted(lines)
+
+
+def test_files_are_numbered_in_the_order_of_their_numbers(spark, tmp_path):
+    names = ["log-2.csv", "log-10.csv", "part-99998.csv", "part-100000.csv"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text(f"{i},s,b,1,3\n")
+    table = interactions.scan_interactions(spark, str(tmp_path), skip_header=False)
+    assert [r.user_id for r in table.orderBy("row_id").collect()] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("line", ["1,s,b,1", "1,s,b,1,3,4", "x,s,b,1,3", "1,s,b,1,y"])
+def test_strict_scan_checks_fields_a_query_does_not_use(spark, tmp_path, line):
+    (tmp_path / "log.csv").write_text(f"1,s,b,1,3\n{line}\n")
+    scan = interactions.scan_interactions(spark, str(tmp_path), skip_header=False)
+    for use in (scan.count, scan.select("streamer").collect, scan.select("row_id").collect):
+        with pytest.raises(Exception, match="MALFORMED|not a whole number"):
+            use()

@@ -26,8 +26,9 @@ from viewtide.sources.adapters import events_log
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-HEAD_ROWS = 10_000
-PLOT_SAMPLE = 2_000
+# Small enough to cut rows off the smallest test tables.
+HEAD_ROWS = 700
+PLOT_SAMPLE = 150
 FOLDS = 5
 
 # Errors against a mean of round-numbered counts are short decimals; with this many digits
@@ -219,7 +220,7 @@ def row_order(spark, folder):
 
 @query
 def head_rows(spark, folder):
-    """The cap itself: the first 10,000 rows in file order."""
+    """The cap itself: the first rows in file order."""
     return splits.head_rows(events_log(spark, folder), HEAD_ROWS)
 
 
@@ -271,6 +272,16 @@ def minmax_scale(spark, folder):
     return rounded(encode.minmax_scale(table, ENCODED_NUMERIC), *ENCODED_NUMERIC)
 
 
+@query
+def minmax_scale_train(spark, folder):
+    """The same columns scaled by the ranges of the training part only."""
+    log = events_log(spark, folder)
+    table = features.encoded_features(log).select("row_id", *ENCODED_NUMERIC)
+    table = stage_table(splits.positional_split(table, n=splits.row_count(log)), "numeric")
+    scaled = encode.minmax_scale(table, ENCODED_NUMERIC, fit_on=part_of(table, splits.TRAIN))
+    return rounded(scaled, *ENCODED_NUMERIC)
+
+
 @query
 def one_hot(spark, folder):
     t = F.col("start_time")
@@ -373,7 +384,7 @@ def smoothed_series(spark, folder):
 
 @query
 def smoothed_sample(spark, folder):
-    """The plot sample itself: the first 2,000 test rows, then smoothed."""
+    """The plot sample itself: the first test rows, then smoothed."""
     return _smoothed_history(spark, folder, PLOT_SAMPLE)
 
 
@@ -401,15 +412,41 @@ def scan_interactions(spark, folder):
 
 
 @query
-def scan_quarantine(spark, folder):
-    """The same log with every start time of one event type damaged: how many rows fail."""
+def scan_empty_fields(spark, folder):
+    """The log with empty stream and streamer fields, which are keys of their own."""
+    text, table = scratch_path(spark, "log-text"), scratch_path(spark, "log")
+    i = F.col("row_id")
+    log = events_log(spark, folder).withColumns(
+        {
+            "stream_id": F.when(i % 7 != 0, F.col("stream_id")),
+            "streamer": F.when(i % 5 != 0, F.col("streamer")),
+        }
+    )
+    interactions.write_log(log, text)
+    return interactions.ingest_interactions(spark, text, table)
+
+
+def _damaged_scan(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The log with every start time of one event type damaged, as good rows and rejected lines."""
     text = scratch_path(spark, "damaged-text")
     log = events_log(spark, folder)
     start = F.when(F.col("streamer") == "error", F.concat(F.lit("t"), F.col("start_time"))).otherwise(
         F.col("start_time").cast("string")
     )
     interactions.write_log(log.withColumn("start_time", start), text)
-    good, bad = interactions.scan_with_quarantine(spark, text)
+    return interactions.scan_with_quarantine(spark, text)
+
+
+@query
+def scan_rejected_lines(spark, folder):
+    """The rejected lines of the damaged log with their row ids."""
+    return _damaged_scan(spark, folder)[1]
+
+
+@query
+def scan_quarantine(spark, folder):
+    """How many rows of the damaged log are read and how many fail."""
+    good, bad = _damaged_scan(spark, folder)
     counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("result"), "rows")
               for n, df in (("good", good), ("quarantined", bad))]
     return counts[0].unionByName(counts[1])
@@ -440,13 +477,27 @@ def load_records(spark, folder):
     return good.select("row_id", "streamer", "live", "note", F.col("span")[0].alias("first"), F.col("span")[1].alias("last"))
 
 
+@query
+def load_records_mixed(spark, folder):
+    """One record per line but for two event types, whose lines hold more: read records and failed lines."""
+    one = F.format_string("{'row_id': %d}", "row_id")
+    line = F.when(F.col("streamer") == "click", F.concat(one, F.lit(", "), one))
+    line = line.when(F.col("streamer") == "error", F.concat(one, F.lit("} rest"))).otherwise(one)
+    text = scratch_path(spark, "records")
+    log = events_log(spark, folder)
+    files = log.repartition(spark.sparkContext.defaultParallelism, "row_id")
+    files.select(line.alias("value")).write.option("compression", "gzip").text(text)
+    good, bad = records.load_records(spark, text, T.StructType([T.StructField("row_id", T.LongType())]))
+    read = good.select("row_id", F.lit(None).cast("string").alias("failed_line"))
+    return read.unionByName(bad.select(F.lit(None).cast("bigint").alias("row_id"), F.col("line").alias("failed_line")))
+
+
 _RECORD_FIELDS = ("row_id", "streamer", "start_time", "stop_time")
 
 
 # --- models ---------------------------------------------------------------------------------
 #
-# Fits see every row. Searches run here with fewer trees and settings than the functions'
-# defaults, which hold the full sizes.
+# Fits see every row and run at the functions' default sizes.
 
 
 def _tree_table(spark, folder, shuffle: bool) -> DataFrame:
@@ -482,18 +533,18 @@ def _search(spark, folder, search, **settings) -> DataFrame:
 
 @query
 def rf_grid_search(spark, folder):
-    return _search(spark, folder, tuning.grid_search, trees=(10, 20), parallelism=4)
+    return _search(spark, folder, tuning.grid_search, parallelism=4)
 
 
 @query
 def rf_random_search(spark, folder):
-    return _search(spark, folder, tuning.random_search, draws=4, trees=(10, 30), parallelism=4)
+    return _search(spark, folder, tuning.random_search, parallelism=4)
 
 
 @query
 def learning_curve(spark, folder):
     train = models.assemble(part_of(_tree_table(spark, folder, shuffle=True), splits.TRAIN))
-    return tuning.learning_curve(train, models.default_forest(trees=5, depth=10))
+    return tuning.learning_curve(train)
 
 
 @query
@@ -507,12 +558,11 @@ def linear_elastic_net(spark, folder):
 def model_roundtrip(spark, folder):
     """Save a forest, load it, and count the test rows on which the two predict differently."""
     table = models.assemble(_tree_table(spark, folder, shuffle=False))
-    model, scored = models.fit_and_score(models.tuned_forest(trees=20), table, "idx")
+    model, scored = models.fit_and_score(models.tuned_forest(), table, "idx")
     path = scratch_path(spark, "forest")
     models.save_model(model, path)
-    loaded = models.score(RandomForestRegressionModel.load(path), part_of(table, splits.TEST))
-    again = loaded.select("row_id", F.col("prediction").alias("again"))
-    return scored.join(again, "row_id").agg(
+    loaded = RandomForestRegressionModel.load(path).setPredictionCol("again")
+    return loaded.transform(scored).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("prediction") != F.col("again")).alias("different"),
     )
@@ -522,13 +572,13 @@ def model_roundtrip(spark, folder):
 def smoothed_comparison(spark, folder):
     """Smoothed label, model and baseline series over the test part of the boosted trees."""
     table = _tree_table(spark, folder, shuffle=False)
-    scored = evaluation.score_trees(models.boosted_trees(rounds=20), table)
+    scored = evaluation.score_trees(models.boosted_trees(), table)
     base = metrics.baseline_scalar(table, TREE_LABEL)
     return evaluation.smoothed_comparison(scored, base, splits.row_count(table))
 
 
 def _forest_scores(spark, folder) -> DataFrame:
-    return evaluation.score_trees(models.tuned_forest(trees=20), _tree_table(spark, folder, shuffle=True))
+    return evaluation.score_trees(models.tuned_forest(), _tree_table(spark, folder, shuffle=True))
 
 
 @query

@@ -19,6 +19,9 @@ TRAIN, VALIDATION, TEST = "train", "validation", "test"
 # Fixed value: keys of the shuffled split are the first 32 bits of an MD5.
 KEY_SPACE = 1 << 32
 
+#: Rows per partition of a table that fits read, and the most partitions it gets.
+SPAN_ROWS, MAX_SPANS = 1 << 13, 1 << 16
+
 
 def head_rows(df: DataFrame, n: int | None, order_col: str = "row_id") -> DataFrame:
     """The first ``n`` rows in file order, or all of them for ``None``."""
@@ -78,20 +81,30 @@ def hash_split(
 
 
 def shuffled_index(
-    df: DataFrame, idx: str = "row_id", seed: int = 42, name: str = "shuffled_idx", buckets: int = 1 << 16
+    df: DataFrame,
+    idx: str = "row_id",
+    seed: int = 42,
+    name: str = "shuffled_idx",
+    buckets: int = 1 << 16,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Dense position of every row in a seeded random order, for splits of an exact size.
 
     The hash key is uniform, so cutting its range into buckets gives even groups: a row's
     position is the number of rows in earlier buckets plus its rank inside its own. Only the
-    bucket counts, at most ``buckets`` rows, are accumulated in one place.
+    bucket counts, at most ``buckets`` rows, are accumulated in one place. Where ``df`` is a long
+    plan, pass ``ids``, a cheap table with the same ``idx`` values, to take the counts from.
     """
-    keyed = df.withColumn("_key", shuffle_key(idx, seed)).withColumn(
-        "_bucket", int_div(F.col("_key") * buckets, F.lit(KEY_SPACE))
-    )
+
+    def with_bucket(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_key", shuffle_key(idx, seed))
+        return rows.withColumn("_bucket", int_div(F.col("_key") * buckets, F.lit(KEY_SPACE)))
+
+    keyed = with_bucket(df)
+    counted = keyed if ids is None else with_bucket(ids.select(idx))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy("_bucket")
+        counted.groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
@@ -103,6 +116,18 @@ def shuffled_index(
     )
 
 
+def by_spans(df: DataFrame, idx: str, n: int, span: int = SPAN_ROWS) -> DataFrame:
+    """Rows partitioned and sorted by spans of a dense index below ``n``.
+
+    A span holds ``span`` rows, doubled until there are at most ``MAX_SPANS``. The layout depends on
+    the index alone, not on cores, files or earlier partitions, so seeded fits repeat anywhere.
+    """
+    while n > span * MAX_SPANS:
+        span *= 2
+    spans = df.withColumn("_span", int_div(F.col(idx), F.lit(span)).cast("int"))
+    return spans.repartitionById(max(1, -(-n // span)), "_span").drop("_span").sortWithinPartitions(idx)
+
+
 def kfold(df: DataFrame, idx: str, k: int, name: str = "fold") -> DataFrame:
     """Contiguous folds 0..k-1 over a dense index; the first ``n mod k`` folds get one row more."""
     n = row_count(df)

@@ -142,8 +142,8 @@ def _smoothed(condition: str) -> str:
     return f"SELECT test_idx, {columns} FROM (SELECT * FROM scored, base WHERE {condition})"
 
 
-def _scaled(column: str) -> str:
-    low, high = f"min({column}) OVER ()", f"max({column}) OVER ()"
+def _scaled(column: str, fit_on: str = "TRUE") -> str:
+    low, high = (f"{f}({column}) FILTER ({fit_on}) OVER ()" for f in ("min", "max"))
     return (
         f"round(CASE WHEN {low} = {high} THEN 0.0 "
         f"ELSE ({column} - {low}) / CAST({high} - {low} AS DOUBLE) END, 6) AS {column}"
@@ -259,7 +259,7 @@ SQL: dict[str, str] = {
     "encoded_feature_table": _sql(_ENCODED_ROUNDED, _USERS, _POPULAR, _encoded("10min")),
     "encoded_feature_table_sec": _sql(_ENCODED_ROUNDED, _USERS, _POPULAR, _encoded("sec"), unit="sec"),
     "row_order": "SELECT event_id AS row_id, event_id FROM events",
-    "head_rows": _sql("SELECT * FROM log WHERE row_id < 10000"),
+    "head_rows": _sql("SELECT * FROM log WHERE row_id < 700"),
     "split_positional": _sql("SELECT row_id, part FROM parts", _PARTS),
     "split_shuffled": _sql(
         f"SELECT row_id, CASE WHEN {_KEY} < 858993460 THEN 'test' ELSE 'train' END AS part FROM log"
@@ -294,6 +294,17 @@ SQL: dict[str, str] = {
         _POPULAR,
         _encoded("10min"),
     ),
+    "minmax_scale_train": _sql(
+        "SELECT row_id, part, "
+        + ", ".join(
+            _scaled(c, "part = 'train'") for c in ("streams_watched", "avg_duration", "popularity", "prev_session_duration")
+        )
+        + " FROM encoded JOIN (SELECT row_id, part FROM parts) USING (row_id)",
+        _USERS,
+        _POPULAR,
+        _encoded("10min"),
+        _PARTS,
+    ),
     "one_hot": _sql(f"SELECT row_id, {_one_hot()} FROM log"),
     "baseline_values": _sql("SELECT round(mean, 6) AS mean, round(median, 6) AS median FROM base", _PARTS, _BASE),
     "baseline_metrics": _sql(_BASELINE_METRICS, _PARTS, _BASE),
@@ -370,12 +381,27 @@ SQL: dict[str, str] = {
         *_HISTORY,
     ),
     "smoothed_series": _sql(_smoothed("true"), *_HISTORY, _PARTS, _BASE),
-    "smoothed_sample": _sql(_smoothed("test_idx < 2000"), *_HISTORY, _PARTS, _BASE),
+    "smoothed_sample": _sql(_smoothed("test_idx < 150"), *_HISTORY, _PARTS, _BASE),
     "scan_interactions": _sql("SELECT * FROM log"),
+    "scan_empty_fields": _sql(
+        """SELECT * REPLACE (CASE WHEN row_id % 7 = 0 THEN '' ELSE coalesce(stream_id, '') END AS stream_id,
+                             CASE WHEN row_id % 5 = 0 THEN '' ELSE coalesce(streamer, '') END AS streamer)
+           FROM log"""
+    ),
+    "scan_rejected_lines": _sql(
+        """SELECT row_id, concat(user_id, ',', stream_id, ',', streamer, ',t', start_time, ',', stop_time) AS line
+           FROM log WHERE streamer = 'error'"""
+    ),
     "scan_quarantine": _sql(
         """SELECT CASE WHEN streamer = 'error' THEN 'quarantined' ELSE 'good' END AS result,
                   count(*) AS rows FROM log GROUP BY 1"""
     ),
+    "load_records_mixed": _sql(
+        """SELECT CASE WHEN streamer NOT IN ('click', 'error') THEN row_id END AS row_id,
+                  CASE streamer WHEN 'click' THEN concat(one, ', ', one)
+                                WHEN 'error' THEN concat(one, '} rest') END AS failed_line
+           FROM (SELECT *, concat('{''row_id'': ', row_id, '}') AS one FROM log)"""
+    ),
     "load_records": _sql(
         """SELECT row_id, streamer, streamer IN ('click', 'error') AS live, CAST(NULL AS VARCHAR) AS note,
                   start_time AS "first", stop_time AS "last" FROM log"""

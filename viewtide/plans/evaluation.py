@@ -21,9 +21,15 @@ def part_of(table: DataFrame, part: str) -> DataFrame:
 
 def _staged(log: DataFrame, table: DataFrame, cap: int | None, shuffle: bool, row_id: str, name: str) -> DataFrame:
     """Give a feature table its split and a dense index ``idx`` in split order, and stage it."""
-    n = splits.row_count(splits.head_rows(log, cap, row_id))
-    indexed = splits.shuffled_index(table, row_id, name="idx") if shuffle else table.withColumn("idx", F.col(row_id))
-    return stage_table(splits.positional_split(indexed, "idx", n=n), name)
+    ids = splits.head_rows(log, cap, row_id).select(row_id)
+    n = ids.count()
+    if shuffle:
+        indexed = splits.shuffled_index(table, row_id, name="idx", ids=ids)
+    else:
+        indexed = table.withColumn("idx", F.col(row_id))
+    split = splits.positional_split(indexed, "idx", n=F.lit(n))
+    # in index order, so that parts, folds and prefixes skip row groups
+    return stage_table(splits.by_spans(split, "idx", n), name)
 
 
 def tree_table(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewtide.operators.metrics import regression_metrics
-from viewtide.operators.splits import TEST, TRAIN
+from viewtide.operators.splits import TEST, TRAIN, by_spans
 from viewtide.schema import ENCODED_CATEGORIES, ENCODED_LABEL, ENCODED_NUMERIC, TREE_FEATURES, TREE_LABEL
 
 # Settings of the models.
@@ -102,10 +102,10 @@ def score(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("residual", F.col("label") - F.col("prediction"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for an iterative fit on a table of few files; no shuffle for a large one."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, idx: str) -> DataFrame:
+    """The rows of a fit in spans of ``idx``: bagging then gives the same forest on any machine."""
+    last = df.agg(F.max(idx)).first()[0]
+    return by_spans(df, idx, 0 if last is None else last + 1)
 
 
 def fit_and_score(estimator: Estimator, df: DataFrame, row_id: str = "row_id") -> tuple[Model, DataFrame]:

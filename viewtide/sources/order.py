@@ -1,6 +1,7 @@
 """Dense row ids in file order.
 
-A log's order is its file order, then the order inside each file. A row's id is the number
+A log's order is its file order, then the order inside each file. Files are ordered by path, digit
+runs in it comparing as numbers (``part-9`` before ``part-10``), unless the caller gives a key. A row's id is the number
 of rows in all earlier pieces plus its position in its own piece, so rows are never sorted or
 moved to number them. What is accumulated in one place is one row per piece of input, the
 list of files the driver holds for the scan anyway.
@@ -8,17 +9,33 @@ list of files the driver holds for the scan anyway.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _piece_offsets(pieces: DataFrame, order: list[str]) -> DataFrame:
+def natural_key(path: Column) -> Column:
+    """Sort key of a path: its text and digit runs in turn, numbers by length and then by digits."""
+    runs = F.regexp_extract_all(path, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def key(run: Column) -> Column:
+        digits = F.ltrim(run, F.lit("0"))
+        number = F.concat(F.lpad(F.length(digits).cast("string"), 5, "0"), digits)
+        return F.when(run.rlike("^[0-9]"), number).otherwise(run)
+
+    return F.transform(runs, key)
+
+
+def _piece_offsets(pieces: DataFrame, order: list[Column | str]) -> DataFrame:
     """Rows before each piece, pieces being taken in ``order``."""
     before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
-def parquet_row_order(spark: SparkSession, path: str, name: str = "row_id") -> DataFrame:
+def parquet_row_order(
+    spark: SparkSession, path: str, name: str = "row_id", file_key: Callable[[Column], Column] = natural_key
+) -> DataFrame:
     """A Parquet table with a dense row id in file order, from the reader's own row index."""
     table = spark.read.parquet(path)
     rows = table.select(
@@ -27,13 +44,15 @@ def parquet_row_order(spark: SparkSession, path: str, name: str = "row_id") -> D
         F.col("_metadata.row_index").alias("_pos"),
     )
     counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _piece_offsets(counts, ["_file"]).select("_file", "_before")
+    offsets = _piece_offsets(counts, [file_key(F.col("_file")), "_file"]).select("_file", "_before")
     return rows.join(offsets, "_file").select(
         *table.columns, (F.col("_before") + F.col("_pos")).alias(name)
     )
 
 
-def text_row_order(rows: DataFrame, name: str = "row_id") -> DataFrame:
+def text_row_order(
+    rows: DataFrame, name: str = "row_id", file_key: Callable[[Column], Column] = natural_key
+) -> DataFrame:
     """Number the rows of a text-based scan (CSV, JSON, text; compressed or not).
 
     A piece is a file or, for a splittable file, one split of it. Spark numbers the rows of a
@@ -49,7 +68,7 @@ def text_row_order(rows: DataFrame, name: str = "row_id") -> DataFrame:
     pieces = numbered.groupBy("_file", "_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first")
     )
-    offsets = _piece_offsets(pieces, ["_file", "_start"]).select("_file", "_start", "_first", "_before")
+    offsets = _piece_offsets(pieces, [file_key(F.col("_file")), "_file", "_start"]).select("_file", "_start", "_first", "_before")
     return numbered.join(offsets, ["_file", "_start"]).select(
         *rows.columns, (F.col("_before") + F.col("_seq") - F.col("_first")).alias(name)
     )

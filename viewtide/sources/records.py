@@ -41,16 +41,31 @@ def _parse(text: Column, schema: T.StructType) -> Column:
     return F.from_json(text, with_corrupt, options)
 
 
+def _one_value(line: Column) -> Column:
+    """Whether nothing but one JSON value is on the line; the parser itself stops after the first.
+
+    The line becomes the first of two values of an object whose keys hold the line's hash, so no line can
+    close that object early, or add to it, without the number or the names of its entries showing it.
+    """
+    key = F.xxhash64(line).cast("string")
+    wrapped = F.concat(F.lit('{"'), key, F.lit('a":'), line, F.lit(',"'), key, F.lit('b":0}'))
+    entries = F.from_json(wrapped, T.MapType(T.StringType(), T.StringType()), {"allowSingleQuotes": "true"})
+    names = F.map_keys(entries)
+    expected = F.array(F.concat(key, F.lit("a")), F.concat(key, F.lit("b")))
+    return F.coalesce(names == expected, F.lit(False))
+
+
 def load_records(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Read record lines into ``schema``; returns the records and the lines nobody could read.
 
     Lines are parsed as JSON (single quotes allowed) inside the JVM. Only the lines that are
-    not JSON, say with ``None``, ``True`` or a tuple, reach Python, where they are read as
-    literals, never evaluated as code. The text is scanned once per returned table.
+    not one JSON value, say with ``None``, ``True``, a tuple or trailing text, reach Python, where they
+    are read as literals, never evaluated as code; one that is not exactly one record fails. The text
+    is scanned once per returned table.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
     first = lines.withColumn("_json", _parse(F.col("value"), schema))
-    not_json = F.col("_json._corrupt").isNotNull() | F.col("_json").isNull()
+    not_json = F.col("_json._corrupt").isNotNull() | F.col("_json").isNull() | ~_one_value(F.col("value"))
     literal = first.withColumn("_literal", _literal_parser()(F.when(not_json, F.col("value"))))
     second = literal.withColumn("_read", F.when(not_json, _parse(F.col("_literal"), schema)).otherwise(F.col("_json")))
     failed = F.col("_read").isNull() | F.col("_read._corrupt").isNotNull()
