@@ -20,7 +20,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
@@ -84,6 +84,29 @@ def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.sql(f"SELECT * FROM VALUES {_values(list(idf.items()))} AS t(w, idf)"), spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS t(w, v, place, license)")
 
 
+def may_match(unit: Column, threshold: float) -> Column:
+    """False only for a unit that no template can reach: a bound on its cosine, computed within the row.
+
+    The product with any template is at most the sum over words of x times the word's largest weight in any template,
+    and words in sorted order give the exact length. Nothing moves, so only likely units are shuffled as words.
+    """
+    idf, unknown, vectors = template_weights()
+    peak = {w: max(v.get(w, 0.0) for _, v in vectors) for w in idf}
+    table = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, F.struct(F.lit(idf[w]).alias("idf"), F.lit(idf[w] * peak[w]).alias("top")))])
+    words = F.array_sort(F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda w: w != ""))
+    none = F.struct(F.lit(unknown).alias("idf"), F.lit(0.0).alias("top"))
+    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("top"))
+
+    def add(at: Column, w: Column) -> Column:
+        weight = F.coalesce(F.when(w.isin(sorted(idf)), F.try_element_at(table, w)), none)
+        n = F.when(w == at["w"], at["n"] + 1).otherwise(1.0)
+        # the square of n minus that of n - 1, so that a word adds up to the square of its count
+        squares = at["squares"] + (2 * n - 1) * weight["idf"] * weight["idf"]
+        return F.struct(w.alias("w"), n.alias("n"), squares.alias("squares"), (at["top"] + weight["top"]).alias("top"))
+
+    return F.aggregate(words, start, add, lambda at: at["top"] * 1.000001 >= threshold * F.sqrt(at["squares"]))
+
+
 def best_templates(units: DataFrame) -> DataFrame:
     """Struct best (score, place, license) of the closest template for each (doc_id, path, line) of units with a column unit."""
     idf, vectors = template_tables(units.sparkSession)
@@ -103,7 +126,7 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
     units = able.select("doc_id", "path", F.posexplode(F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
-    scored = best_templates(units)
+    scored = best_templates(units.where(may_match(F.col("unit"), threshold)))
     return scored.where(F.col("best.score") >= threshold).groupBy("doc_id", "path").agg(F.max("best").alias("best"))
 
 
