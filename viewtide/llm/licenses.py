@@ -20,9 +20,11 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewtide.session import stage_table
+
 THRESHOLD = 0.6
 # Short notices by which licences are declared.
 TEMPLATES = (
@@ -73,76 +75,79 @@ def strong_terms(threshold: float = THRESHOLD) -> list[str]:
     return sorted(set(idf) - weak)
 
 
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x) for x in r) + ")" for r in rows)
-
-
-def template_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(w, idf) and (w, v, place, license) of the fixed templates."""
-    idf, _, vectors = template_weights()
-    rows = [(w, x, -i, name) for i, (name, v) in enumerate(vectors) for w, x in v.items()]
-    return spark.sql(f"SELECT * FROM VALUES {_values(list(idf.items()))} AS t(w, idf)"), spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS t(w, v, place, license)")
+def _known(words: Column) -> Column:
+    return F.filter(words, lambda w: w.isin(sorted(template_weights()[0])))
 
 
-def may_match(unit: Column, threshold: float) -> Column:
-    """False only for a unit that no template can reach: a bound on its cosine, computed within the row.
+def measure(words: Column) -> Column:
+    """Struct (top, length) of a unit's sorted words: a bound on its product with any template, and its vector's length.
 
-    The product with any template is at most the sum over words of x times the word's largest weight in any template,
-    and words in sorted order give the exact length. Nothing moves, so only likely units are shuffled as words.
+    The bound sums each word's weight times its largest weight in any template.
     """
     idf, unknown, vectors = template_weights()
     peak = {w: max(v.get(w, 0.0) for _, v in vectors) for w in idf}
     table = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, F.struct(F.lit(idf[w]).alias("idf"), F.lit(idf[w] * peak[w]).alias("top")))])
-    words = F.array_sort(F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda w: w != ""))
     none = F.struct(F.lit(unknown).alias("idf"), F.lit(0.0).alias("top"))
+    weighed = F.transform(words, lambda w: F.struct(w.alias("w"), F.when(w.isin(sorted(idf)), F.try_element_at(table, w)).otherwise(none).alias("t")))
     start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("top"))
 
-    def add(at: Column, w: Column) -> Column:
-        weight = F.coalesce(F.when(w.isin(sorted(idf)), F.try_element_at(table, w)), none)
-        n = F.when(w == at["w"], at["n"] + 1).otherwise(1.0)
+    def add(at: Column, x: Column) -> Column:
+        n = F.when(x["w"] == at["w"], at["n"] + 1).otherwise(1.0)
         # the square of n minus that of n - 1, so that a word adds up to the square of its count
-        squares = at["squares"] + (2 * n - 1) * weight["idf"] * weight["idf"]
-        return F.struct(w.alias("w"), n.alias("n"), squares.alias("squares"), (at["top"] + weight["top"]).alias("top"))
+        squares = at["squares"] + (2 * n - 1) * x["t"]["idf"] * x["t"]["idf"]
+        return F.struct(x["w"].alias("w"), n.alias("n"), squares.alias("squares"), (at["top"] + x["t"]["top"]).alias("top"))
+
+    return F.aggregate(weighed, start, add, lambda at: F.struct(at["top"].alias("top"), F.sqrt(at["squares"]).alias("length")))
 
-    return F.aggregate(words, start, add, lambda at: at["top"] * 1.000001 >= threshold * F.sqrt(at["squares"]))
 
+def closest(words: Column, length: Column) -> Column:
+    """Struct (score, place, license) of the template with the largest cosine to sorted words of that vector length."""
+    idf, _, vectors = template_weights()
+    table = F.array(*[
+        F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.create_map(*[F.lit(x) for w in sorted(v) for x in (w, idf[w] * v[w])]).alias("v"))
+        for i, (name, v) in enumerate(vectors)
+    ])
 
-def best_templates(units: DataFrame) -> DataFrame:
-    """Struct best (score, place, license) of the closest template for each (doc_id, path, line) of units with a column unit."""
-    idf, vectors = template_tables(units.sparkSession)
-    key = ["doc_id", "path", "line"]
-    words = units.select(*key, F.explode(F.split(F.lower("unit"), "[^a-z0-9]+")).alias("w")).where("w <> ''")
-    terms = words.groupBy(*key, "w").count().join(idf, "w", "left")
-    terms = terms.withColumn("x", F.col("count") * F.coalesce("idf", F.lit(template_weights()[1])))
-    terms = terms.withColumn("length", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*key))))
-    scores = terms.join(vectors, "w").groupBy(*key, "place", "license").agg(F.round(F.sum(F.col("x") * F.col("v")) / F.first("length"), 9).alias("score"))
-    return scores.groupBy(*key).agg(F.max(F.struct("score", "place", "license")).alias("best"))
+    def score(template: Column) -> Column:
+        product = F.aggregate(_known(words), F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(template["v"], w), F.lit(0.0)))
+        return F.struct(F.round(product / length, 9).alias("score"), template["place"].alias("place"), template["license"].alias("license"))
+
+    return F.array_max(F.transform(table, score))
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path and the struct best (score, place, license) of those files with a licence of their own."""
+    """doc_id, path and the struct best (score, place, license) of every file, null without a licence of its own.
+
+    Each file is judged within its row, so no text moves. Only units whose bound reaches the threshold are scored.
+    """
     pattern = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(strong_terms(threshold)) + r")(?![A-Za-z0-9])"
-    able = files.where(F.col("text").rlike(pattern))
     named = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
-    units = able.select("doc_id", "path", F.posexplode(F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("line", "unit"))
-    scored = best_templates(units.where(may_match(F.col("unit"), threshold)))
-    return scored.where(F.col("best.score") >= threshold).groupBy("doc_id", "path").agg(F.max("best").alias("best"))
+    units = F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))
+    words = F.transform(units, lambda u: F.sort_array(F.filter(F.split(F.lower(u), "[^a-z0-9]+"), lambda w: w != "")))
+    measured = F.transform("words", lambda u: F.struct(u.alias("words"), measure(u).alias("m")))
+    likely = F.filter("measured", lambda u: u["m"]["top"] * 1.000001 >= threshold * u["m"]["length"])
+    best = F.array_max(F.transform("likely", lambda u: closest(u["words"], u["m"]["length"])))
+    # texts without any strong term get no units; the others' arrays are built one column after the other
+    able = files.select("doc_id", "path", F.when(F.col("text").rlike(pattern), words).alias("words"))
+    judged = able.select("doc_id", "path", measured.alias("measured")).select("doc_id", "path", likely.alias("likely")).select("doc_id", "path", best.alias("best"))
+    return judged.select("doc_id", "path", F.when(F.col("best.score") >= threshold, F.col("best")).alias("best"))
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, license, score, how (own, inherited or none), license_dir for files (doc_id, path, text)."""
-    own = own_licenses(files, threshold)
+    """doc_id, path, license, score, how (own, inherited or none), license_dir for files (doc_id, path, text).
+
+    The files' own licences are written once to the shared folder and read for the directories and for the rows.
+    """
+    own = stage_table(own_licenses(files, threshold), "own-licenses")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     named = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
-    licensed = own.where(named).select(folder.alias("dir"), "best").groupBy("dir").agg(F.max("best").alias("dir_best"))
-    dirs = files.where("path is not null").select(folder.alias("dir")).distinct()
+    licensed = own.where(named & F.col("best").isNotNull()).select(folder.alias("dir"), "best").groupBy("dir").agg(F.max("best").alias("dir_best"))
+    dirs = own.where("path is not null").select(folder.alias("dir")).distinct()
     parts = F.split("dir", "/")
     above = dirs.select(F.col("dir").alias("at"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("dir"))
     nearest = above.join(licensed, "dir").groupBy("at").agg(F.max_by(F.struct("dir_best", "dir"), F.length("dir")).alias("from"))
-    o = own.select(F.col("doc_id").alias("o_id"), F.col("path").alias("o_path"), "best")
-    rows = files.select("doc_id", "path").withColumn("at", folder)
-    rows = rows.join(o, F.col("doc_id").eqNullSafe(F.col("o_id")) & F.col("path").eqNullSafe(F.col("o_path")), "left").join(nearest, "at", "left")
+    rows = own.withColumn("at", folder).join(nearest, "at", "left")
     mine = F.col("best").isNotNull()
     given = F.coalesce("best", "from.dir_best")
     how = F.when(mine, "own").when(F.col("from").isNotNull(), "inherited").otherwise("none")
