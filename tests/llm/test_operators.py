@@ -70,6 +70,13 @@ def test_jaccard_components(docs, nothing):
     assert ngram_join.jaccard_components(nothing).count() == 0
 
 
+def test_class_members(spark):
+    rows = [(i, i % 1200, 0, 5) for i in range(3000)] + [(i, -1, 0, 5) for i in range(3000, 3500)]
+    want = {i: i % 1200 if i < 3000 else 3000 for i in range(3500)}
+    got = ngram_join.class_members(spark.createDataFrame(rows, "doc_id long, high long, low long, n long")).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.rep for r in got} == want
+
+
 def test_trie_links_match_all_pairs():
     r = np.random.default_rng(2)
     base = r.choice(5000, 80, replace=False)

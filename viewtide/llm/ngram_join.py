@@ -35,6 +35,7 @@ from viewtide.llm.components import components
 from viewtide.session import stage_table
 
 BUCKET_BYTES = 16 << 20
+HOT_CLASSES = 1000
 CELL_TOKENS = 1 << 20
 
 
@@ -368,14 +369,28 @@ def cells(ordered: DataFrame, cluster: DataFrame, limit: int = CELL_TOKENS) -> D
     return rows.select("doc_id", "n", "keys", "total", F.explode(F.when(F.col("total") <= limit, F.array(F.col("cluster").cast("string"))).otherwise(split)).alias("cell"))
 
 
+def class_members(sets: DataFrame) -> DataFrame:
+    """doc_id and the smallest doc_id rep with the same set, for rows (doc_id, high, low, n).
+
+    A set held by more than one row in ``1 / HOT_CLASSES`` is looked up by broadcast: fewer than
+    ``HOT_CLASSES`` sets can be so frequent. The other sets meet their rows by a shuffle.
+    """
+    keys = ["high", "low", "n"]
+    classes = stage_table(sets.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")), "shingle-class-firsts")
+    rows = classes.agg(F.sum("held")).first()[0] or 0
+    hot = F.broadcast(classes.where(F.col("held") * HOT_CLASSES > rows).select(*keys, "rep"))
+    cool = classes.where(F.col("held") * HOT_CLASSES <= rows).select(*keys, "rep")
+    split = sets.join(hot, keys).unionByName(sets.join(hot, keys, "left_anti").join(cool, keys))
+    return split.select("doc_id", "rep")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for ``docs`` (doc_id, text); see the module for the method."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     named = docs.where("doc_id is not null")
     counts = stage_table(shared_counts(named), "shingle-counts")
     sets = stage_table(shingle_table(named, counts), "shingle-sets")
-    classes = sets.groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"))
-    members = stage_table(sets.select("doc_id", "high", "low", "n").join(classes, ["high", "low", "n"]).select("doc_id", "rep"), "shingle-classes")
+    members = stage_table(class_members(sets.select("doc_id", "high", "low", "n")), "shingle-classes")
     firsts = sets.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     ordered = stage_table(ordered_sets(firsts.select("doc_id", "n", "tokens")), "ordered-sets")
     placed = cells(ordered, clusters(ordered))
