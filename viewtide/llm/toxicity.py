@@ -6,6 +6,14 @@ a step depends only on where the next letter occurs near that place. So states a
 shared by all words and looked up. Short terms allow no edit, terms from ``ONE_EDIT`` letters
 one, from ``TWO_EDITS`` letters two.
 
+``derive`` adds what the labels teach: over all labelled texts, each different text once, it counts in how
+many toxic and in how many other ones a word, or a word beginning of ``SHORTEST`` to ``LONGEST`` letters,
+occurs. The test is one-sided: a feature in n texts, k of them toxic, is kept if n x KL(k / n, toxic share)
+reaches ln(m / ``ERROR``), m being the number of features counted. By Hoeffding's bound on sampling without replacement a
+feature unrelated to the labels gets there with a chance of at most ``ERROR`` / m, so all m together
+let one through with at most ``ERROR``. Kept words join the lexicon's trie without edits; a word that is neither in the lexicon nor
+kept counts as its longest kept beginning, if it has one, before terms some edits away. Near copies of a text count as texts.
+
 A found term comes with its context window: inside quotation marks or after a reporting word it
 counts as quoted, next to a second-person word as addressed, else as plain. ``learn`` counts, over
 labelled rows, how often each matched form in each context belongs to a toxic text, smoothed
@@ -21,10 +29,12 @@ doc_id share a score. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from viewtide.session import stage_table
@@ -45,6 +55,8 @@ PRIOR_ROWS = 2.0
 QUOTED_SHARE = 0.5
 BASE_RATE = 0.05
 KNOWN = 400_000
+SHORTEST, LONGEST = 4, 10
+ERROR = 0.05
 _WORD = re.compile(r"[\w@$]+")
 _QUOTES = re.compile("[\"“”„«»]")
 _MOST = 2
@@ -57,17 +69,20 @@ def edits_allowed(term: str) -> int:
 class Matcher:
     """Nearest lexicon term of a word within the term's edits."""
 
-    def __init__(self, lexicon=LEXICON):
+    def __init__(self, lexicon=LEXICON, learned=()):
+        self.beginnings = frozenset(x[:-1] for x in learned if x.endswith("*"))
+        self.lengths = sorted({len(x) for x in self.beginnings}, reverse=True)
+        allowed = dict.fromkeys((x for x in learned if not x.endswith("*")), 0) | {x: edits_allowed(x) for x in lexicon}
+        self.terms = frozenset(allowed)
         # a node: [children, term or None, edits of its term, most edits below]
         self.root: list = [{}, None, 0, 0]
         heads: dict[int, set] = {}
         tails: dict[int, set] = {}
         inner: dict[int, set] = {}
-        for term in sorted(set(lexicon)):
+        for term, k in sorted(allowed.items()):
             path = [self.root]
             for c in term:
                 path.append(path[-1][0].setdefault(c, [{}, None, 0, 0]))
-            k = edits_allowed(term)
             path[-1][1:3] = [term, k]
             for node in path:
                 node[3] = max(node[3], k)
@@ -110,7 +125,11 @@ class Matcher:
         return new
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term, the first in order among equals."""
+        """(term, edits) of the nearest term, the first in order among equals; a beginning is named with a star behind it."""
+        if word not in self.terms:
+            for size in self.lengths:
+                if word[:size] in self.beginnings:
+                    return word[:size] + "*", 0
         n, best = len(word), None
         pieces = self.pieces.get(n)
         if pieces is None or not (word.startswith(pieces[0]) or word.endswith(pieces[1]) or any(x in word for x in pieces[2])):
@@ -169,15 +188,68 @@ def found_terms(text: str, matcher: Matcher, known: dict) -> list[tuple[str, str
             line = lower.rfind("\n", 0, places[i].start()) + 1
             opened = len(_QUOTES.findall(lower, line, places[i].start())) % 2 == 1
             quoted = opened and _QUOTES.search(lower, places[i].end()) is not None
-            out.append((w, *near[w], context(words, i, quoted)))
+            term, edits = near[w]
+            # the words of a beginning share its rate
+            out.append((term if term.endswith("*") else w, term, edits, context(words, i, quoted)))
     return out
 
 
-def _scan(lexicon):
+def features(text: str) -> set[str]:
+    """The words of ``text`` and, with a star behind each, their beginnings."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {w[:n] + "*" for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+
+
+def _count(batches):
+    toxic, number = Counter(), Counter()
+
+    def flush():
+        columns = [pa.array(list(number), pa.string()), pa.array([toxic[f] for f in number], pa.float64()), pa.array(list(number.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "n"])
+
+    for b in batches:
+        for text, label in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
+            here = features(text.as_py())
+            number.update(here)
+            if label:
+                for f in here:
+                    toxic[f] += label
+            if len(number) > KNOWN:
+                yield flush()
+                toxic, number = Counter(), Counter()
+    if number:
+        yield flush()
+
+
+def usable(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("double")).dropDuplicates(["doc_id"])
+
+
+def derive(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """Words and, with a star behind each, word beginnings that mark toxic texts by the test above, from the texts with ``labels`` (doc_id, toxic)."""
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    rows = texts.select("doc_id", "hash").join(usable(labels), "doc_id").groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"))
+    rows = stage_table(rows, "toxic-training")
+    total, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
+    if not total or not 0 < toxic < total:
+        return []
+    # a text whose id and hash repeat is read once more for each repeat
+    counted = texts.join(rows, ["doc_id", "hash"]).select("text", "toxic").mapInArrow(_count, "feature string, toxic double, n long")
+    counted = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    seen = Observation()
+    share = toxic / total
+    q = F.col("toxic") / F.col("n")
+    distance = q * F.log(q / share) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    tested = counted.observe(seen, F.count("*").alias("m")).where(q > share).select("feature", (F.col("n") * distance).alias("bound"))
+    tested = stage_table(tested.where(F.col("bound") >= math.log(1 / ERROR)), "toxic-features")
+    return sorted(r.feature for r in tested.where(F.col("bound") >= math.log(seen.get["m"] / ERROR)).collect())
+
+
+def _scan(lexicon, learned=()):
     kind = pa.list_(pa.struct([("form", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("context", pa.string())]))
 
     def task(batches):
-        matcher, known = Matcher(lexicon), {}
+        matcher, known = Matcher(lexicon, learned), {}
         for b in batches:
             rows = []
             for t in b.column("text"):
@@ -189,15 +261,14 @@ def _scan(lexicon):
     return task
 
 
-def scan(docs: DataFrame, lexicon=LEXICON) -> DataFrame:
+def scan(docs: DataFrame, lexicon=LEXICON, learned=()) -> DataFrame:
     """doc_id and the found terms of each text: form, term, edits, context."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(lexicon), "doc_id long, found array<struct<form:string,term:string,edits:int,context:string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(lexicon, learned), "doc_id long, found array<struct<form:string,term:string,edits:int,context:string>>")
 
 
 def learn(found: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column, float]:
     """Weights of (form, context), the weight of other forms, and the toxic rate without any, from ``labels`` (doc_id, toxic)."""
-    labels = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("double")).dropDuplicates(["doc_id"])
-    known = found.join(labels, "doc_id")
+    known = found.join(usable(labels), "doc_id")
     hits = known.select("doc_id", "toxic", F.explode("found").alias("f")).select("doc_id", "toxic", "f.form", "f.edits", "f.context").distinct()
     prior = F.element_at(F.create_map(*(F.lit(x) for pair in PRIOR.items() for x in pair)), F.col("edits"))
     prior = prior * F.when(F.col("context") == "quoted", QUOTED_SHARE).otherwise(1.0)
@@ -209,8 +280,8 @@ def learn(found: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column, float
 
 
 def scores(docs: DataFrame, labels: DataFrame, lexicon=LEXICON) -> DataFrame:
-    """doc_id, score, n_terms for each document; ``labels`` (doc_id, toxic) are the rows to learn from."""
-    found = stage_table(scan(docs, lexicon), "toxic-terms")
+    """doc_id, score, n_terms for each document; ``labels`` (doc_id, toxic) are the rows to learn terms and rates from."""
+    found = stage_table(scan(docs, lexicon, derive(docs, labels)), "toxic-terms")
     weights, prior, base = learn(found, labels)
     hits = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.form", "f.edits", "f.context").groupBy("doc_id", "form", "context").agg(F.max("edits").alias("edits"))
     weighed = hits.join(weights, ["form", "context"], "left").withColumn("weight", F.coalesce("weight", prior))
