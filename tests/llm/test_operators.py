@@ -135,6 +135,34 @@ def test_remove_repeats(docs, nothing):
     assert suffix_dedup.cut_texts(docs).columns == docs.columns
 
 
+def test_hot_keys_are_split(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    own = lambda n: " ".join(word() for _ in range(n))
+    data = [(i, own(20) + PASSAGE[: 200 + i % 3] + own(20) + (PASSAGE[:150] if i % 5 == 0 else "")) for i in range(120)]
+    data += [(200 + i, t + own(3)) for i, (_, t) in enumerate(data[:10])]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    seen, want = set(), {}
+    for i, t in data:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want[i] = (int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    for hot in (0, 20, suffix_dedup.HOT):
+        assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in suffix_dedup.remove_repeats(table, hot).collect()} == want
+    keys = suffix_dedup.shared_keys(table, 4, 20).collect()
+    hot_keys = np.frombuffer(b"".join(x["keys"] for x in keys if x.doc_id is None), "<i8")
+    sharing = table.join(spark.createDataFrame([tuple(x) for x in keys if x.doc_id is not None], "doc_id long, keys binary"), "doc_id")
+    for split in (False, True):
+        held = collections.Counter()
+        for x in suffix_dedup.segment_table(sharing, 4, hot_keys if split else hot_keys[:0]).collect():
+            held.update(np.frombuffer(x["keys"] or b"", "<u8").tolist())
+        assert (max(held.values()) <= 20) == split
+
+
 def test_byte_bpe(docs, nothing):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:

@@ -6,12 +6,18 @@ same document and earlier start). All strings are dealt to shards so that equal
 1. Each string's shard is the smallest hash among the ``GRAM``-byte windows it holds. Neighbouring
    strings mostly share it, so a text falls into *segments* of consecutive starts.
 2. ``shared_keys`` exchanges only the segments' shard keys, packed by hash bucket, and returns to
-   each document those keys that occur twice, in two segments or inside one. Keys met twice in one chunk are sent once.
+   each document those keys that occur twice, in two segments or inside one. Keys met twice in one chunk are sent once,
+   with the number of their different segments there. Keys with more than ``HOT`` in all are *hot*: a passage in many
+   documents has, at its edges, segments that reach into each one's own surroundings.
 3. ``segment_table``: the segments with such keys. Equal segments of a chunk are collapsed to the
-   earliest; the later ones are repeats as a whole. The others go to their key's bucket.
+   earliest; the later ones are repeats as a whole. The others go to their key's bucket. Segments with
+   hot keys are taken apart instead: each start goes to a bucket of its own string's 128-bit BLAKE2 digest, so the
+   strings at the edges spread and equal ones meet still. Digests stand for these strings; no text is sent.
 4. Per bucket, shards of whole keys are concatenated in corpus order, and their suffix
    array (induced sorting) and permuted common prefixes group the starts of equal strings. All
-   but the earliest start of a group are repeats.
+   but the earliest start of a group are repeats, as are those of equal digests. Without hot keys a shard holds at most
+   ``SHARD_BYTES`` and ``HOT`` segments. ``HOT`` grows with corpora over 64 GB, so that the list of hot keys, which every task
+   gets, stays below a million.
 5. The repeated starts return to their documents, where the covered bytes are cut out.
 
 Segments end after ``GRAM``-window many starts, so runs of one character cannot make long ones.
@@ -39,14 +45,17 @@ WIDTH = 100
 GRAM = 24
 SHARD_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
+HOT = 4096
+SPREAD = 8
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Segments of a chunk: first start, number of starts, row and shard hash of each, and whether its hash occurs in it twice."""
+    """Segments of a chunk: first start, number of starts, row and shard hash of each, whether its hash occurs in it twice, and the chunk's rolling hashes."""
     if len(data) < width:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    hashes = arrays.Rolling(data).windows(gram)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool), None
+    rolling = arrays.Rolling(data)
+    hashes = rolling.windows(gram)
     least = arrays.sliding_minimum(hashes, width - gram + 1)
     n = len(least)
     row = np.searchsorted(offsets, np.arange(n), "right") - 1 if len(offsets) > 2 else np.zeros(n, np.int64)
@@ -70,7 +79,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: in
     places, values = hit[order], hashes[hit][order]
     low = np.searchsorted(values, key)
     near = _count_between(values, places, key, low, first, first + length - 1 + width - gram)
-    return first, length, row[first], key, near > 1
+    return first, length, row[first], key, near > 1, rolling
 
 
 def _count_between(values, places, key, low, start, stop):
@@ -89,7 +98,7 @@ def _tag(key: np.ndarray, buckets: int) -> np.ndarray:
     return (arrays.bucket_of(key, buckets) << 32) | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-KEYS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
+KEYS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def _emit_keys(buckets: int):
@@ -97,14 +106,18 @@ def _emit_keys(buckets: int):
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for rows, data, offsets in arrays.chunks(b):
-                _, _, row, key, twice = segments(data, offsets)
+                first, size, row, key, twice, rolling = segments(data, offsets)
                 if not len(key):
                     continue
                 own = ids[rows]
                 tag = _tag(key, buckets)
-                order = np.argsort(tag, kind="stable")
-                tag, doc = tag[order], row[order]
+                content = rolling.ranges(first, first + size + WIDTH - 1)
+                order = np.lexsort((content, tag))
+                tag, doc, content = tag[order], row[order], content[order]
                 starts = arrays.runs(tag)
+                new = np.ones(len(tag), np.int64)
+                new[1:] = (tag[1:] != tag[:-1]) | (content[1:] != content[:-1])
+                count = np.add.reduceat(new, starts[:-1])
                 length = np.diff(starts)
                 many = np.repeat(length > 1, length) | twice[order]
                 local, where = tag[many], doc[many]
@@ -113,12 +126,12 @@ def _emit_keys(buckets: int):
                 cuts = list(zip(cuts[:-1], cuts[1:], strict=True))
                 none = [None] * len(cuts)
                 out_ids = [int(own[where[order[a]]]) for a, _ in cuts]
-                yield arrays.batch(KEYS, [i % buckets for i in out_ids], out_ids, none, none, [np.unique(local[order[a:z]]).astype("<i8").tobytes() for a, z in cuts])
+                yield arrays.batch(KEYS, [i % buckets for i in out_ids], out_ids, none, none, [np.unique(local[order[a:z]]).astype("<i8").tobytes() for a, z in cuts], none)
                 tag, doc = tag[starts[:-1]], np.where(length > 1, -1, doc[starts[:-1]])
                 order = np.lexsort((doc, tag >> 32))
-                tag, doc = tag[order], doc[order]
+                tag, doc, count = tag[order], doc[order], count[order]
                 cuts = arrays.runs(tag >> 32)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 known = np.append(own, 0)
                 for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                     part = arrays.runs(doc[a:z])
@@ -127,18 +140,20 @@ def _emit_keys(buckets: int):
                     out[1].append((who >= 0).tobytes() + known[who].astype("<i8").tobytes())
                     out[2].append(np.diff(part).astype("<u4").tobytes())
                     out[3].append((tag[a:z] & 0xFFFFFFFF).astype("<u4").tobytes())
+                    out[4].append(count[a:z].astype("<u4").tobytes())
                 yield arrays.batch(KEYS, out[0], [None] * len(out[0]), *out[1:])
 
     return task
 
 
-def _shared(groups: int):
+def _shared(groups: int, hot: int):
     def task(table: pa.Table) -> pa.Table:
         given = table.filter(pc.is_valid(table.column("doc_id")))
         rest = table.filter(pc.is_null(table.column("doc_id")))
         own = given.column("keys").to_pylist()
         ids = [np.repeat(given.column("doc_id").to_numpy(), [len(x) // 8 for x in own])]
         keys = [np.frombuffer(b"".join(own), "<i8")]
+        many = np.zeros(0, np.int64)
         if len(rest):
             bucket = rest.column("bucket")[0].as_py()
             sizes = arrays.packed(rest.column("sizes"), "<u4")
@@ -149,29 +164,37 @@ def _shared(groups: int):
             known, docs = np.repeat(np.concatenate(known), sizes), np.repeat(np.concatenate(docs), sizes)
             key = arrays.packed(rest.column("keys"), "<u4")
             order = np.argsort(key)
-            length = np.diff(arrays.runs(key[order]))
+            starts = arrays.runs(key[order])
+            length = np.diff(starts)
+            total = np.add.reduceat(arrays.packed(rest.column("counts"), "<u4").astype(np.int64)[order], starts[:-1])
+            many = key[order[starts[:-1]]][total > hot].astype("<i8") | (bucket << 32)
             hit = order[np.repeat(length > 1, length)]
             hit = hit[known[hit]]
             ids.append(docs[hit])
             keys.append(key[hit].astype("<i8") | (bucket << 32))
-        return arrays.deal(np.concatenate(ids), {"keys": np.concatenate(keys)}, groups)
+        dealt = arrays.deal(np.concatenate(ids), {"keys": np.concatenate(keys)}, groups)
+        hot_row = {"part": [0], "docs": [None], "keys": [many.tobytes()]} if len(many) else {"part": [], "docs": [], "keys": []}
+        return pa.concat_tables([dealt, pa.table(hot_row, dealt.schema)])
 
     return task
 
 
 def _keys_by_document(table: pa.Table) -> pa.Table:
-    ids, starts, (keys,) = arrays.gather(table, {"keys": "<i8"})
-    return pa.table({"doc_id": ids, "keys": pa.array([np.unique(keys[a:z]).tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)], pa.binary())})
+    hot = table.filter(pc.is_null(table.column("docs"))).column("keys").to_pylist()
+    ids, starts, (keys,) = arrays.gather(table.filter(pc.is_valid(table.column("docs"))), {"keys": "<i8"})
+    own = [np.unique(keys[a:z]).tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True) if z > a]
+    return pa.table({"doc_id": pa.array(ids.tolist() + [None] * len(hot), pa.int64()), "keys": pa.array(own + hot, pa.binary())})
 
 
-def shared_keys(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id and its shard keys, packed, that occur twice or more in ``docs``."""
-    sent = docs.mapInArrow(_emit_keys(buckets), "bucket long, doc_id long, docs binary, sizes binary, keys binary")
-    found = sent.groupBy("bucket").applyInArrow(_shared(buckets), "part long, docs binary, keys binary")
+def shared_keys(docs: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+    """doc_id and its shard keys, packed, that occur twice or more in ``docs``; rows without doc_id hold the hot ones."""
+    sent = docs.mapInArrow(_emit_keys(buckets), "bucket long, doc_id long, docs binary, sizes binary, keys binary, counts binary")
+    found = sent.groupBy("bucket").applyInArrow(_shared(buckets, hot), "part long, docs binary, keys binary")
     return found.groupBy("part").applyInArrow(_keys_by_document, "doc_id long, keys binary")
 
 
-PIECES = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("twice", pa.binary()), ("text", pa.binary())])
+DIGEST = np.dtype([("x", "<u8"), ("y", "<u8")])
+PIECES = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("twice", pa.binary()), ("text", pa.binary()), ("digests", pa.binary())])
 
 
 def _ranges_by_doc(doc: np.ndarray, first: np.ndarray, size: np.ndarray):
@@ -193,19 +216,27 @@ def _collapse(texts: list[bytes], doc: np.ndarray, first: np.ndarray) -> tuple[n
     return np.flatnonzero(head), np.flatnonzero(later)
 
 
-def _emit_segments(buckets: int):
+def _first_of_equal(digests: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the earliest of equal digests, and of those later in the corpus than theirs."""
+    order = np.lexsort((place, doc, digests["y"], digests["x"]))
+    cuts = arrays.runs(digests[order])
+    owner = np.repeat(order[cuts[:-1]], np.diff(cuts))
+    return order[cuts[:-1]], order[(doc[order] != doc[owner]) | (place[order] != place[owner])]
+
+
+def _emit_segments(buckets: int, hot: np.ndarray):
     def task(batches):
         for b in batches:
             ids, wanted = b.column("doc_id").to_numpy(), b.column("keys").to_pylist()
             for rows, data, offsets in arrays.chunks(b):
-                first, size, row, key, twice = segments(data, offsets)
+                first, size, row, key, twice, _ = segments(data, offsets)
                 tag = _tag(key, buckets)
                 cuts = np.searchsorted(row, np.arange(rows.stop - rows.start + 1))
                 keep = [np.isin(tag[a:z], np.frombuffer(w, "<i8")) for a, z, w in zip(cuts[:-1], cuts[1:], wanted[rows], strict=True)]
                 keep = np.flatnonzero(np.concatenate(keep))
                 if not len(keep):
                     continue
-                first, size, row, key, twice = (x[keep] for x in (first, size, row, key, twice))
+                first, size, row, key, twice, tag = (x[keep] for x in (first, size, row, key, twice, tag))
                 whole = data.tobytes()
                 texts = [whole[a:z] for a, z in zip(first.tolist(), (first + size + WIDTH - 1).tolist(), strict=True)]
                 doc, place = ids[rows][row], first - offsets[row]
@@ -213,18 +244,48 @@ def _emit_segments(buckets: int):
                 if len(later):
                     out_ids, packed = _ranges_by_doc(doc[later], place[later], size[later])
                     none = [None] * len(packed)
-                    yield arrays.batch(PIECES, out_ids % buckets, out_ids, packed, *[none] * 6)
+                    yield arrays.batch(PIECES, out_ids % buckets, out_ids, packed, *[none] * 7)
+                apart = np.isin(tag[heads], hot)
+                if apart.any():
+                    yield from _emit_starts(whole, first, size, doc, place, heads[apart], buckets)
+                    heads = heads[~apart]
                 bucket = arrays.bucket_of(key[heads], buckets)
                 order = heads[np.argsort(bucket, kind="stable")]
                 cuts = arrays.runs(np.sort(bucket))
                 parts = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 none = [None] * len(parts)
                 packed = [[x[p].astype(k).tobytes() for p in parts] for x, k in ((doc, "<i8"), (place, "<i8"), (size, "<u4"), (key, "<u8"), (twice, "?"))]
-                yield arrays.batch(PIECES, np.sort(bucket)[cuts[:-1]], none, none, *packed, [b"".join([texts[i] for i in p]) for p in parts])
+                yield arrays.batch(PIECES, np.sort(bucket)[cuts[:-1]], none, none, *packed, [b"".join([texts[i] for i in p]) for p in parts], none)
 
     return task
 
 
+def _emit_starts(whole: bytes, first, size, doc, place, chosen, buckets: int):
+    """Pieces for the single starts of the chosen segments, by digest; starts repeated in the chunk are sent as such."""
+    number = size[chosen]
+    step = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    at, doc, place = np.repeat(first[chosen], number) + step, np.repeat(doc[chosen], number), np.repeat(place[chosen], number) + step
+    digests = np.frombuffer(b"".join([hashlib.blake2b(whole[a : a + WIDTH], digest_size=16).digest() for a in at.tolist()]), DIGEST)
+    heads, later = _first_of_equal(digests, doc, place)
+    if len(later):
+        out_ids, packed = _ranges_by_doc(doc[later], place[later], np.ones(len(later), np.int64))
+        yield arrays.batch(PIECES, out_ids % buckets, out_ids, packed, *[[None] * len(packed)] * 7)
+    # digests fill more and smaller buckets, behind those of the keys
+    bucket = buckets + arrays.bucket_of(digests["x"][heads], SPREAD * buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = arrays.runs(bucket[order])
+    parts = [heads[order[a:z]] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    none = [None] * len(parts)
+    docs, places, packed = ([x[p].astype(k).tobytes() for p in parts] for x, k in ((doc, "<i8"), (place, "<i8"), (digests, DIGEST)))
+    yield arrays.batch(PIECES, bucket[order][cuts[:-1]], none, none, docs, places, none, none, none, none, packed)
+
+
+def segment_table(sharing: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Packed segments with shared keys and single starts with hot ones, by bucket, and starts known to be repeats."""
+    schema = "bucket long, doc_id long, starts binary, docs binary, places binary, sizes binary, keys binary, twice binary, text binary, digests binary"
+    return sharing.mapInArrow(_emit_segments(buckets, hot), schema)
+
+
 def shard_repeats(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """For texts in corpus order, the starts of strings of ``width`` bytes that start earlier among them."""
     lengths = np.array([len(t) for t in texts])
@@ -255,6 +316,12 @@ def _repeats(groups: int):
         own = given.column("starts").to_pylist()
         pairs = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
         found = [(np.repeat(given.column("doc_id").to_numpy(), [len(x) // 16 for x in own]), pairs[:, 0], pairs[:, 1])]
+        single = rest.filter(pc.is_valid(rest.column("digests")))
+        rest = rest.filter(pc.is_null(rest.column("digests")))
+        if len(single):
+            digests, doc, place = (arrays.packed(single.column(c), k) for c, k in (("digests", DIGEST), ("docs", "<i8"), ("places", "<i8")))
+            later = _first_of_equal(digests, doc, place)[1]
+            found.append((doc[later], place[later], np.ones(len(later), np.int64)))
         if len(rest):
             doc, place, size, key, twice = (arrays.packed(rest.column(c), k) for c, k in (("docs", "<i8"), ("places", "<i8"), ("sizes", "<u4"), ("keys", "<u8"), ("twice", "?")))
             size = size.astype(np.int64)
@@ -317,14 +384,16 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, null if all are) of each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     named = docs.where("doc_id is not null")
     amount = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount // BUCKET_BYTES + 1)
     able = F.octet_length("text") >= WIDTH
-    keys = shared_keys(named.where(able), buckets)
+    staged = stage_table(shared_keys(named.where(able), buckets, max(hot, amount >> 24)), "repeat-keys")
+    keys = staged.where("doc_id is not null")
+    hot_keys = np.unique(np.frombuffer(b"".join(r.keys_ for r in staged.where("doc_id is null").select(F.col("keys").alias("keys_")).collect()), "<i8"))
     # texts that share nothing need no second look
     joined = docs.join(keys, "doc_id", "left")
     free = F.col("keys").isNull()
@@ -338,7 +407,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     split = stage_table(split, "repeat-texts")
     sharing = split.where("keys is not null").select("doc_id", "text", "keys")
-    pieces = sharing.mapInArrow(_emit_segments(buckets), "bucket long, doc_id long, starts binary, docs binary, places binary, sizes binary, keys binary, twice binary, text binary")
+    pieces = segment_table(sharing, buckets, hot_keys)
     found = pieces.groupBy("bucket").applyInArrow(_repeats(buckets), "part long, docs binary, first binary, number binary")
     starts = found.groupBy("part").applyInArrow(_starts_by_document, "doc_id long, starts binary")
     done = sharing.drop("keys").join(starts, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
