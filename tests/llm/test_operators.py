@@ -353,3 +353,53 @@ def test_pipeline(spark, folder):
     assert good.columns == columns and 0 < good.count() < docs.count()
     out = corpus_pipeline.run(spark, folder)
     assert "ids_sha256" in out.columns and out.count() > 0
+
+
+def test_pipeline_stages_keep_whole_rows(spark, docs, folder, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    stage = {f.__name__: f for _, f in corpus_pipeline.STAGES}
+    table = docs.withColumn("n_chars", F.length("text"))
+    rows = {r.doc_id: tuple(r) for r in table.collect()}
+    whole = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    text, last = docs.columns.index("text"), len(docs.columns)
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    good = []
+    for i, t, _ in ROWS:
+        w = WORD.findall(t or "")
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        again = {j + k for j in range(len(w) - 2) if grams[w[j], w[j + 1], w[j + 2]] > 1 for k in range(3)}
+        good += [i] if len(w) >= 50 and 100 * len(again) <= 50 * len(w) else []
+    assert good and whole(stage["quality_rules"](spark, table, str(tmp_path))) == collections.Counter(rows[i] for i in good)
+
+    sets = {i: shingles(t) for i, t, _ in ROWS}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    first = [i for i, root in components_of(sets, links).items() if i == root]
+    assert whole(stage["near_duplicates"](spark, table, folder)) == collections.Counter(rows[i] for i in [*first, None])
+
+    seen, want = set(), [rows[None]]
+    for i, t, _ in ROWS:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        row = list(rows[i])
+        if gone.any():
+            row[text] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+            row[last] = len(row[text])
+        want.append(tuple(row))
+    assert whole(stage["repeated_strings"](spark, table, folder)) == collections.Counter(want)
+
+    copies = {r.doc_id: r.copies for r in mixing.sample_counts(table).collect() if r.doc_id is not None}
+    assert {1, 2} & set(copies.values()) and whole(stage["source_mix"](spark, table, folder)) == collections.Counter({rows[i]: n for i, n in copies.items() if n})
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    twice = table.where("doc_id is not null").unionAll(table.where("doc_id = 4"))
+    got = collections.Counter((r.doc_id, tuple(r.ids)) for r in stage["tokens"](spark, twice, folder).collect())
+    assert got == collections.Counter((i, tuple(exact.encode_ordinary(t or ""))) for i, t, _ in [*ROWS, ROWS[4]])
