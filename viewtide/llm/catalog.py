@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewtide.llm import byte_bpe, embedding_links, licenses, mixing, ngram_join, quality, suffix_dedup, toxicity, url_filter, warc_zip
+from viewtide.llm import (
+    byte_bpe,
+    embedding_links,
+    language_id,
+    licenses,
+    mixing,
+    ngram_join,
+    periodic_runs,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc_zip,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +71,29 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, folder, "documents")).drop("kept")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", periodic_runs.looped_text().alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.longest_run("runs"))
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    predicted = language_id.predict(docs, language_id.fit(docs.where(~held_out)))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mixing": op2_source_mixing,
@@ -69,6 +105,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_language_id": op13_language_id,
 }
 
 SQL = {
