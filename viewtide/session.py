@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +54,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/viewtide/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader over the written table."""
+def stage_table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a reader over the written table.
+
+    Values of the columns ``by`` become folders, so that a filter on them reads those folders only.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def remove_staged(*tables: DataFrame) -> None:
+    """Delete tables that ``stage_table`` returned, once nothing that hangs off them will run again."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
