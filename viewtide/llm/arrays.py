@@ -13,8 +13,8 @@ import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -81,7 +81,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
 
 def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and stop of each word, and the index of its first word for each row (one more at the end)."""
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(data), bool)

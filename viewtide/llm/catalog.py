@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import (
     byte_bpe,
+    collocations,
     embedding_links,
     language_id,
     licenses,
@@ -87,6 +88,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -106,10 +111,12 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_language_id": op13_language_id,
 }
 
 SQL = {
     "op1_url_filter": url_filter.SQL,
     "op5_license_scan": licenses.SQL,
+    "op12_collocations": collocations.SQL,
 }

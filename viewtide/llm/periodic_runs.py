@@ -116,11 +116,8 @@ def _find(batches):
         for rows, data, offsets in arrays.chunks(b):
             start, stop, first = arrays.word_ranges(data, offsets)
             bounds = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int64)
-            inside = np.zeros(len(data) + 1, np.int8)
-            inside[start] += 1
-            inside[stop] -= 1
-            letters = data[np.cumsum(inside[:-1]).astype(bool)]
-            words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(letters))])
+            letters = data[~arrays.SPACE[data]]
+            words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
             names = words.dictionary_encode().indices.to_numpy().astype(np.int64)
             at, length, period = find_runs(names, first)
             kept = ~_dropped(len(names), at, length, period)
