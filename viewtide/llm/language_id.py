@@ -166,9 +166,9 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDO
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
     cut = [F.substring(code, (F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows)]
     # by hash four times as many as wanted, so that what meets for the exact choice does not grow with the table
-    hash_ = F.xxhash64("doc_id")
-    early = F.shiftrightunsigned(hash_, 24) * F.col("n") < F.lit(4 * rows * (1 << 40))
-    chosen = known.join(F.broadcast(kept), "lang").where(early).select("lang", F.shiftrightunsigned(hash_, 24).alias("hash"), "doc_id", F.array(*cut).alias("windows"))
+    hash_ = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
+    early = hash_ / (1 << 40) < 4 * rows / F.col("n")
+    chosen = known.join(F.broadcast(kept), "lang").where(early).select("lang", hash_.alias("hash"), "doc_id", F.array(*cut).alias("windows"))
     first = Window.partitionBy("lang").orderBy("hash", "doc_id", "windows")
     table = chosen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows).select("lang", "place", "windows")
     return [(r.lang, bytes(w)) for r in sorted(table.collect(), key=lambda r: (r.lang, r.place)) for w in r.windows]
