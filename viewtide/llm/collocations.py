@@ -12,8 +12,8 @@ Phrases of one to ``LONGEST`` words are counted per language, exactly for all th
    is missed, wherever its subphrases reach the threshold.
 
 The tasks of a scan count their active phrases chunk by chunk and merge the counts before they are shuffled, packed by
-hash bucket; the running counts of incomplete phrases meet them there. A very common phrase thus costs a few
-entries a task. Phrases are compared as strings, not by hash.
+hash bucket, rare phrases as soon as ``MERGE_ROWS`` are held; the running counts of incomplete phrases meet them there. A
+very common phrase thus costs a few entries a task. Phrases are compared as strings, not by hash.
 
 Marks are a table of bytes by hash slot: the scan from which on the slot is marked. It has one slot for ``BYTES_A_SLOT``
 bytes of text, ``LEAST_SLOTS`` at least and ``MOST_SLOTS`` (64 MB) at most, which bounds what each task gets and the new slots the
@@ -51,7 +51,7 @@ UNKNOWN = "und"
 SHARDS = 4
 BUCKET_BYTES = 16 << 20
 LEAST_SLOTS, MOST_SLOTS, BYTES_A_SLOT = 1 << 16, 1 << 26, 64
-MERGE_ROWS = 1 << 20
+MERGE_ROWS, FEW = 1 << 19, 4
 HOT_PARTS = 1000
 SALTS = 64
 NEVER = 255
@@ -63,12 +63,14 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _STEP = [np.uint64(x | 1) for x in np.random.default_rng(11).integers(1, 1 << 63, LONGEST, dtype=np.uint64)]
 
-PACKED = [("bucket", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("first", pa.int32()), ("told", pa.bool_()), ("phrases", pa.binary()), ("counts", pa.binary())]
+#: entries of one hash bucket: groups of one language, length, first scan and mark; phrases joined by newlines; counts
+PACKED = [("bucket", pa.int64()), ("languages", pa.list_(pa.string())), ("groups", pa.binary()), ("phrases", pa.binary()), ("counts", pa.binary())]
 ENTRIES = pa.schema(PACKED)
-ENTRY = "bucket long, lang string, size int, first int, told boolean, phrases binary, counts binary"
+ENTRY = "bucket long, languages array<string>, groups binary, phrases binary, counts binary"
+GROUP = np.dtype([("lang", "<u4"), ("rows", "<u4"), ("size", "u1"), ("first", "u1"), ("told", "u1")])
 #: entries still being counted; or a finished phrase and its count; or slots newly marked
-STATE = pa.schema([*PACKED, ("phrase", pa.string()), ("n", pa.int64()), ("slots", pa.binary())])
-STATES = ENTRY + ", phrase string, n long, slots binary"
+STATE = pa.schema([*PACKED, ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64()), ("slots", pa.binary())])
+STATES = ENTRY + ", lang string, phrase string, size int, n long, slots binary"
 COLUMNS = ["lang", "phrase", "size", "first", "told", "hash", "n"]
 
 
@@ -160,19 +162,45 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def _packed(table: pa.Table, bucket: np.ndarray, languages: list[str]) -> list:
-    """Columns of packed entries, a row for each bucket, language, length, first scan and mark."""
-    parts = [bucket, *(table.column(c).to_numpy() for c in ("lang", "size", "first", "told"))]
-    order = np.lexsort(parts[::-1])
+    """Columns of packed entries, a row for each bucket."""
+    keys = [bucket, *(table.column(c).to_numpy() for c in ("lang", "size", "first", "told"))]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
     new = np.arange(len(order)) == 0
-    for x in parts:
-        new[1:] |= x[order][1:] != x[order][:-1]
-    cuts = np.append(np.flatnonzero(new), len(order))
-    heads, n = order[cuts[:-1]], table.column("n").to_numpy()[order]
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    heads = np.flatnonzero(new)
+    groups = np.zeros(len(heads), GROUP)
+    groups["rows"] = np.diff(np.append(heads, len(order)))
+    for name, k in zip(("size", "first", "told"), keys[2:], strict=True):
+        groups[name] = k[heads]
+    lang = keys[1][heads]
+    cuts = arrays.runs(keys[0])
+    edges = np.searchsorted(heads, cuts)
+    n = table.column("n").to_numpy()[order].astype("<i8")
     phrases = pa.LargeListArray.from_arrays(pa.array(cuts), table.column("phrase").combine_chunks().take(pa.array(order)))
     texts = pc.binary_join(phrases, pa.scalar("\n", pa.large_string())).cast(pa.large_binary()).cast(pa.binary())
-    counts = [n[a:z].astype("<i8").tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-    bucket, lang, size, first, told = (x[heads] for x in parts)
-    return [bucket, [languages[i] for i in lang], size, first, told, texts, counts]
+    names, packed = [], []
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        here, groups["lang"][a:z] = np.unique(lang[a:z], return_inverse=True)
+        names.append([languages[i] for i in here])
+        packed.append(groups[a:z].tobytes())
+    return [keys[0][cuts[:-1]], names, packed, texts, [n[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]]
+
+
+def _unpacked(table: pa.Table) -> tuple[pa.Table, list[str]]:
+    """Entries of packed rows, and the languages they number."""
+    languages: dict[str, int] = {}
+    lang, groups = [], []
+    for names, packed in zip(table.column("languages").to_pylist(), table.column("groups").to_pylist(), strict=True):
+        own = np.array([languages.setdefault(x, len(languages)) for x in names])
+        groups.append(np.frombuffer(packed, GROUP))
+        lang.append(own[groups[-1]["lang"]])
+    groups, lang = np.concatenate(groups), np.concatenate(lang)
+    phrases = pc.split_pattern(table.column("phrases").combine_chunks().cast(pa.string()).cast(pa.large_string()), "\n").flatten()
+    each = [np.repeat(x, groups["rows"]) for x in (lang, groups["size"], groups["first"].astype(np.int64), groups["told"].astype(bool))]
+    n = arrays.packed(table.column("counts"), "<i8")
+    return pa.table([each[0], phrases, *each[1:], np.zeros(len(n), np.int64), n], names=COLUMNS), list(languages)
 
 
 def _scan(scan: int, shards: int, buckets: int, marks):
@@ -189,17 +217,21 @@ def _scan(scan: int, shards: int, buckets: int, marks):
             code = np.array([language_code(x) for x in languages], np.uint64)
             for part, data, offsets in arrays.chunks(b):
                 words = Words(data, offsets, lang[part], code)
-                held += active_counts(words, scan, shards, marks.value)
+                new = active_counts(words, scan, shards, marks.value)
                 if scan < shards:  # all words of a language, as the phrase of no words
                     total = np.bincount(words.lang, minlength=len(code))
-                    held.append(_table(np.arange(len(code)), pa.array([""] * len(code), pa.large_string()), 0, np.zeros(len(code), np.int64), code, total))
-                rows += sum(len(t) for t in held[-LONGEST - 1 :])
+                    new.append(_table(np.arange(len(code)), pa.array([""] * len(code), pa.large_string()), 0, np.zeros(len(code), np.int64), code, total))
+                held += new
+                rows += sum(len(t) for t in new)
                 if rows > MERGE_ROWS:
                     merged = _merged(pa.concat_tables(held))
-                    held, rows = [merged], len(merged)
-                    if 2 * rows > MERGE_ROWS:
-                        yield pack(merged, languages)
-                        held, rows = [], 0
+                    often = pc.greater_equal(merged.column("n"), FEW)
+                    held = [merged.filter(often)]
+                    rare = merged.filter(pc.invert(often))
+                    if len(held[0]) > MERGE_ROWS // 2:
+                        held, rare = [], merged
+                    rows = sum(len(t) for t in held)
+                    yield pack(rare, languages)
         if held:
             yield pack(_merged(pa.concat_tables(held)), languages)
 
@@ -211,13 +243,7 @@ def _count(scan: int, shards: int, least: int, slots: int):
 
     def task(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        languages = pc.unique(table.column("lang")).to_pylist()
-        numbers = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
-        lists = pc.split_pattern(table.column("phrases").combine_chunks().cast(pa.string()).cast(pa.large_string()), "\n")
-        length = pc.list_value_length(lists).to_numpy()
-        rows = [np.repeat(x, length) for x in (numbers, *(table.column(c).to_numpy() for c in ("size", "first", "told")))]
-        n = arrays.packed(table.column("counts"), "<i8")
-        entries = pa.table([rows[0], lists.flatten(), rows[1], rows[2], rows[3], np.zeros(len(n), np.int64), n], names=COLUMNS)
+        entries, languages = _unpacked(table)
         entries = _merged(entries)
         lang, size, first, told, n = (entries.column(c).to_numpy() for c in ("lang", "size", "first", "told", "n"))
         phrase = entries.column("phrase").combine_chunks()
@@ -232,11 +258,10 @@ def _count(scan: int, shards: int, least: int, slots: int):
         out = []
         if len(going):
             columns = _packed(going, np.full(len(going), bucket), languages)
-            none = [None] * len(columns[0])
-            out.append(arrays.batch(STATE, *columns, none, none, none))
+            out.append(arrays.batch(STATE, *columns, *[[None]] * 5))
         none = [None] * len(kept)
         finished = phrase.take(pa.array(kept)).cast(pa.string())
-        out.append(arrays.batch(STATE, none, [languages[i] for i in lang[kept]], size[kept], none, none, none, none, finished, n[kept], none))
+        out.append(arrays.batch(STATE, *[none] * 5, [languages[i] for i in lang[kept]], finished, size[kept], n[kept], none))
         if len(marked):
             out.append(arrays.batch(STATE, *[[None]] * 9, [marked.astype("<u4").tobytes()]))
         return pa.Table.from_batches(out)
