@@ -15,9 +15,9 @@ The tasks of a scan count their active phrases chunk by chunk and merge the coun
 hash bucket, rare phrases as soon as ``MERGE_ROWS`` are held; the running counts of incomplete phrases meet them there. A
 very common phrase thus costs a few entries a task. Phrases are compared as strings, not by hash.
 
-Marks are a table of bytes by hash slot: the scan from which on the slot is marked. It has one slot for ``BYTES_A_SLOT``
-bytes of text, ``LEAST_SLOTS`` at least and ``MOST_SLOTS`` (64 MB) at most, which bounds what each task gets and the new slots the
-driver collects. A slot keeps its first scan, and a phrase begins after its subphrases did, so its first scan never
+Marks are, for each length below the longest, a table of bytes by hash slot: the scan from which on the slot is marked. It
+has one slot for ``BYTES_A_SLOT`` bytes of text, ``LEAST_SLOTS`` at least and ``MOST_SLOTS`` (32 MB) at most, which bounds what each task gets and the new slots the driver
+collects. A slot keeps its first scan, and a phrase begins after its subphrases did, so its first scan never
 changes. Two phrases in one slot make further phrases active, or earlier: more work, same results. A corpus far
 beyond the bound counts most phrases of three words, still one entry a phrase and task.
 
@@ -48,10 +48,10 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 INSIDE_PERCENT, SCALE = 50, 1_000_000
 UNKNOWN = "und"
 
-SHARDS = 4
-BUCKET_BYTES = 16 << 20
-LEAST_SLOTS, MOST_SLOTS, BYTES_A_SLOT = 1 << 16, 1 << 26, 64
-MERGE_ROWS, FEW = 1 << 19, 4
+SHARDS = 3
+BUCKET_BYTES = 4 << 20
+LEAST_SLOTS, MOST_SLOTS, BYTES_A_SLOT = 1 << 16, 1 << 25, 64
+MERGE_ROWS, FEW = 1 << 18, 4
 HOT_PARTS = 1000
 SALTS = 64
 NEVER = 255
@@ -132,12 +132,12 @@ def _table(lang, phrase, size: int, first, hashes: np.ndarray, n) -> pa.Table:
 
 def active_counts(words: Words, scan: int, shards: int, marks: np.ndarray) -> list[pa.Table]:
     """Counts in a chunk of the phrases that ``scan`` counts, by length."""
-    slots = np.uint64(len(marks) - 1)
+    slots = np.uint64(marks.shape[1] - 1)
     at, hashes, first = np.arange(len(words.hash)), words.hash, np.zeros(len(words.hash), np.int64)
     out = [words.counted(at, 1, hashes, first)] if scan < shards and len(at) else []
     for size in range(2, LONGEST + 1):
         # a phrase can be marked after its own first scan at the earliest
-        ready = np.maximum(marks[(hashes & slots).astype(np.int64)], first + 1)
+        ready = np.maximum(marks[size - 2, (hashes & slots).astype(np.int64)], first + 1)
         joined, hashes = words.longer(at, hashes, size)
         first = np.maximum(ready[joined], ready[joined + 1])
         known = first <= scan
@@ -270,7 +270,7 @@ def _count(scan: int, shards: int, least: int, slots: int):
 
 
 def _slots_of(phrases: pa.Array, lang: np.ndarray, size: np.ndarray, languages: list[str], slots: int) -> np.ndarray:
-    """Slots of phrases, by the hashes the scans use."""
+    """Slots of phrases, by the hashes the scans use; each length has its own ``slots``."""
     if not len(phrases):
         return np.zeros(0, np.uint64)
     batch = pa.RecordBatch.from_arrays([phrases], ["text"])
@@ -280,10 +280,10 @@ def _slots_of(phrases: pa.Array, lang: np.ndarray, size: np.ndarray, languages:
         words = Words(data, offsets, lang[part], code)
         at, hashes = np.arange(len(words.hash)), words.hash
         for k in range(1, LONGEST):
-            found.append(hashes[size[part][words.row[at]] == k])
+            found.append((hashes[size[part][words.row[at]] == k] & np.uint64(slots - 1)) + np.uint64((k - 1) * slots))
             joined, hashes = words.longer(at, hashes, k + 1)
             at = at[joined]
-    return np.unique(np.concatenate(found) & np.uint64(slots - 1))
+    return np.unique(np.concatenate(found))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> DataFrame:
@@ -299,7 +299,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
     amount = seen.get["amount"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), amount // BUCKET_BYTES + 1)
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (amount // BYTES_A_SLOT).bit_length()))
-    marks = np.full(slots, NEVER, np.uint8)
+    marks = np.full((LONGEST - 1, slots), NEVER, np.uint8)
     steps, scan = [], 0
     while True:
         shared = spark.sparkContext.broadcast(marks)
@@ -311,9 +311,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
         steps.append(stage_table(state.observe(going, F.count("phrases").alias("rows")), f"phrase-scan{scan}"))
         shared.destroy()
         new = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r.slots_, "<u4") for r in steps[-1].where("slots is not null").select(F.col("slots").alias("slots_")).collect())])
-        new = new[marks[new] == NEVER]
+        new = new[marks.ravel()[new] == NEVER]
         scan += 1
-        marks[new] = scan
+        marks.ravel()[new] = scan
         if not going.get["rows"] and not len(new) and scan >= shards:
             break
     finished = [s.where("n is not null").select("lang", "phrase", "size", "n") for s in steps]
