@@ -5,7 +5,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from viewtide.operators import metrics, splits
-from viewtide.plans import evaluation, models, tuning
+from viewtide.plans import evaluation, grid, models, tuning
 from viewtide.schema import TREE_FEATURES, TREE_LABEL
 from viewtide.sources.adapters import events_log
 
@@ -162,3 +162,70 @@ def test_a_fit_does_not_depend_on_the_partitions_of_its_table(planted):
         for t in layouts
     ]
     assert predictions[0] == predictions[1] == predictions[2]
+
+
+def test_a_search_that_was_cut_short_fits_only_what_is_absent(spark, train, tmp_path, monkeypatch):
+    table = grid.ResultTable(spark, str(tmp_path / "whole"))
+    whole = tuning.grid_search(train, trees=(2, 3), depths=(2, 4), k=2, results=table)
+
+    fits = []
+    fit = tuning.spread
+    monkeypatch.setattr(tuning, "spread", lambda df, idx: fits.append(1) or fit(df, idx))
+    cut = grid.ResultTable(spark, str(tmp_path / "cut"))
+    with pytest.raises(RuntimeError, match="cut"):
+        monkeypatch.setattr(tuning, "_r2", failing(tuning._r2, after=3))
+        tuning.grid_search(train, trees=(2, 3), depths=(2, 4), k=2, results=cut, parallelism=1)
+    monkeypatch.undo()
+    assert len(cut.finished()) == 3
+
+    monkeypatch.setattr(tuning, "spread", lambda df, idx: fits.append(1) or fit(df, idx))
+    fits.clear()
+    resumed = tuning.grid_search(train, trees=(2, 3), depths=(2, 4), k=2, results=cut)
+    assert len(fits) == 5 + 1  # five folds and the best model
+    assert resumed.scores == whole.scores
+    # but for the name in the first line
+    assert resumed.bestModel.toDebugString.split("\n", 1)[1] == whole.bestModel.toDebugString.split("\n", 1)[1]
+    fits.clear()
+    again = tuning.grid_search(train, trees=(2, 3), depths=(2, 4), k=2, results=cut)
+    assert not fits and again.scores == whole.scores
+
+
+def failing(function, after):
+    calls = []
+
+    def wrapped(*args):
+        calls.append(1)
+        if len(calls) > after:
+            raise RuntimeError("cut")
+        return function(*args)
+
+    return wrapped
+
+
+def test_results_are_kept_by_rows_task_and_parameters(spark, train, tmp_path):
+    assert grid.fingerprint(train) == grid.fingerprint(train.repartition(5))
+    assert grid.fingerprint(train) != grid.fingerprint(train.where("idx > 0"))
+    assert grid.fingerprint(train) != grid.fingerprint(train.withColumn("more", F.lit(1)))
+
+    table = grid.ResultTable(spark, str(tmp_path / "kept"))
+    assert table.finished() == {}
+    ran = []
+    tasks = {f"t{i}": lambda i=i: ran.append(i) or {"a": float(i), "b": None} for i in range(4)}
+    assert grid.run_tasks(table, tasks, 1, limit=2) == {f"t{i}": {"a": float(i), "b": None} for i in range(2)}
+    (tmp_path / "kept" / "scores" / "half" / "_temporary").mkdir(parents=True)  # a write that was cut short
+    found = grid.run_tasks(table, tasks, 3)
+    assert sorted(ran) == [0, 1, 2, 3] and len(found) == 4
+    table.add("t1", {"a": 9.0})
+    assert table.finished()["t1"] == {"a": 9.0}
+
+
+def test_learning_curve_goes_on(spark, train, tmp_path, monkeypatch):
+    forest = models.default_forest(trees=2, depth=3)
+    table = grid.ResultTable(spark, str(tmp_path / "curve"))
+    first = sorted(tuning.learning_curve_scores(train, forest, k=2, steps=3, results=table).collect())
+    monkeypatch.setattr(tuning, "spread", failing(tuning.spread, after=0))
+    assert sorted(tuning.learning_curve_scores(train, forest, k=2, steps=3, results=table).collect()) == first
+    monkeypatch.undo()
+    other = models.default_forest(trees=2, depth=4)
+    tuning.learning_curve_scores(train, other, k=2, steps=3, results=table)
+    assert len(table.finished()) == 12

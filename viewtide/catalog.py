@@ -533,12 +533,12 @@ def _search(spark, folder, search, **settings) -> DataFrame:
 
 @query
 def rf_grid_search(spark, folder):
-    return _search(spark, folder, tuning.grid_search, parallelism=4)
+    return _search(spark, folder, tuning.grid_search)
 
 
 @query
 def rf_random_search(spark, folder):
-    return _search(spark, folder, tuning.random_search, parallelism=4)
+    return _search(spark, folder, tuning.random_search)
 
 
 @query

@@ -25,6 +25,7 @@ def local_session(app: str = "viewtide", cores: int | str = "*", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.scheduler.mode", "FAIR")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,6 +50,18 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def results_folder(spark: SparkSession) -> str:
+    """Folder of results that a later session may find again, which takes a configured ``spark.checkpoint.dir``."""
+    return f"{shared_folder(spark).rstrip('/')}/viewtide/results"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path and the path as Hadoop's own."""
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(context._jsc.hadoopConfiguration()), found
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/viewtide/{name}-{uuid.uuid4().hex}"
@@ -70,6 +83,5 @@ def stage_table(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
 def remove_staged(*tables: DataFrame) -> None:
     """Delete tables that ``stage_table`` returned, once nothing that hangs off them will run again."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.staged_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = hadoop_path(table.sparkSession, table.staged_at)
+        system.delete(path, True)
