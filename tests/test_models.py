@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from viewtide.operators import metrics, splits
 from viewtide.plans import evaluation, grid, models, tuning
+from viewtide.plans.encoder import FeatureEncoder, FeatureEncoderModel
 from viewtide.schema import TREE_FEATURES, TREE_LABEL
 from viewtide.sources.adapters import events_log
 
@@ -229,3 +230,35 @@ def test_learning_curve_goes_on(spark, train, tmp_path, monkeypatch):
     other = models.default_forest(trees=2, depth=4)
     tuning.learning_curve_scores(train, other, k=2, steps=3, results=table)
     assert len(table.finished()) == 12
+
+
+def test_encoder_learns_ranges_and_levels_and_is_saved(spark, tmp_path):
+    schema = "a double, same bigint, c string, d string"
+    df = spark.createDataFrame([(1.0, 7, "x", "only"), (3.0, 7, None, "only"), (None, 7, "w", "only")], schema)
+    model = FeatureEncoder(numeric=["a", "same"], categories=["c", "d"]).fit(df)
+    assert model.names() == ["a", "same", "c_w", "c_x", "d_only"]
+    path = str(tmp_path / "encoder")
+    model.save(path)
+    loaded = FeatureEncoderModel.load(path)
+    unseen = df.unionByName(spark.createDataFrame([(5.0, 8, "new", None)], schema))
+    for m in (model, loaded):
+        rows = [r.features.toArray().tolist() for r in m.transform(unseen.where("a is not null")).collect()]
+        # a constant column is 0, what lies outside the range is not cut, an unknown level has no column
+        assert rows == [[0, 0, 0, 1, 1], [1, 0, 0, 0, 1], [2, 1, 0, 0, 0]]
+    with pytest.raises(ValueError, match="range of a"):
+        FeatureEncoder(numeric=["a"], categories=[]).fit(df.where("false"))
+
+
+def test_predictions_out_of_fold(spark, planted):
+    table = models.assemble(planted)
+    estimator = models.tuned_forest(trees=4)
+    scored = tuning.out_of_fold_predictions(table, estimator, 3)
+    assert scored.count() == scored.select("row_id").distinct().count() == planted.count()
+    n = planted.count()
+    first, end = splits.fold_bounds(n, 3, 1)
+    model = estimator.fit(models.spread(table.where(f"idx < {first} or idx >= {end}"), "idx"))
+    want = {r.row_id: r.prediction for r in model.transform(table.where(f"idx >= {first} and idx < {end}")).collect()}
+    assert {r.row_id: r.prediction for r in scored.where("fold = 1").collect()} == want
+    errors = {r.fold: r for r in tuning.fold_errors(scored).collect()}
+    assert [errors[f].rows for f in range(3)] == [b - a for a, b in (splits.fold_bounds(n, 3, f) for f in range(3))]
+    assert all(0 < e.mae <= e.rmse for e in errors.values())

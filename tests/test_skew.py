@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from viewtide.operators import skew, stats, windows
+from viewtide.operators import skew, splits, stats, windows
 from viewtide.operators.joins import join_back
 from viewtide.operators.skew import HotKeys
 from viewtide.plans import features
@@ -120,3 +120,32 @@ def test_results_do_not_depend_on_partitioning(spark, log):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1] == results[2]
+
+
+@pytest.mark.parametrize("policy", [HotKeys(), HotKeys(max_keys=4, min_rows=5, shard_rows=9)], ids=["even", "hot"])
+def test_out_of_fold_statistics(spark, policy):
+    rng = random.Random(8)
+    k = 3
+    rows = [
+        (i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["s", None]), rng.choice(["a", "a", "b", None]), i, i + rng.randrange(40))
+        for i in range(120)
+    ]
+    rows.append((120, 77, "s", "only here", 1, 5))  # keys of a single fold
+    df = spark.createDataFrame([(*r, r[5] - r[4]) for r in rows], INTERACTIONS).repartition(4)
+    log = splits.kfold(df, "row_id", k)
+    got = {r.row_id: r for r in features.out_of_fold_features(log, k, policy=policy).collect()}
+    fold = {r.row_id: r.fold for r in log.collect()}
+    assert len(got) == len(rows)
+    for i, user, _, streamer, _, _ in rows:
+        others = [r for r in rows if fold[r[0]] != fold[i]]
+        same_user = [r for r in others if user is not None and r[1] == user]
+        watch = sum(r[5] - r[4] for r in others if streamer is not None and r[3] == streamer)
+        assert got[i].total_watch_time == watch
+        assert got[i].num_streams_watched == sum(r[2] is not None for r in same_user)
+        mean = sum(r[5] - r[4] for r in same_user) / len(same_user) if same_user else 0
+        assert got[i].avg_duration == pytest.approx(mean)
+
+    # labels of a fold do not reach the features of its own rows, but for the previous session
+    changed = log.withColumn("stop_time", F.when(F.col("fold") == 1, F.col("stop_time") + 1_000).otherwise(F.col("stop_time")))
+    for r in features.out_of_fold_features(changed, k, policy=policy).where("fold = 1").collect():
+        assert (r.total_watch_time, r.avg_duration) == (got[r.row_id].total_watch_time, got[r.row_id].avg_duration)

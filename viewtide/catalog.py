@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +142,20 @@ def prev_session_user_streamer(spark, folder):
     return windows.prev_session(log, ["user_id", "streamer"])
 
 
+@query
+def prev_session_by_time(spark, folder):
+    """Previous session of the user in order of start time; of equal times, in file order."""
+    log = events_log(spark, folder).select("row_id", "user_id", "start_time", "duration")
+    return windows.prev_session_by(log, "user_id", ["start_time", "row_id"])
+
+
+@query
+def prev_session_pair_by_time(spark, folder):
+    """The same per user and streamer, latest row first among equal times."""
+    log = events_log(spark, folder).select("row_id", "user_id", "streamer", "start_time", "duration")
+    return windows.prev_session_by(log, ["user_id", "streamer"], ["start_time", F.desc("row_id")])
+
+
 @query
 def time_features_ns(spark, folder):
     log = features.time_features(events_log(spark, folder, "ns"), "ns")
@@ -200,6 +216,13 @@ def feature_table_train_scope(spark, folder):
     return rounded(table, "avg_duration")
 
 
+@query
+def feature_table_out_of_fold(spark, folder):
+    """Statistics of every row from the other folds only."""
+    log = splits.kfold(events_log(spark, folder), "row_id", FOLDS)
+    return rounded(features.out_of_fold_features(log, FOLDS), "avg_duration")
+
+
 @query
 def encoded_feature_table(spark, folder):
     return rounded(features.encoded_features(events_log(spark, folder)), "avg_duration")
@@ -568,6 +591,62 @@ def model_roundtrip(spark, folder):
     )
 
 
+@query
+def encoder_roundtrip(spark, folder):
+    """Matrix of the fitted encoder after it and the linear model were saved as one pipeline and loaded again."""
+    table = evaluation.encoded_table(events_log(spark, folder))
+    encoder = models.fit_encoder(table)
+    linear = models.elastic_net().setMaxIter(5).fit(encoder.transform(table.withColumn("label", F.col("duration").cast("double"))))
+    path = scratch_path(spark, "pipeline")
+    models.save_model(PipelineModel([encoder, linear]), path)
+    loaded = PipelineModel.load(path)
+    vector = vector_to_array("features")
+    matrix = loaded.transform(table).select("row_id", *[vector[i].alias(c) for i, c in enumerate(loaded.stages[0].names())])
+    return rounded(matrix, *matrix.columns[1:])
+
+
+@query
+def linear_without_penalty(spark, folder):
+    """Slope and intercept of the duration on the user's number of streams, without penalties."""
+    table = features.encoded_features(events_log(spark, folder)).select("row_id", "streams_watched", "duration")
+    table = models.assemble(stage_table(table, "line"), ["streams_watched"], "duration")
+    line = models.elastic_net(0.0, 0.0).setSolver("normal").fit(table)
+    rows = [(float(line.coefficients[0]), float(line.intercept))]
+    return rounded(spark.createDataFrame(rows, "slope double, intercept double"), "slope", "intercept")
+
+
+def _bounds(spark, folder, estimator, shuffle) -> DataFrame:
+    table = models.assemble(_tree_table(spark, folder, shuffle))
+    scored = models.fit_and_score(estimator, table, "idx")[1]
+    return models.prediction_bounds(scored, part_of(table, splits.TRAIN))
+
+
+@query
+def rf_tuned_bounds(spark, folder):
+    return _bounds(spark, folder, models.tuned_forest(), shuffle=True)
+
+
+@query
+def rf_default_bounds(spark, folder):
+    return _bounds(spark, folder, models.default_forest(), shuffle=False)
+
+
+@query
+def model_fold_stability(spark, folder):
+    """Errors of the tuned forest on every fold, from models that saw neither its rows nor statistics of them."""
+    table = models.assemble(evaluation.out_of_fold_table(events_log(spark, folder), FOLDS))
+    return tuning.fold_errors(tuning.out_of_fold_predictions(table, models.tuned_forest(), FOLDS))
+
+
+@query
+def model_fold_rows(spark, folder):
+    """Rows of every fold that got a prediction from the model fitted without it, and their mean label."""
+    table = models.assemble(evaluation.out_of_fold_table(events_log(spark, folder), FOLDS))
+    scored = tuning.out_of_fold_predictions(table, models.tuned_forest(trees=5), FOLDS)
+    predicted = scored.where(F.col("prediction").isNotNull())
+    return rounded(predicted.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.avg("label").alias("mean_label")), "mean_label")
+
+
 @query
 def smoothed_comparison(spark, folder):
     """Smoothed label, model and baseline series over the test part of the boosted trees."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewtide.functions.times import DAY_NAMES, DAY_PARTS
@@ -16,6 +16,20 @@ CATEGORY_LEVELS = {
 }
 
 
+def scaled_column(value: Column, low: Column, high: Column) -> Column:
+    """``value`` scaled by a range of doubles; 0 where the range is a single value that ``value`` equals."""
+    moved = value.cast("double") - low
+    return F.when(high == low, moved).otherwise(moved / (high - low))
+
+
+def level_name(column: str, level: str) -> str:
+    return f"{column}_{level.lower()}"
+
+
+def hot_column(value: Column, level: str) -> Column:
+    return F.coalesce((value == level).cast("int"), F.lit(0))
+
+
 def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Scale columns to [0, 1] by the range seen in ``fit_on`` (default: all rows).
 
@@ -30,9 +44,7 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     ).scalar()
     scaled = {}
     for c in columns:
-        low, high = F.col(f"_ranges.min_{c}"), F.col(f"_ranges.max_{c}")
-        moved = F.col(c).cast("double") - low
-        scaled[c] = F.when(high == low, moved).otherwise(moved / (high - low))
+        scaled[c] = scaled_column(F.col(c), F.col(f"_ranges.min_{c}"), F.col(f"_ranges.max_{c}"))
     return df.withColumn("_ranges", ranges).select(
         *[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns]
     )
@@ -41,7 +53,7 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
 def one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]] = CATEGORY_LEVELS) -> DataFrame:
     """Replace each category by one 0/1 column per level; a null category gives all zeros."""
     hot = [
-        F.coalesce((F.col(c) == level).cast("int"), F.lit(0)).alias(f"{c}_{level.lower()}")
+        hot_column(F.col(c), level).alias(level_name(c, level))
         for c, names in levels.items()
         for level in names
     ]

@@ -165,25 +165,32 @@ def fold_prefix(df: DataFrame, idx: str, n: int, k: int, fold: int, step: int, s
     return df.where((i < min(first, rows)) | ((i >= end) & (i < rows + (end - first))))
 
 
-def learning_curve_sizes(df: DataFrame, idx: str, k: int, steps: int = 10) -> DataFrame:
+def learning_curve_sizes(df: DataFrame, idx: str, k: int, steps: int = 10, n: int | None = None) -> DataFrame:
     """Rows of each growing training prefix of each fold, counted on the data.
 
-    Each training row is counted once, at the first step whose prefix holds it; the at most
-    ``k * steps`` counts are then accumulated per fold.
+    A prefix is one or two ranges of the index, so the ends of all prefixes cut it into at most ``3 * k * steps + 1`` stretches.
+    Each row is counted once, in its stretch, found by bisection; a prefix is then the sum of the stretches it covers.
     """
-    n = row_count(df)
-    size, extra = int_div(n, F.lit(k)), F.pmod(n, F.lit(k))
-    whole = n - size - F.when(extra > 0, 1).otherwise(0)
-    out_size = size + F.when(F.col("held_out") < extra, 1).otherwise(0)
-    inside = F.col(idx) - F.when(F.col("fold") > F.col("held_out"), out_size).otherwise(0)
-    counts = (
-        kfold(df, idx, k)
-        .withColumn("held_out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .where(F.col("held_out") != F.col("fold"))
-        .withColumn("step", int_div((inside + 1) * steps + whole - 1, whole).cast("int"))
-        .where(F.col("step") <= steps)
+    n = df.count() if n is None else n
+    prefixes = []
+    for fold in range(k):
+        first, end = fold_bounds(n, k, fold)
+        for step in range(1, steps + 1):
+            rows = prefix_size(n, k, step, steps)
+            prefixes.append((fold, step, min(first, rows), end, max(end, rows + (end - first))))
+    ends = sorted({x for p in prefixes for x in p[2:]})
+
+    def stretch(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(idx) < ends[middle], stretch(low, middle)).otherwise(stretch(middle + 1, high))
+
+    counted = df.groupBy(stretch(0, len(ends)).alias("_stretch")).agg(F.count(F.lit(1)).alias("_n"), F.min(idx).alias("_first"))
+    spark, i = df.sparkSession, F.col("_first")
+    cuts = spark.createDataFrame(prefixes, "held_out int, step int, _before bigint, _from bigint, _to bigint")
+    return (
+        counted.join(F.broadcast(cuts), (i < F.col("_before")) | ((i >= F.col("_from")) & (i < F.col("_to"))))
         .groupBy("held_out", "step")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_n").alias("train_rows"))
     )
-    so_far = Window.partitionBy("held_out").orderBy("step")
-    return counts.select("held_out", "step", F.sum("_n").over(so_far).alias("train_rows"))

@@ -94,6 +94,40 @@ def streamer_popularity(df: DataFrame, fit_on: Column | None = None) -> DataFram
     )
 
 
+def _by_fold(value: Column, fold: str, k: int, aggregate=F.sum) -> Column:
+    """An array with the aggregate of each of the folds 0..k-1."""
+    return F.array(*[F.coalesce(aggregate(F.when(F.col(fold) == i, value)), F.lit(0)) for i in range(k)])
+
+
+def streamer_watch_time_by_fold(df: DataFrame, k: int, fold: str = "fold", duration: str = "duration") -> DataFrame:
+    """Total duration of each streamer in every fold, as an array; one pre-aggregated exchange for all folds."""
+    return (
+        df.where(F.col("streamer").isNotNull())
+        .groupBy("streamer")
+        .agg(_by_fold(F.col(duration), fold, k).alias("watch_time"), F.count(F.lit(1)).alias("rows"))
+    )
+
+
+def user_stats_by_fold(df: DataFrame, k: int, fold: str = "fold", duration: str = "duration") -> DataFrame:
+    """Per user and fold what ``user_stats`` is made of: interactions, durations and their number, as arrays."""
+    return (
+        df.where(F.col("user_id").isNotNull())
+        .groupBy("user_id")
+        .agg(
+            _by_fold(F.col("stream_id"), fold, k, F.count).alias("streams"),
+            _by_fold(F.col(duration), fold, k).alias("durations"),
+            _by_fold(F.col(duration), fold, k, F.count).alias("sessions"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+    )
+
+
+def outside(parts: str, fold: str = "fold") -> Column:
+    """Sum of an array of per-fold values over all folds but the row's own; null for a missing array."""
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return total - F.get(parts, F.col(fold))
+
+
 def label_range(df: DataFrame, label: str) -> DataFrame:
     """Smallest and largest label, the bounds of a plot axis."""
     return df.agg(F.min(label).alias("min_label"), F.max(label).alias("max_label"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from viewtide.functions.arithmetic import int_div
 from viewtide.operators.skew import DEFAULT, HotKeys, add_shards, any_null
+from viewtide.sources.order import sorted_order
 
 
 def prev_session(
@@ -29,6 +30,23 @@ def prev_session(
     return prev_in_shards(sharded, keys, keys, "_shard", value, name, order_col).drop("_shard")
 
 
+def prev_session_by(
+    df: DataFrame,
+    keys: str | Sequence[str],
+    order: Sequence[Column | str],
+    value: str = "duration",
+    name: str = "prev_session_duration",
+    policy: HotKeys = DEFAULT,
+) -> DataFrame:
+    """``prev_session`` in any order of the rows, say ``["start_time", "row_id"]``.
+
+    ``order`` must tell all rows apart; end it with a unique column. The rows get their dense position in it first, so
+    a key with a large share of the rows is cut into spans of that order like any other.
+    """
+    placed = sorted_order(df, order, "_place")
+    return prev_session(placed, keys, value, name, "_place", policy).drop("_place")
+
+
 def prev_in_shards(
     df: DataFrame,
     keys: Sequence[str],

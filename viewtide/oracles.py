@@ -223,6 +223,17 @@ SQL: dict[str, str] = {
     "prev_session_user_streamer": _sql(
         f"SELECT row_id, user_id, streamer, duration, {_PREV_PAIR} AS prev_session_duration FROM log"
     ),
+    "prev_session_by_time": _sql(
+        """SELECT row_id, user_id, start_time, duration, CAST(coalesce(
+               lag(duration) OVER (PARTITION BY user_id ORDER BY start_time, row_id), 0) AS BIGINT) AS prev_session_duration
+           FROM log"""
+    ),
+    "prev_session_pair_by_time": _sql(
+        """SELECT row_id, user_id, streamer, start_time, duration, CAST(coalesce(
+               lag(duration) OVER (PARTITION BY user_id, streamer ORDER BY start_time, row_id DESC), 0) AS BIGINT)
+               AS prev_session_duration
+           FROM log"""
+    ),
     "time_features_ns": _sql(
         f"""SELECT row_id, start_time, start_time // 1000 AS start_micros,
                    {_hour('ns')} AS hour_of_day, {_day('ns')} AS day_of_week FROM log""",
@@ -256,6 +267,21 @@ SQL: dict[str, str] = {
                        WHERE part = 'train' GROUP BY user_id) USING (user_id)""",
         _PARTS,
     ),
+    "feature_table_out_of_fold": _sql(
+        f"""SELECT row_id, fold,
+                   CAST(coalesce((SELECT sum(duration) FROM folded o WHERE o.streamer = f.streamer AND o.fold <> f.fold), 0)
+                        AS BIGINT) AS total_watch_time,
+                   coalesce(n, 0) AS num_streams_watched, round(coalesce(mean, 0), 6) AS avg_duration,
+                   {_hour('10min')} AS hour_of_day, {_day('10min')} AS day_of_week,
+                   CAST(coalesce(lag(duration) OVER (PARTITION BY f.user_id ORDER BY row_id), 0) AS BIGINT)
+                       AS prev_session_duration,
+                   duration AS engagement_duration
+            FROM folded f
+            LEFT JOIN (SELECT held_out, user_id, count(stream_id) AS n, avg(duration) AS mean
+                       FROM folded, (SELECT unnest(range(5)) AS held_out) WHERE fold <> held_out
+                       GROUP BY held_out, user_id) u ON u.user_id = f.user_id AND u.held_out = f.fold""",
+        f"folded AS (SELECT *, {_fold(5)} AS fold FROM log)",
+    ),
     "encoded_feature_table": _sql(_ENCODED_ROUNDED, _USERS, _POPULAR, _encoded("10min")),
     "encoded_feature_table_sec": _sql(_ENCODED_ROUNDED, _USERS, _POPULAR, _encoded("sec"), unit="sec"),
     "row_order": "SELECT event_id AS row_id, event_id FROM events",
@@ -406,4 +432,25 @@ SQL: dict[str, str] = {
         """SELECT row_id, streamer, streamer IN ('click', 'error') AS live, CAST(NULL AS VARCHAR) AS note,
                   start_time AS "first", stop_time AS "last" FROM log"""
     ),
+    # what SQL can say of fitted models
+    "model_roundtrip": _sql(f"SELECT {_N} - {_FIRST_TEST} AS rows, 0 AS different"),
+    "rf_tuned_bounds": _sql(f"SELECT {_N} - {_FIRST_TEST} AS rows, 0 AS without_prediction, 0 AS outside_labels"),
+    "rf_default_bounds": _sql(f"SELECT {_N} - {_FIRST_TEST} AS rows, 0 AS without_prediction, 0 AS outside_labels"),
+    "model_fold_rows": _sql(
+        f"""SELECT fold, count(*) AS rows, round(avg(duration), 6) AS mean_label
+            FROM (SELECT duration, {_fold(5)} AS fold FROM log) GROUP BY fold"""
+    ),
+    "linear_without_penalty": _sql(
+        """SELECT round(regr_slope(duration, n), 6) AS slope, round(regr_intercept(duration, n), 6) AS intercept
+           FROM log JOIN users USING (user_id)""",
+        _USERS,
+    ),
+    "encoder_roundtrip": _sql(
+        "SELECT row_id, "
+        + ", ".join(_scaled(c) for c in ("streams_watched", "avg_duration", "popularity", "prev_session_duration"))
+        + f", {_one_hot()} FROM encoded JOIN (SELECT row_id, start_time FROM log) USING (row_id)",
+        _USERS,
+        _POPULAR,
+        _encoded("10min"),
+    ),
 }

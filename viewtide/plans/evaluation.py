@@ -40,6 +40,16 @@ def tree_table(
     return _staged(log, table, cap, shuffle, row_id, "tree-features")
 
 
+def out_of_fold_table(
+    log: DataFrame, k: int, cap: int | None = None, unit: str = "10min", row_id: str = "row_id"
+) -> DataFrame:
+    """Staged tree features without leakage between ``k`` contiguous folds in file order, with ``fold`` and ``idx``."""
+    folded = splits.kfold(splits.head_rows(log, cap, row_id), row_id, k)
+    table = features.out_of_fold_features(folded, k, unit=unit, row_id=row_id).withColumn("idx", F.col(row_id))
+    n = splits.head_rows(log, cap, row_id).count()
+    return stage_table(splits.by_spans(table, "idx", n), "out-of-fold-features")
+
+
 def encoded_table(
     log: DataFrame, cap: int | None = None, unit: str = "10min", shuffle: bool = True, row_id: str = "row_id"
 ) -> DataFrame:

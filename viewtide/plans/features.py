@@ -54,6 +54,42 @@ def tree_features(
     return rows.select(row_id, *keep, *TREE_FEATURES, TREE_LABEL)
 
 
+def out_of_fold_features(
+    df: DataFrame,
+    k: int,
+    cap: int | None = None,
+    unit: str = "10min",
+    row_id: str = "row_id",
+    fold: str = "fold",
+    keep: tuple[str, ...] = (),
+    policy: HotKeys = DEFAULT,
+) -> DataFrame:
+    """``tree_features`` whose user and streamer statistics leave out the row's own fold.
+
+    ``fold`` holds 0..k-1 (see ``splits.kfold``). A row's statistics are the totals over all folds minus its own fold's share,
+    so they hold neither its own label nor that of any row scored together with it; a key that occurs in no other fold gets 0.
+    All folds come from one aggregation per key, with as many exchanges of the rows as ``tree_features``. The previous
+    session is what was known when the session began and stays as it is, whichever fold it lies in.
+    """
+    log = session_duration(head_rows(df, cap, row_id), TREE_LABEL)
+    limit = row_limit(log, policy)
+    users = stats.user_stats_by_fold(log, k, fold, TREE_LABEL)
+    streamers = stats.streamer_watch_time_by_fold(log, k, fold, TREE_LABEL)
+
+    rows = _add_user_columns(log, users, ["user_id"], TREE_LABEL, limit, row_id, policy)
+    rows = join_back(rows, streamers, "streamer", row_id=row_id, policy=policy, limit=limit)
+    zero = F.lit(0).cast("bigint")
+    mean = F.try_divide(stats.outside("durations", fold), stats.outside("sessions", fold))
+    rows = time_features(rows, unit).withColumns(
+        {
+            "total_watch_time": F.coalesce(stats.outside("watch_time", fold), zero),
+            "num_streams_watched": F.coalesce(stats.outside("streams", fold), zero),
+            "avg_duration": F.coalesce(mean, F.lit(0.0)),
+        }
+    )
+    return rows.select(row_id, fold, *keep, *TREE_FEATURES, TREE_LABEL)
+
+
 def _add_user_columns(
     log: DataFrame,
     users: DataFrame,

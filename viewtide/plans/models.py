@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import MLWriter
 from pyspark.sql import DataFrame
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from viewtide.operators.metrics import regression_metrics
 from viewtide.operators.splits import TEST, TRAIN, by_spans
-from viewtide.schema import ENCODED_CATEGORIES, ENCODED_LABEL, ENCODED_NUMERIC, TREE_FEATURES, TREE_LABEL
+from viewtide.plans.encoder import FeatureEncoder, FeatureEncoderModel
+from viewtide.schema import ENCODED_LABEL, TREE_FEATURES, TREE_LABEL
 
 # Settings of the models.
 SEED = 42
@@ -57,6 +58,22 @@ def boosted_trees(
     return GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
 
 
+def prediction_bounds(scored: DataFrame, train: DataFrame, label: str = "label") -> DataFrame:
+    """One row: scored rows, those without a prediction, and predictions outside the range of the training labels.
+
+    A forest predicts means of training labels, so the last two are 0 but for rounding in the last digits.
+    """
+    seen = train.agg(F.struct(F.min(label).alias("low"), F.max(label).alias("high")).alias("seen")).scalar()
+    p = F.col("prediction")
+    slack = 1e-9 * F.greatest(F.abs("_seen.low"), F.abs("_seen.high"))
+    outside = (p < F.col("_seen.low") - slack) | (p > F.col("_seen.high") + slack)
+    return scored.withColumn("_seen", seen).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(p.isNull()).alias("without_prediction"),
+        F.count_if(outside).alias("outside_labels"),
+    )
+
+
 def elastic_net(l1: float = L1_PENALTY, l2: float = L2_PENALTY) -> LinearRegression:
     """Linear model with separate L1 and squared L2 penalties on the squared error.
 
@@ -68,33 +85,19 @@ def elastic_net(l1: float = L1_PENALTY, l2: float = L2_PENALTY) -> LinearRegress
     return LinearRegression(regParam=reg, elasticNetParam=l1 / 2 / reg if reg else 0.0, standardization=False)
 
 
-def encoder(numeric: Sequence[str] = ENCODED_NUMERIC, categories: Sequence[str] = ENCODED_CATEGORIES) -> Pipeline:
-    """Min-max scaling of the numeric and one-hot encoding of the category columns, in one vector."""
-    indexed = [f"{c}_index" for c in categories]
-    encoded = [f"{c}_hot" for c in categories]
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(numeric), outputCol="numeric"),
-            MinMaxScaler(inputCol="numeric", outputCol="scaled"),
-            StringIndexer(
-                inputCols=list(categories), outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="keep"
-            ),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False),
-            VectorAssembler(inputCols=["scaled", *encoded], outputCol="features"),
-        ]
-    )
-
-
 def encode(df: DataFrame, fit_scope: str = "all", label: str = ENCODED_LABEL) -> DataFrame:
     """Feature vector and label of the linear model.
 
-    ``fit_scope="all"`` fits the encoders on every row, test rows included;
+    ``fit_scope="all"`` fits the encoder on every row, test rows included;
     ``"train"`` on the training part only.
     """
+    return fit_encoder(df, fit_scope).transform(df.withColumn("label", F.col(label).cast("double")))
+
+
+def fit_encoder(df: DataFrame, fit_scope: str = "all") -> FeatureEncoderModel:
     if fit_scope not in ("all", "train"):
         raise ValueError("fit_scope must be 'all' or 'train'")
-    fit_on = df if fit_scope == "all" else df.where(F.col("part") == TRAIN)
-    return encoder().fit(fit_on).transform(df.withColumn("label", F.col(label).cast("double")))
+    return FeatureEncoder().fit(df if fit_scope == "all" else df.where(F.col("part") == TRAIN))
 
 
 def score(model: Model, df: DataFrame) -> DataFrame:

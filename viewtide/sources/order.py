@@ -9,11 +9,13 @@ list of files the driver holds for the scan anyway.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from viewtide.session import stage_table
+
 
 def natural_key(path: Column) -> Column:
     """Sort key of a path: its text and digit runs in turn, numbers by length and then by digits."""
@@ -72,3 +74,22 @@ def text_row_order(
     return numbered.join(offsets, ["_file", "_start"]).select(
         *rows.columns, (F.col("_before") + F.col("_seq") - F.col("_first")).alias(name)
     )
+
+
+def sorted_order(df: DataFrame, order: Sequence[Column | str], name: str = "row_id") -> DataFrame:
+    """The rows with their dense position in ``order``, as a staged table sorted by it.
+
+    ``order`` must tell all rows apart (end it with a unique column), so that no value, however frequent, holds
+    a whole partition. The rows are exchanged once, by ranges of the order. Range bounds come from a sample and may differ when the plan
+    runs again, so the rows are written with piece and position in it, and the counts are taken from what is
+    written. What meets in one place is one row per piece, that is per shuffle partition.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the piece in the upper bits, the position in it in the lower 33
+    staged = stage_table(rows.withColumn("_seq", F.monotonically_increasing_id()), "sorted-rows")
+    piece, position = F.shiftright("_seq", 33), F.col("_seq").bitwiseAND((1 << 33) - 1)
+    placed = staged.withColumns({"_piece": piece, "_pos": position})
+    offsets = _piece_offsets(placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n")), ["_piece"])
+    return placed.join(F.broadcast(offsets.select("_piece", "_before")), "_piece").select(
+        *df.columns, (F.col("_before") + F.col("_pos")).alias(name)
+    )
