@@ -292,13 +292,13 @@ def test_toxic_terms_are_learned(spark):
     data += [(200 + i, "copied lines only", 1) for i in range(50)]
     docs = spark.createDataFrame([x[:2] for x in data] + [(900, plain() + " zorblunew"), (901, plain() + " grint"), (902, plain() + " copied lines"), (903, plain())], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
-    learned = toxicity.derive(docs, labels)
+    learned = toxicity.derive(toxicity.training_texts(docs, toxicity.usable(labels)))
     assert {"grint", "grin*", "zorb*", "zorblu*"} <= set(learned) and not {"copied", "lines", "only"} & set(learned)
     got = {x.doc_id: x for x in toxicity.scores(docs, labels).collect()}
     assert got[900].score >= 0.7 and got[901].score >= 0.7 > got[902].score == got[903].score
     assert got[900].n_terms == got[901].n_terms == 1 and got[903].n_terms == 0
     for lost in (labels.where("toxic = 1"), labels.where("toxic = 0"), labels.where("false")):
-        assert toxicity.derive(docs, lost) == []
+        assert toxicity.derive(toxicity.training_texts(docs, toxicity.usable(lost))) == []
 
 
 @pytest.mark.parametrize("wide", [False, True])

@@ -6,7 +6,7 @@ a step depends only on where the next letter occurs near that place. So states a
 shared by all words and looked up. Short terms allow no edit, terms from ``ONE_EDIT`` letters
 one, from ``TWO_EDITS`` letters two.
 
-``derive`` adds what the labels teach: over all labelled texts, each different text once, it counts in how
+``derive`` adds what the labels teach: over the labelled texts, each different text once, it counts in how
 many toxic and in how many other ones a word, or a word beginning of ``SHORTEST`` to ``LONGEST`` letters,
 occurs. The test is one-sided: a feature in n texts, k of them toxic, is kept if n x KL(k / n, toxic share)
 reaches ln(m / ``ERROR``), m being the number of features counted. By Hoeffding's bound on sampling without replacement a
@@ -21,10 +21,13 @@ towards the rate of its number of edits and context, so that ordinary words a le
 term get no weight while unseen misspellings keep it. The score is the chance that at least one
 found form is meant, or the rate of toxic texts without any.
 
-Defined cases: null and empty texts score the rate of texts without terms. Labels other than 0 and 1
-are left out; without usable labels the rates start from ``PRIOR``. Rows that repeat a doc_id are
-merged, the found terms of all of them counting. A null doc_id is a document of its own kind: all rows without
-doc_id share a score. Other columns are ignored.
+All that is learned comes from about ``LABEL_ROWS`` labelled documents at most, chosen by a hash of their id. Their ids and labels (a few MB)
+are broadcast, so no text is shuffled; terms and weights, whose number that bound limits, come to the driver. Every text
+is scored whole, in its own row.
+
+Defined cases: null and empty texts score the rate of texts without terms. Labels other than 0 and 1, labels without doc_id and
+documents with both labels are left out; without usable labels the rates start from ``PRIOR``. Every row gets its own score, whether
+its doc_id repeats or is null; all rows of a labelled doc_id teach. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from viewtide.session import stage_table
@@ -55,6 +60,7 @@ PRIOR_ROWS = 2.0
 QUOTED_SHARE = 0.5
 BASE_RATE = 0.05
 KNOWN = 400_000
+LABEL_ROWS = 50_000
 SHORTEST, LONGEST = 4, 10
 ERROR = 0.05
 _WORD = re.compile(r"[\w@$]+")
@@ -221,20 +227,36 @@ def _count(batches):
         yield flush()
 
 
-def usable(labels: DataFrame) -> DataFrame:
-    return labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("double")).dropDuplicates(["doc_id"])
+def usable(labels: DataFrame, bound: int = LABEL_ROWS) -> DataFrame:
+    """doc_id and toxic of the labelled documents to learn from, about ``bound`` at most, chosen by a hash of their id.
+
+    Documents whose labels contradict each other are left out.
+    """
+    agreed = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    agreed = agreed.agg(F.min("toxic").cast("double").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    agreed = stage_table(agreed, "toxic-labels")
+    share = bound / max(agreed.count(), 1)
+    # 8 bytes of hash: that many labels and 9 standard deviations more are a few MB
+    return agreed if share >= 1 else agreed.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
+
 
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and toxic of the rows of ``docs`` that ``labels``, as ``usable`` gives them, speak of. The texts stay where they are."""
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text")
+    return texts.join(F.broadcast(labels), "doc_id")
 
-def derive(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """Words and, with a star behind each, word beginnings that mark toxic texts by the test above, from the texts with ``labels`` (doc_id, toxic)."""
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
-    rows = texts.select("doc_id", "hash").join(usable(labels), "doc_id").groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"))
-    rows = stage_table(rows, "toxic-training")
-    total, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
+
+def derive(texts: DataFrame) -> list[str]:
+    """Words and, with a star behind each, word beginnings that mark toxic texts by the test above, from ``training_texts``."""
+    rows = texts.withColumn("hash", F.xxhash64("text"))
+    once = stage_table(rows.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic")), "toxic-training")
+    total, toxic = once.agg(F.count("*"), F.sum("toxic")).first()
     if not total or not 0 < toxic < total:
         return []
     # a text whose id and hash repeat is read once more for each repeat
-    counted = texts.join(rows, ["doc_id", "hash"]).select("text", "toxic").mapInArrow(_count, "feature string, toxic double, n long")
+    if total <= 2 * LABEL_ROWS:
+        once = F.broadcast(once)
+    counted = rows.drop("toxic").join(once, ["doc_id", "hash"]).select("text", "toxic").mapInArrow(_count, "feature string, toxic double, n long")
     counted = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     seen = Observation()
     share = toxic / total
@@ -245,49 +267,77 @@ def derive(docs: DataFrame, labels: DataFrame) -> list[str]:
     return sorted(r.feature for r in tested.where(F.col("bound") >= math.log(seen.get["m"] / ERROR)).collect())
 
 
-def _scan(lexicon, learned=()):
-    kind = pa.list_(pa.struct([("form", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("context", pa.string())]))
+@dataclass(frozen=True)
+class Model:
+    """What is learned: terms beside the lexicon, the weight of each (form, context) met, and the toxic rate of texts without any."""
+
+    learned: list[str]
+    weights: dict[tuple[str, str], float]
+    base: float
+
+    def score(self, found: dict[tuple[str, str], int]) -> float:
+        """The chance that one of the found forms at least is meant; ``found`` holds the edits of each (form, context)."""
+        missed = math.fsum(math.log1p(-min(self.weights.get(key, prior(edits, key[1])), 0.999)) for key, edits in found.items())
+        return 1 - (1 - self.base) * math.exp(missed)
+
+
+def prior(edits: int, where: str) -> float:
+    """The weight of a form that no labelled text holds."""
+    return PRIOR[edits] * (QUOTED_SHARE if where == "quoted" else 1.0)
+
+
+def _found(texts: pa.Array, matcher: Matcher, known: dict) -> Iterator[dict[tuple[str, str], int]]:
+    """Per text the edits of each (form, context) found in it."""
+    for t in texts:
+        if len(known) > KNOWN:
+            known.clear()
+        found: dict[tuple[str, str], int] = {}
+        for form, _, edits, where in found_terms(t.as_py() or "", matcher, known):
+            found[form, where] = max(edits, found.get((form, where), 0))
+        yield found
 
+
+def _learn(lexicon, learned):
     def task(batches):
         matcher, known = Matcher(lexicon, learned), {}
+        forms: dict[tuple, list] = {}
+        for b in batches:
+            for found, toxic in zip(_found(b.column("text"), matcher, known), b.column("toxic").to_pylist(), strict=True):
+                for key in [(*k, edits) for k, edits in found.items()] or [(None, None, None)]:
+                    held = forms.setdefault(key, [0.0, 0])
+                    held[0] += toxic
+                    held[1] += 1
+        columns = zip(*((*k, *v) for k, v in forms.items()), strict=True) if forms else [[]] * 5
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["form", "context", "edits", "toxic", "n"])
+
+    return task
+
+
+def learn(docs: DataFrame, labels: DataFrame, lexicon=LEXICON, bound: int = LABEL_ROWS) -> Model:
+    """The model from the texts of ``docs`` that ``labels`` (doc_id, toxic) speak of."""
+    texts = training_texts(docs, usable(labels, bound))
+    learned = derive(texts)
+    counted = texts.mapInArrow(_learn(lexicon, learned), "form string, context string, edits int, toxic double, n long")
+    rows = counted.groupBy("form", "context").agg(F.max("edits").alias("edits"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect()
+    none = next(((r.toxic, r.n) for r in rows if r.form is None), (0.0, 0))
+    weights = {(r.form, r.context): (r.toxic + PRIOR_ROWS * prior(r.edits, r.context)) / (r.n + PRIOR_ROWS) for r in rows if r.form is not None}
+    return Model(learned, weights, (none[0] + BASE_RATE * 20) / (none[1] + 20))
+
+
+def _score(lexicon, model: Model):
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_terms", pa.int64())])
+
+    def task(batches):
+        matcher, known = Matcher(lexicon, model.learned), {}
         for b in batches:
-            rows = []
-            for t in b.column("text"):
-                if len(known) > KNOWN:
-                    known = {}
-                rows.append([dict(zip(("form", "term", "edits", "context"), x, strict=True)) for x in found_terms(t.as_py() or "", matcher, known)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "found"])
+            rows = [(model.score(found), len(found)) for found in _found(b.column("text"), matcher, known)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], schema.types[i + 1]) for i in (0, 1))], schema=schema)
 
     return task
 
 
-def scan(docs: DataFrame, lexicon=LEXICON, learned=()) -> DataFrame:
-    """doc_id and the found terms of each text: form, term, edits, context."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(lexicon, learned), "doc_id long, found array<struct<form:string,term:string,edits:int,context:string>>")
-
-
-def learn(found: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column, float]:
-    """Weights of (form, context), the weight of other forms, and the toxic rate without any, from ``labels`` (doc_id, toxic)."""
-    known = found.join(usable(labels), "doc_id")
-    hits = known.select("doc_id", "toxic", F.explode("found").alias("f")).select("doc_id", "toxic", "f.form", "f.edits", "f.context").distinct()
-    prior = F.element_at(F.create_map(*(F.lit(x) for pair in PRIOR.items() for x in pair)), F.col("edits"))
-    prior = prior * F.when(F.col("context") == "quoted", QUOTED_SHARE).otherwise(1.0)
-    forms = hits.groupBy("form", "context").agg(F.max("edits").alias("edits"), F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    weights = forms.select("form", "context", ((F.col("toxic") + PRIOR_ROWS * prior) / (F.col("n") + PRIOR_ROWS)).alias("weight"))
-    none = known.where(F.size("found") == 0).agg(F.sum("toxic"), F.count("*")).first()
-    base = ((none[0] or 0.0) + BASE_RATE * 20) / (none[1] + 20)
-    return weights, prior, base
-
-
-def scores(docs: DataFrame, labels: DataFrame, lexicon=LEXICON) -> DataFrame:
-    """doc_id, score, n_terms for each document; ``labels`` (doc_id, toxic) are the rows to learn terms and rates from."""
-    found = stage_table(scan(docs, lexicon, derive(docs, labels)), "toxic-terms")
-    weights, prior, base = learn(found, labels)
-    hits = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.form", "f.edits", "f.context").groupBy("doc_id", "form", "context").agg(F.max("edits").alias("edits"))
-    weighed = hits.join(weights, ["form", "context"], "left").withColumn("weight", F.coalesce("weight", prior))
-    miss = F.exp(F.sum(F.log1p(-F.least("weight", F.lit(0.999)))))
-    meant = weighed.groupBy("doc_id").agg(miss.alias("miss"), F.count("*").alias("n_terms"))
-    ids = found.select("doc_id").distinct()
-    m = meant.withColumnRenamed("doc_id", "m_id")
-    joined = ids.join(m, F.col("doc_id").eqNullSafe(F.col("m_id")), "left")
-    return joined.select("doc_id", (1 - (1 - F.lit(base)) * F.coalesce("miss", F.lit(1.0))).alias("score"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+def scores(docs: DataFrame, labels: DataFrame, lexicon=LEXICON, bound: int = LABEL_ROWS) -> DataFrame:
+    """doc_id, score, n_terms of each row of ``docs``; ``labels`` (doc_id, toxic) are the rows to learn terms and rates from."""
+    model = learn(docs, labels, lexicon, bound)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(lexicon, model), "doc_id long, score double, n_terms long")
