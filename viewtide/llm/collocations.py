@@ -51,6 +51,7 @@ UNKNOWN = "und"
 SHARDS = 3
 BUCKET_BYTES = 4 << 20
 LEAST_SLOTS, MOST_SLOTS, BYTES_A_SLOT = 1 << 16, 1 << 25, 64
+CHUNK_BYTES = 2 << 20
 MERGE_ROWS, FEW = 1 << 18, 4
 HOT_PARTS = 1000
 SALTS = 64
@@ -215,7 +216,7 @@ def _scan(scan: int, shards: int, buckets: int, marks):
         for b in batches:
             lang = np.array([languages.setdefault(x, len(languages)) for x in b.column("lang").to_pylist()], np.int64)
             code = np.array([language_code(x) for x in languages], np.uint64)
-            for part, data, offsets in arrays.chunks(b):
+            for part, data, offsets in arrays.chunks(b, limit=CHUNK_BYTES):
                 words = Words(data, offsets, lang[part], code)
                 new = active_counts(words, scan, shards, marks.value)
                 if scan < shards:  # all words of a language, as the phrase of no words

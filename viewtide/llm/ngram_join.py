@@ -18,8 +18,8 @@ copies. A link needs four fifths of either set in the other, so the work narrows
 
 Defined cases: null and empty texts and texts without words have an empty set (n_shingles 0) and
 link with nothing. Texts of fewer words than the shingle have their whole sequence as one. Equal
-texts link. Rows that repeat a doc_id count as one document. A row without doc_id is returned with
-null results. Other columns of the input are ignored. An empty table gives no rows.
+texts link. Rows that repeat a doc_id are documents of their own, in the order of their texts (``rows.keyed``): each gives a row,
+and component_id is the smallest doc_id among the rows it reaches. A row without doc_id is returned with null results. Other columns of the input are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import arrays
 from viewtide.llm.components import components
+from viewtide.llm.rows import columns_of, keyed
 from viewtide.session import stage_table
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 HOT_CLASSES = 1000
 CELL_TOKENS = 1 << 20
 
@@ -384,27 +385,36 @@ def class_members(sets: DataFrame) -> DataFrame:
     return split.select("doc_id", "rep")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for ``docs`` (doc_id, text); see the module for the method."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    named = docs.where("doc_id is not null")
-    counts = stage_table(shared_counts(named), "shingle-counts")
-    sets = stage_table(shingle_table(named, counts), "shingle-sets")
+def _linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text), whose doc_ids are all different and not null."""
+    counts = stage_table(shared_counts(docs), "shingle-counts")
+    sets = stage_table(shingle_table(docs, counts), "shingle-sets")
     members = stage_table(class_members(sets.select("doc_id", "high", "low", "n")), "shingle-classes")
-    firsts = sets.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    firsts = sets.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     ordered = stage_table(ordered_sets(firsts.select("doc_id", "n", "tokens")), "ordered-sets")
     placed = cells(ordered, clusters(ordered))
     amount = 8 * (ordered.agg(F.sum(F.length("keys") / 8)).first()[0] or 0)
     unit = F.when(F.col("total") <= CELL_TOKENS, F.pmod(F.xxhash64("cell"), F.lit(_buckets(docs, int(amount)))).cast("string")).otherwise(F.concat(F.lit("c"), "cell"))
     links = placed.groupBy(unit.alias("unit")).applyInArrow(_join_cells, "a long, b long")
     joined = components(links, "links").select(F.col("id").alias("rep"), "component")
-    by_doc = members.distinct().join(joined, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    result = counts.join(by_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    lost = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    by_doc = members.join(joined, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    return counts.join(by_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for ``docs`` (doc_id, text); see the module for the method."""
+    rows, repeated = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    result = _linked(rows.where("doc_id is not null").select("doc_id", "text"))
+    if repeated:
+        ids = rows.where("doc_id is not null").select("doc_id", F.col("row.doc_id").alias("own"))
+        result = result.join(ids, "doc_id").join(ids.toDF("component_id", "root"), "component_id")
+        result = result.select(F.col("own").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"))
+    lost = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return result.unionAll(lost)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose group holds a smaller doc_id; rows without doc_id stay."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without those whose group holds an earlier one; rows without doc_id stay."""
+    rows, _ = keyed(docs)
+    gone = _linked(rows.where("doc_id is not null").select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
+    return rows.join(gone, "doc_id", "left_anti").select(*columns_of(rows, docs.columns))

@@ -70,7 +70,7 @@ def count_batch(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(start, line_stop) > np.searchsorted(start, line_start)
     line_start, line_stop, line_doc = line_start[worded], line_stop[worded], line_doc[worded]
     dup = _extra(rolling.ranges(line_start, line_stop), line_doc, rows)[1]
-    letters = ((data & 0xC0) != 0x80) & ~arrays._SPACE[data]
+    letters = ((data & 0xC0) != 0x80) & ~arrays.SPACE[data]
     return {
         "n_words": np.diff(first),
         "word_chars": per_row(letters),
@@ -177,20 +177,26 @@ def fit(counts: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = counts.join(labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")), "doc_id")
     total = known.count()
     if total > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total)).limit(sample_rows)
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
     table = known.select("doc_id", *COUNTS, "quality").toPandas().sort_values(["doc_id", *COUNTS, "quality"])
     return train(features({c: table[c].to_numpy() for c in COUNTS}), table["quality"].to_numpy(float))
 
 
+def _kept(counts: dict[str, np.ndarray], model: Trees | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the base rules fail, the score, and whether the row stays."""
+    failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    score = model.score(features(counts)) if model is not None else np.ones(len(failed))
+    return failed, score, ~failed & (score >= threshold)
+
+
 def _judge(model: Trees | None, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS[:5]), ("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())])
 
     def task(batches):
         for b in batches:
             c = {k: b.column(k).to_numpy() for k in COUNTS}
-            failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-            score = model.score(features(c)) if model is not None else np.ones(len(failed))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(k) for k in COUNTS[:5]), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], schema=schema)
+            failed, score, kept = _kept(c, model, threshold)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(k) for k in COUNTS[:5]), pa.array(failed), pa.array(score), pa.array(kept)], schema=schema)
 
     return task
 
@@ -202,6 +208,16 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_row
     return counts.mapInArrow(_judge(model, threshold), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is kept; rows without doc_id go, as nothing identifies their verdict."""
-    return docs.join(judge(docs, labels).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keep(model: Trees | None, threshold: float):
+    def task(batches):
+        for b in batches:
+            verdicts = [_kept(count_batch(data, offsets), model, threshold)[2] for _, data, offsets in arrays.chunks(b)]
+            yield b.filter(pa.array(np.concatenate(verdicts) if verdicts else np.zeros(0, bool)))
+
+    return task
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept. Each row is judged where it lies, with or without doc_id, so no text moves."""
+    model = fit(stage_table(statistics(docs), "quality-counts"), labels, sample_rows)
+    return docs.mapInArrow(_keep(model, threshold), docs.schema)

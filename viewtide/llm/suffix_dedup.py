@@ -22,9 +22,9 @@ same document and earlier start). All strings are dealt to shards so that equal
 
 Segments end after ``GRAM``-window many starts, so runs of one character cannot make long ones.
 
-Defined cases: null and empty texts, and texts shorter than ``WIDTH``, lose nothing. Rows that repeat a
-doc_id count as one document, at the same place of the order. A row without doc_id has no place in
-the order; it keeps everything and removes nothing elsewhere. Other columns are ignored.
+Defined cases: null and empty texts, and texts shorter than ``WIDTH``, lose nothing. Rows that repeat a doc_id are
+documents of their own, in the order of their texts (``rows.keyed``), each cut on its own. A row without doc_id has no
+place in the order; it keeps everything and removes nothing elsewhere. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,15 +36,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from viewtide.llm import arrays, suffix_array
+from viewtide.llm.rows import columns_of, keyed
 from viewtide.session import stage_table
 
 WIDTH = 100
 GRAM = 24
 SHARD_BYTES = 1 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 HOT = 4096
 SPREAD = 8
 
@@ -370,66 +370,74 @@ def removed_spans(starts: bytes, width: int = WIDTH) -> np.ndarray:
     return np.stack((low[new], high[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)]), 1)
 
 
+CUT = "row {row}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
 def _cut(batches):
     for b in batches:
         out: list[list] = [[], [], [], [], [], []]
-        for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), strict=True):
+        for text, data, starts in zip(b.column("text").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), strict=True):
+            data = data or b""
             spans = removed_spans(starts or b"")
-            edges = np.concatenate(([0], spans.ravel(), [len(text)])).tolist()
-            left = b"".join([text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)])
-            row = (doc, len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)
+            edges = np.concatenate(([0], spans.ravel(), [len(data)])).tolist()
+            left = b"".join([data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)]) if len(spans) else data
+            # cuts fall between bytes; the pieces of a split character are left out of the text
+            row = (left.decode("utf-8", "ignore") if len(spans) else text, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)
             for o, x in zip(out, row, strict=True):
                 o.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        names = ["row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=names)
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, null if all are) of each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _cut_rows(docs: DataFrame, hot: int, whole: bool) -> DataFrame:
+    """row, text left, n_bytes, n_removed, n_spans, kept_sha256 and kept of each row of ``docs``; text of untouched rows only if ``whole``."""
+    docs, _ = keyed(docs)
     named = docs.where("doc_id is not null")
     amount = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount // BUCKET_BYTES + 1)
     able = F.octet_length("text") >= WIDTH
-    staged = stage_table(shared_keys(named.where(able), buckets, max(hot, amount >> 24)), "repeat-keys")
+    staged = stage_table(shared_keys(named.where(able).select("doc_id", "text"), buckets, max(hot, amount >> 24)), "repeat-keys")
     keys = staged.where("doc_id is not null")
     hot_keys = np.unique(np.frombuffer(b"".join(r.keys_ for r in staged.where("doc_id is null").select(F.col("keys").alias("keys_")).collect()), "<i8"))
     # texts that share nothing need no second look
-    joined = docs.join(keys, "doc_id", "left")
-    free = F.col("keys").isNull()
-    text = F.coalesce("text", F.lit(""))
-    split = joined.select(
-        "doc_id",
-        "keys",
-        F.when(~free, F.col("text")).alias("text"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.when(free, F.sha2(text.cast("binary"), 256)).alias("kept_sha256"),
-    )
+    split = docs.join(keys, "doc_id", "left")
+    if not whole:
+        free = F.col("keys").isNull()
+        text = F.coalesce("text", F.lit(""))
+        split = split.select(
+            "doc_id",
+            "keys",
+            "row",
+            F.when(~free, F.col("text")).alias("text"),
+            F.octet_length(text).cast("long").alias("n_bytes"),
+            F.when(free, F.sha2(text.cast("binary"), 256)).alias("kept_sha256"),
+        )
     split = stage_table(split, "repeat-texts")
     sharing = split.where("keys is not null").select("doc_id", "text", "keys")
     pieces = segment_table(sharing, buckets, hot_keys)
     found = pieces.groupBy("bucket").applyInArrow(_repeats(buckets), "part long, docs binary, first binary, number binary")
     starts = found.groupBy("part").applyInArrow(_starts_by_document, "doc_id long, starts binary")
-    done = sharing.drop("keys").join(starts, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    row = split.schema["row"].dataType.simpleString()
+    done = split.where("keys is not null").select("doc_id", "row", "text").join(starts, "doc_id", "left")
+    done = done.select("row", "text", "starts").mapInArrow(_cut, CUT.format(row=row))
     zero = F.lit(0).cast("long")
-    rest = split.where("keys is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
+    n_bytes, digest = ("n_bytes", "kept_sha256") if not whole else (zero, F.lit(None).cast("string"))
+    rest = split.where("keys is null").select("row", "text", n_bytes, zero.alias("n_removed"), zero.alias("n_spans"), digest, F.lit(None).cast("binary"))
     return done.unionAll(rest)
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated strings cut from ``text``, and ``n_chars`` renewed if there.
-
-    Cuts fall between bytes; the pieces of a split character are left out.
-    """
-    kept = remove_repeats(docs).where("n_removed > 0").groupBy("doc_id").agg(F.first("kept").alias("_kept"))
-    whole = F.col("_kept").isNull()
-    joined = docs.join(kept.withColumn("_kept", valid_text("_kept")), "doc_id", "left")
-    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(F.col("_kept")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
-
-
-@F.pandas_udf(T.StringType())
-def valid_text(kept):
-    return kept.map(lambda x: x.decode("utf-8", "ignore") if x is not None else None)
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left, null if all are) of each row of ``docs``."""
+    cut = _cut_rows(docs.select(F.col("doc_id").cast("long"), "text"), hot, whole=False)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def cut_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``docs`` with repeated strings cut from ``text``, and ``n_chars`` renewed if there."""
+    cut = _cut_rows(docs, hot, whole=True)
+    columns = dict(zip(docs.columns, columns_of(cut, docs.columns), strict=True))
+    if "n_chars" in columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(columns["n_chars"]).alias("n_chars")
+    return cut.select(*columns.values())
