@@ -5,14 +5,31 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 
-from viewtide.llm import byte_bpe, catalog, embedding_links, mixing, ngram_join, quality, suffix_array, suffix_dedup, toxicity, url_filter, warc_zip
+from viewtide.llm import (
+    byte_bpe,
+    catalog,
+    collocations,
+    embedding_links,
+    language_id,
+    mixing,
+    ngram_join,
+    periodic_runs,
+    quality,
+    suffix_array,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc_zip,
+)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(5)
@@ -403,3 +420,228 @@ def test_pipeline_stages_keep_whole_rows(spark, docs, folder, tmp_path):
     twice = table.where("doc_id is not null").unionAll(table.where("doc_id = 4"))
     got = collections.Counter((r.doc_id, tuple(r.ids)) for r in stage["tokens"](spark, twice, folder).collect())
     assert got == collections.Counter((i, tuple(exact.encode_ordinary(t or ""))) for i, t, _ in [*ROWS, ROWS[4]])
+
+
+REPEATED = "id bigint, text string, doc_id bigint, row string, tie int, place int"
+
+
+def with_repeats(spark, pairs):
+    """doc_id and text with columns named like the operators' own."""
+    return spark.createDataFrame([(7, t, i, "r", 1, 2) for i, t in pairs], REPEATED)
+
+
+def test_rows_that_repeat_a_doc_id_lose_nothing(spark):
+    p, q = "p1 p2 p3 " * 30, "".join(f"q{i} " for i in range(60))
+    # equal ids in order of their texts: the first P stands, the null is empty
+    df = with_repeats(spark, [(1, p), (1, None), (2, p)])
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
+    alone = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df.where("doc_id = 1 and text is not null")).collect()}
+    assert got == [(1, 0, 0), (1, len(p), alone[1]), (2, len(p), len(p))]
+    df = with_repeats(spark, [(1, q), (2, q), (2, q.upper()), (None, q)])
+    cut = sorted(((r.doc_id, r.text) for r in suffix_dedup.cut_texts(df).collect()), key=str)
+    assert cut == sorted([(1, q), (2, ""), (2, q.upper()), (None, q)], key=str)
+    assert suffix_dedup.cut_texts(df).columns == df.columns
+
+
+def test_rows_that_repeat_a_doc_id_are_linked_as_rows(spark):
+    p, q, short = "".join(f"p{i} " for i in range(80)), "".join(f"q{i} " for i in range(50)), "a b"
+    df = with_repeats(spark, [(1, p), (2, p), (2, q), (3, q), (4, p), (4, short), (None, p)])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).where("doc_id is not null").collect())
+    assert got == sorted([(1, 76, 1), (2, 76, 1), (2, 46, 2), (3, 46, 2), (4, 76, 1), (4, 1, 4)])
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(df).collect()), key=str)
+    assert kept == sorted([(1, p), (2, q), (4, short), (None, p)], key=str)
+
+
+def test_clean_rows_without_doc_id_stay(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    df = with_repeats(spark, [(None, words), (None, "too short"), (5, words), (5, "too short"), (6, None)])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.keep_good(df, labels)
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["5", "None"]
+
+
+def test_toxic_rows_are_scored_one_by_one(spark):
+    rows = [(None, "you asshole"), (None, "fine words"), (1, "you asshole"), (1, "fine words"), (2, None), (3, "")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 7)], "doc_id long, toxic int")
+    got = [(r.doc_id, round(r.score, 6), r.n_terms) for r in toxicity.scores(with_repeats(spark, rows), labels).collect()]
+    assert len(got) == 6 and {n for _, _, n in got} == {0, 1}
+    assert len({s for _, s, n in got if n == 0}) == 1 and min(s for _, s, n in got if n) > 0.7
+
+
+def brute_runs(words):
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            size = j - i + q
+            if j > i and size >= max(6, 4 * q) and not any(q % p == 0 and all(words[i + t] == words[i + t + p] for t in range(size - p)) for p in range(1, q)):
+                out.append((i, size, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_periodic_runs(spark, docs, nothing):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 60))) for _ in range(120)]
+    texts += ["x y " * 9 + "x", "é\té\né é é é z", "a b a b a b", "one", "  ", "a " * 4000 + "b c " * 3000 + "b"]
+    for first in range(0, 60, 7):
+        texts.append(" ".join(f"w{i}" for i in range(first)) + " " + " ".join(f"v{i % 7}" for i in range(first)) + " tail")
+    table = [(i, t) for i, t in enumerate(texts)] + [(None, "a " * 8), (0, "b " * 8), (3, None)] + [(i, t) for i, t, _ in ROWS]
+    got = collections.Counter(
+        (x.doc_id, x.n_words, tuple(tuple(run) for run in x.runs), x.collapsed)
+        for x in periodic_runs.periodic_runs(with_repeats(spark, table)).collect()
+    )
+    want = collections.Counter()
+    for i, t in table:
+        w = WORD.findall(t or "")
+        runs = brute_runs(w) if len(w) < 1000 else [(0, 4000, 1), (4000, 6001, 2)] if "c" in t else [(0, len(w), 1)]
+        gone = {k for s, size, q in runs for k in range(s + q, s + size)}
+        want[i, len(w), tuple(runs), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    assert got == want
+    assert periodic_runs.periodic_runs(nothing).count() == 0 and periodic_runs.periodic_runs(docs).count() == len(ROWS) + 1
+
+
+def test_periodic_runs_query(spark, folder):
+    got = {r.doc_id: tuple(r)[1:] for r in catalog.QUERIES["op11_periodic_runs"](spark, folder).collect()}
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    looped = 0
+    for doc_id, text in texts:
+        w = WORD.findall(text or "")
+        h, n = zlib.crc32(str(doc_id).encode()), len(w)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+            looped += 1
+        if n > 1500:
+            continue
+        runs = brute_runs(w)
+        gone = {k for s, size, q in runs for k in range(s + q, s + size)}
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        lines = "".join(f"{s},{size},{q}\n" for s, size, q in runs)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (lines, " ".join(x for k, x in enumerate(w) if k not in gone))]
+        assert got[doc_id] == (len(runs), *best, 1000 * best[1] // best[2] if runs else None, *digests)
+    assert looped and len(got) == len(texts)
+
+
+def brute_phrases(rows, least):
+    f, n = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\n-\r]", lower):
+            w = re.findall("[^ \t]+", piece)
+            n[lang or "und"] += len(w)
+            for size in (1, 2, 3):
+                f.update((lang or "und", *w[i : i + size]) for i in range(len(w) - size + 1))
+    out = collections.defaultdict(list)
+    candidates = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    for (lang, *w), a in candidates.items():
+        longer = [b for (other, *v), b in candidates.items() if other == lang and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v)))]
+        if any(100 * b >= 50 * a for b in longer):
+            continue
+        cuts = [(10**6 * a * a // (f[lang, *w[:k]] * f[lang, *w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        out[lang].append((-score, -a, " ".join(w).encode(), f[lang, *w[:k]], f[lang, *w[k:]]))
+    return [(lang, i + 1, p.decode(), -a, x, y, n[lang], -s) for lang, own in out.items() for i, (s, a, p, x, y) in enumerate(sorted(own))]
+
+
+@pytest.mark.parametrize("shards,slots", [(2, 1 << 16), (3, 1 << 2), (5, 1 << 16)])
+def test_collocations(spark, docs, nothing, monkeypatch, shards, slots):
+    monkeypatch.setattr(collocations, "LEAST_SLOTS", slots)
+    monkeypatch.setattr(collocations, "MOST_SLOTS", slots)
+    r = random.Random(shards)
+    rows = []
+    for _ in range(300):
+        words = [r.choice(["New", "york", "city", "the", "of", "é", "a\x0e"]) for _ in range(r.randint(0, 12))]
+        rows.append((r.choice(["en", "de", "und", None]), "".join(w + r.choice([" ", "  ", "\t", ". ", "\n", ", "]) for w in words)))
+    rows += [("en", None), ("en", ""), (None, "x " * 40), ("zz", "rare words"), ("fr", "a a a a a a a a a a a a")]
+    df = spark.createDataFrame([(1, t, lang, 2, "k") for lang, t in rows], "doc_id long, text string, lang string, n long, phrase string").repartition(5)
+    got = sorted(tuple(x) for x in collocations.collocations(df, shards=shards).collect())
+    assert got == sorted(brute_phrases(rows, 10))
+    best = [x for x in sorted(brute_phrases(rows, 10)) if x[1] <= 3]
+    if shards == 2:
+        assert sorted(tuple(x) for x in collocations.collocations(df, top=3, shards=2).collect()) == best
+        assert collocations.collocations(nothing).count() == 0
+
+
+def test_collocations_merge_and_flush(spark, monkeypatch):
+    """Chunks, merges and early sending of rare phrases change nothing."""
+    r = random.Random(9)
+    lines = [(r.choice(["en", "de"]), " ".join(r.choice("abcdefgh") for _ in range(20))) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in lines]), pa.array([t for _, t in lines])], ["lang", "text"])
+    marks = collections.namedtuple("Marks", "value")(np.zeros((2, 16), np.uint8))
+
+    def counts():
+        total = collections.Counter()
+        for packed in collocations._scan(2, 3, 4, marks)(iter([batch, batch])):
+            entries, languages = collocations._unpacked(pa.Table.from_batches([packed]))
+            for row in entries.to_pylist():
+                total[languages[row["lang"]], row["phrase"], row["size"]] += row["n"]
+        return total
+
+    whole = counts()
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(collocations, "MERGE_ROWS", 40)
+    assert counts() == whole and len(whole) > 500
+
+
+def test_language_scores_match_a_plain_network(spark):
+    r = np.random.default_rng(3)
+    windows = r.integers(0, 256, (5, language_id.WINDOW), dtype=np.uint8)
+    net = language_id.train(r.integers(97, 123, (40, language_id.WINDOW), dtype=np.uint8), np.arange(40) % 3, ["a", "b", "c"])
+    want = []
+    for x in windows:
+        hidden = []
+        for f, bias in zip(net.filters, net.biases, strict=True):
+            sums = [sum(net.embedding[x[i + k]] @ f[k] for k in range(len(f))) + bias for i in range(len(x) - len(f) + 1)]
+            hidden += [max(0.0, s) for s in np.max(sums, axis=0)]
+        logits = np.exp(np.array(hidden) @ net.dense + net.offset)
+        want.append(logits / logits.sum())
+    assert np.allclose(language_id.Scorer(net).score(windows), want, atol=1e-5)
+
+
+def test_language_gradients(spark):
+    r = np.random.default_rng(5)
+    x, y = r.integers(97, 105, (6, 12), dtype=np.uint8), np.arange(6) % 2
+    net = language_id.train(x, y, ["a", "b"])
+    values = [net.embedding, *net.filters, *net.biases, net.dense, net.offset]
+    loss = lambda: -np.log(language_id.Scorer(net).score(x)[np.arange(6), y].astype(np.float64)).mean()
+    for v, g in zip(values, language_id._gradients(net, x, y), strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, step = v[at], 1e-2
+        v[at] = kept + step
+        up = loss()
+        v[at] = kept - step
+        down = loss()
+        v[at] = kept
+        assert abs((up - down) / (2 * step) - g[at]) < 0.05 * abs(g[at]) + 1e-3
+
+
+def test_language_cases(spark, docs, nothing):
+    de, en = "der Hund und die Katze sind auf dem Weg nach Hause ", "the dog and the cat are on the way to their home "
+    rows = [(i, (en if i % 2 else de) * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.fit(train)
+    asked = [(1, "THE CAT AND THE DOG ARE AT HOME", "en"), (1, "die Katze und der Hund", "de"), (2, None, "und"), (3, "", "und"), (4, "123 !?", "und"), (None, en * 400, "en")]
+    got = language_id.predict(with_repeats(spark, [(i, t) for i, t, _ in asked]), net).collect()
+    assert sorted((str(r.doc_id), r.lang_pred) for r in got) == sorted((str(i), lang) for i, _, lang in asked)
+    assert all(0 <= r.score <= 1 and (r.lang_pred == "und") == (r.score == 0) for r in got)
+    assert language_id.fit(train.where("false")) is None
+    assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
+    assert language_id.predict(nothing, net).count() == 0
+    one = language_id.predict(train, language_id.fit(train.where("lang = 'en'"))).collect()
+    assert {(r.lang_pred, r.score) for r in one} == {("en", 1.0)}
+    # the sample is bounded and does not depend on the partitions
+    pairs = language_id.sample(train.repartition(7), rows=4, windows=2)
+    assert len(pairs) == 16 and pairs == language_id.sample(train.coalesce(1), rows=4, windows=2)
+
+
+def test_language_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = catalog.QUERIES["op13_language_id"](spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert len(held) > 200 and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)

@@ -8,7 +8,7 @@ Phrases of one to ``LONGEST`` words are counted per language, exactly for all th
    subphrases (without the last word, without the first) are marked. So lengths interleave: common phrases of three
    words are counted while rare words still are.
 3. A phrase that began with scan s is complete after scan s + ``SHARDS`` - 1, when it has met every shard once. The
-   scans end when nothing is incomplete. A subphrase occurs at least as often as its phrase, so no frequent phrase
+   scans end when no active phrase can be incomplete. A subphrase occurs at least as often as its phrase, so no frequent phrase
    is missed, wherever its subphrases reach the threshold.
 
 The tasks of a scan count their active phrases chunk by chunk and merge the counts before they are shuffled, packed by
@@ -287,6 +287,18 @@ def _slots_of(phrases: pa.Array, lang: np.ndarray, size: np.ndarray, languages:
     return np.unique(np.concatenate(found))
 
 
+def _end(marks: np.ndarray, shards: int) -> int:
+    """The scan before which all phrases that are active by ``marks`` are complete, met already or not."""
+    first = end = 0
+    for row in marks:
+        set_ = row[row != NEVER]
+        end = first + shards
+        if not len(set_):
+            return end
+        first = max(int(set_.max()), first + 1)
+    return first + shards
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> DataFrame:
     """lang, phrase, size, n: all phrases of up to ``LONGEST`` words that occur ``least`` times, and all words of each language as size 0.
 
@@ -302,21 +314,18 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (amount // BYTES_A_SLOT).bit_length()))
     marks = np.full((LONGEST - 1, slots), NEVER, np.uint8)
     steps, scan = [], 0
-    while True:
+    while scan < _end(marks, shards):
         shared = spark.sparkContext.broadcast(marks)
-        found = dealt.where(F.col("shard") == scan % shards).select("lang", "text").mapInArrow(_scan(scan, shards, buckets, shared), ENTRY)
+        found = dealt.where(F.col("shard") == scan % shards).select("lang", "text").transform(arrays.in_batches, _scan(scan, shards, buckets, shared), ENTRY)
         if steps:
             found = found.unionByName(steps[-1].where("phrases is not null").select(*ENTRIES.names))
-        state = found.groupBy("bucket").applyInArrow(_count(scan, shards, least, slots), STATES)
-        going = Observation()
-        steps.append(stage_table(state.observe(going, F.count("phrases").alias("rows")), f"phrase-scan{scan}"))
+        state = found.groupBy("bucket").applyInArrow(arrays.tidy(_count(scan, shards, least, slots)), STATES)
+        steps.append(stage_table(state, f"phrase-scan{scan}"))
         shared.destroy()
         new = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r.slots_, "<u4") for r in steps[-1].where("slots is not null").select(F.col("slots").alias("slots_")).collect())])
         new = new[marks.ravel()[new] == NEVER]
         scan += 1
         marks.ravel()[new] = scan
-        if not going.get["rows"] and not len(new) and scan >= shards:
-            break
     finished = [s.where("n is not null").select("lang", "phrase", "size", "n") for s in steps]
     whole = finished[0]
     for f in finished[1:]:
