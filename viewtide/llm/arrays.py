@@ -6,10 +6,14 @@ follows the chunk (or one longer text), never the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -24,6 +28,43 @@ _GRAM = [_U(x | 1) for x in np.random.default_rng(7).integers(1, 1 << 63, 8, dty
 _powers: dict[str, np.ndarray] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a worker process lives on between tasks, beside the executor and other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(task: Callable) -> Callable:
+    """``task`` (a table function or a generator over batches) giving freed memory back when it ends."""
+    if inspect.isgeneratorfunction(task):
+
+        @functools.wraps(task)
+        def run(batches):
+            try:
+                yield from task(batches)
+            finally:
+                _give_back()
+
+    else:
+
+        @functools.wraps(task)
+        def run(table):
+            try:
+                return task(table)
+            finally:
+                _give_back()
+
+    return run
+
+
+def in_batches(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with a tidy task; for ``df.transform``."""
+    return df.mapInArrow(tidy(task), schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -245,4 +245,4 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
     ``path`` is the vocabulary's file, present on every executor.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_task(path, pattern, keep_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrays.in_batches, _task(path, pattern, keep_ids), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from viewtide.llm import arrays
 from viewtide.llm.components import components
-from viewtide.llm.rows import columns_of, keyed
+from viewtide.llm.rows import columns_of, keyed, split_by_ids
 from viewtide.session import stage_table
 
 BUCKET_BYTES = 8 << 20
@@ -121,9 +121,9 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n (distinct shingles) and shared (of these, how many another document may hold too)."""
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = _buckets(docs, amount)
-    sent = docs.mapInArrow(_emit_shingles(buckets), "bucket long, doc_id long, n long, docs binary, sizes binary, hashes binary")
-    found = sent.groupBy("bucket").applyInArrow(_count_shared(buckets), "part long, docs binary, n binary, shared binary")
-    return found.groupBy("part").applyInArrow(_sum_by_document, SHARED)
+    sent = docs.transform(arrays.in_batches, _emit_shingles(buckets), "bucket long, doc_id long, n long, docs binary, sizes binary, hashes binary")
+    found = sent.groupBy("bucket").applyInArrow(arrays.tidy(_count_shared(buckets)), "part long, docs binary, n binary, shared binary")
+    return found.groupBy("part").applyInArrow(arrays.tidy(_sum_by_document), SHARED)
 
 
 def _sets(batches):
@@ -141,7 +141,7 @@ def _sets(batches):
 def shingle_table(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, n, 128-bit signature and sorted shingle hashes of documents that can have a partner."""
     able = counts.where("n > 0 and 100 * shared >= 80 * n").select("doc_id")
-    return docs.join(able, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, high long, low long, tokens binary")
+    return split_by_ids(docs, able)[0].join(able, "doc_id", "left_semi").transform(arrays.in_batches, _sets, "doc_id long, n long, high long, low long, tokens binary")
 
 
 def _by_bucket(buckets: int):
@@ -196,10 +196,10 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     """doc_id, n, prefix, keys of documents of which a partner could share a prefix shingle."""
     amount = 8 * (sets.agg(F.sum("n")).first()[0] or 0)
     buckets = _buckets(sets, amount)
-    sent = sets.select("doc_id", "tokens").mapInArrow(_by_bucket(buckets), "bucket long, docs binary, tokens binary")
-    found = sent.groupBy("bucket").applyInArrow(_frequencies(buckets), "part long, docs binary, keys binary")
-    keys = found.groupBy("part").applyInArrow(_keys_by_document, "doc_id long, keys binary")
-    return keys.join(sets.select("doc_id", "n"), "doc_id").select("doc_id", "n", "keys").mapInArrow(_with_prefix, "doc_id long, n long, prefix long, keys binary")
+    sent = sets.select("doc_id", "tokens").transform(arrays.in_batches, _by_bucket(buckets), "bucket long, docs binary, tokens binary")
+    found = sent.groupBy("bucket").applyInArrow(arrays.tidy(_frequencies(buckets)), "part long, docs binary, keys binary")
+    keys = found.groupBy("part").applyInArrow(arrays.tidy(_keys_by_document), "doc_id long, keys binary")
+    return keys.join(sets.select("doc_id", "n"), "doc_id").select("doc_id", "n", "keys").transform(arrays.in_batches, _with_prefix, "doc_id long, n long, prefix long, keys binary")
 
 
 def _chains(token: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,8 +272,8 @@ def clusters(ordered: DataFrame) -> DataFrame:
     """(id, component): documents connected through prefix shingles and compatible lengths."""
     amount = 32 * (ordered.agg(F.sum("prefix")).first()[0] or 0)
     buckets = _buckets(ordered, amount)
-    sent = ordered.mapInArrow(_postings(buckets), "bucket long, a long, b long, tokens binary, docs binary, low binary, high binary")
-    return components(sent.groupBy("bucket").applyInArrow(_edges, "a long, b long"), "clusters")
+    sent = ordered.transform(arrays.in_batches, _postings(buckets), "bucket long, a long, b long, tokens binary, docs binary, low binary, high binary")
+    return components(sent.groupBy("bucket").applyInArrow(arrays.tidy(_edges), "a long, b long"), "clusters")
 
 
 def trie_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -395,7 +395,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     placed = cells(ordered, clusters(ordered))
     amount = 8 * (ordered.agg(F.sum(F.length("keys") / 8)).first()[0] or 0)
     unit = F.when(F.col("total") <= CELL_TOKENS, F.pmod(F.xxhash64("cell"), F.lit(_buckets(docs, int(amount)))).cast("string")).otherwise(F.concat(F.lit("c"), "cell"))
-    links = placed.groupBy(unit.alias("unit")).applyInArrow(_join_cells, "a long, b long")
+    links = placed.groupBy(unit.alias("unit")).applyInArrow(arrays.tidy(_join_cells), "a long, b long")
     joined = components(links, "links").select(F.col("id").alias("rep"), "component")
     by_doc = members.join(joined, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return counts.join(by_doc, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -417,4 +417,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose group holds an earlier one; rows without doc_id stay."""
     rows, _ = keyed(docs)
     gone = _linked(rows.where("doc_id is not null").select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
-    return rows.join(gone, "doc_id", "left_anti").select(*columns_of(rows, docs.columns))
+    gone = stage_table(gone, "linked-copies")
+    maybe, stays = split_by_ids(rows, gone)
+    rows = stays.unionAll(maybe.join(gone, "doc_id", "left_anti").select(*rows.columns))
+    return rows.select(*columns_of(rows, docs.columns))

@@ -92,7 +92,7 @@ def _count(batches):
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the counts of ``COUNTS`` for each row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrays.in_batches, _count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -205,7 +205,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_row
     """doc_id, counts, base_failed, score (probability of good quality) and kept for each row of ``docs``."""
     counts = stage_table(statistics(docs), "quality-counts")
     model = fit(counts, labels, sample_rows)
-    return counts.mapInArrow(_judge(model, threshold), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, score double, kept boolean")
+    return counts.transform(arrays.in_batches, _judge(model, threshold), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, score double, kept boolean")
 
 
 def _keep(model: Trees | None, threshold: float):
@@ -220,4 +220,4 @@ def _keep(model: Trees | None, threshold: float):
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that are kept. Each row is judged where it lies, with or without doc_id, so no text moves."""
     model = fit(stage_table(statistics(docs), "quality-counts"), labels, sample_rows)
-    return docs.mapInArrow(_keep(model, threshold), docs.schema)
+    return docs.transform(arrays.in_batches, _keep(model, threshold), docs.schema)

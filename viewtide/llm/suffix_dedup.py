@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewtide.llm import arrays, suffix_array
-from viewtide.llm.rows import columns_of, keyed
+from viewtide.llm.rows import columns_of, keyed, split_by_ids
 from viewtide.session import stage_table
 
 WIDTH = 100
@@ -188,9 +188,9 @@ def _keys_by_document(table: pa.Table) -> pa.Table:
 
 def shared_keys(docs: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     """doc_id and its shard keys, packed, that occur twice or more in ``docs``; rows without doc_id hold the hot ones."""
-    sent = docs.mapInArrow(_emit_keys(buckets), "bucket long, doc_id long, docs binary, sizes binary, keys binary, counts binary")
-    found = sent.groupBy("bucket").applyInArrow(_shared(buckets, hot), "part long, docs binary, keys binary")
-    return found.groupBy("part").applyInArrow(_keys_by_document, "doc_id long, keys binary")
+    sent = docs.transform(arrays.in_batches, _emit_keys(buckets), "bucket long, doc_id long, docs binary, sizes binary, keys binary, counts binary")
+    found = sent.groupBy("bucket").applyInArrow(arrays.tidy(_shared(buckets, hot)), "part long, docs binary, keys binary")
+    return found.groupBy("part").applyInArrow(arrays.tidy(_keys_by_document), "doc_id long, keys binary")
 
 
 DIGEST = np.dtype([("x", "<u8"), ("y", "<u8")])
@@ -283,7 +283,7 @@ def _emit_starts(whole: bytes, first, size, doc, place, chosen, buckets: int):
 def segment_table(sharing: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Packed segments with shared keys and single starts with hot ones, by bucket, and starts known to be repeats."""
     schema = "bucket long, doc_id long, starts binary, docs binary, places binary, sizes binary, keys binary, twice binary, text binary, digests binary"
-    return sharing.mapInArrow(_emit_segments(buckets, hot), schema)
+    return sharing.transform(arrays.in_batches, _emit_segments(buckets, hot), schema)
 
 
 def shard_repeats(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -401,7 +401,8 @@ def _cut_rows(docs: DataFrame, hot: int, whole: bool) -> DataFrame:
     keys = staged.where("doc_id is not null")
     hot_keys = np.unique(np.frombuffer(b"".join(r.keys_ for r in staged.where("doc_id is null").select(F.col("keys").alias("keys_")).collect()), "<i8"))
     # texts that share nothing need no second look
-    split = docs.join(keys, "doc_id", "left")
+    maybe, alone = split_by_ids(docs, keys)
+    split = maybe.join(keys, "doc_id", "left").unionByName(alone.withColumn("keys", F.lit(None).cast("binary")))
     if not whole:
         free = F.col("keys").isNull()
         text = F.coalesce("text", F.lit(""))
@@ -416,11 +417,11 @@ def _cut_rows(docs: DataFrame, hot: int, whole: bool) -> DataFrame:
     split = stage_table(split, "repeat-texts")
     sharing = split.where("keys is not null").select("doc_id", "text", "keys")
     pieces = segment_table(sharing, buckets, hot_keys)
-    found = pieces.groupBy("bucket").applyInArrow(_repeats(buckets), "part long, docs binary, first binary, number binary")
-    starts = found.groupBy("part").applyInArrow(_starts_by_document, "doc_id long, starts binary")
+    found = pieces.groupBy("bucket").applyInArrow(arrays.tidy(_repeats(buckets)), "part long, docs binary, first binary, number binary")
+    starts = found.groupBy("part").applyInArrow(arrays.tidy(_starts_by_document), "doc_id long, starts binary")
     row = split.schema["row"].dataType.simpleString()
     done = split.where("keys is not null").select("doc_id", "row", "text").join(starts, "doc_id", "left")
-    done = done.select("row", "text", "starts").mapInArrow(_cut, CUT.format(row=row))
+    done = done.select("row", "text", "starts").transform(arrays.in_batches, _cut, CUT.format(row=row))
     zero = F.lit(0).cast("long")
     n_bytes, digest = ("n_bytes", "kept_sha256") if not whole else (zero, F.lit(None).cast("string"))
     rest = split.where("keys is null").select("row", "text", n_bytes, zero.alias("n_removed"), zero.alias("n_spans"), digest, F.lit(None).cast("binary"))

@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from viewtide.llm import arrays
 from viewtide.session import stage_table
 
 # Default lexicon: insults in four languages. A parameter of every function here.
@@ -256,7 +257,7 @@ def derive(texts: DataFrame) -> list[str]:
     # a text whose id and hash repeat is read once more for each repeat
     if total <= 2 * LABEL_ROWS:
         once = F.broadcast(once)
-    counted = rows.drop("toxic").join(once, ["doc_id", "hash"]).select("text", "toxic").mapInArrow(_count, "feature string, toxic double, n long")
+    counted = rows.drop("toxic").join(once, ["doc_id", "hash"]).select("text", "toxic").transform(arrays.in_batches, _count, "feature string, toxic double, n long")
     counted = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     seen = Observation()
     share = toxic / total
@@ -318,7 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, lexicon=LEXICON, bound: int = LABE
     """The model from the texts of ``docs`` that ``labels`` (doc_id, toxic) speak of."""
     texts = training_texts(docs, usable(labels, bound))
     learned = derive(texts)
-    counted = texts.mapInArrow(_learn(lexicon, learned), "form string, context string, edits int, toxic double, n long")
+    counted = texts.transform(arrays.in_batches, _learn(lexicon, learned), "form string, context string, edits int, toxic double, n long")
     rows = counted.groupBy("form", "context").agg(F.max("edits").alias("edits"), F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect()
     none = next(((r.toxic, r.n) for r in rows if r.form is None), (0.0, 0))
     weights = {(r.form, r.context): (r.toxic + PRIOR_ROWS * prior(r.edits, r.context)) / (r.n + PRIOR_ROWS) for r in rows if r.form is not None}
@@ -340,4 +341,4 @@ def _score(lexicon, model: Model):
 def scores(docs: DataFrame, labels: DataFrame, lexicon=LEXICON, bound: int = LABEL_ROWS) -> DataFrame:
     """doc_id, score, n_terms of each row of ``docs``; ``labels`` (doc_id, toxic) are the rows to learn terms and rates from."""
     model = learn(docs, labels, lexicon, bound)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(lexicon, model), "doc_id long, score double, n_terms long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrays.in_batches, _score(lexicon, model), "doc_id long, score double, n_terms long")
