@@ -341,6 +341,22 @@ def _join_cells(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
+def _with_stats(rows: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the statistics of their cluster and class.
+
+    Those of a class with more than one row in ``HOT_CLASSES``, fewer than ``HOT_CLASSES`` classes, are broadcast, and its rows spread
+    over the exchange that brings the others theirs.
+    """
+    keys, values = ["cluster", "class"], ["salts", "salts_after", "salts_before", "total"]
+    hot = stats.where(F.col("sets") * HOT_CLASSES > n).select(*keys, F.struct(*values).alias("hot"))
+    # 0, as a class has rows, but no literal, which the planner would turn into a filter
+    cool = stats.where(F.col("sets") * HOT_CLASSES <= n).select(*keys, F.least("sets", F.lit(0).cast("long")).alias("spread"), F.struct(*values).alias("cool"))
+    rows = rows.join(F.broadcast(hot), keys, "left")
+    rows = rows.withColumn("spread", F.when(F.col("hot").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("long"))
+    found = rows.join(cool, [*keys, "spread"], "left").withColumn("found", F.coalesce("hot", "cool"))
+    return found.select("doc_id", "n", "keys", *keys, *[F.col("found").getField(v).alias(v) for v in values])
+
+
 def cells(ordered: DataFrame, cluster: DataFrame, limit: int = CELL_TOKENS) -> DataFrame:
     """Rows of ``ordered`` with the cell pairs in which they meet every possible partner.
 
@@ -350,11 +366,12 @@ def cells(ordered: DataFrame, cluster: DataFrame, limit: int = CELL_TOKENS) -> D
     rows = ordered.join(cluster.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     rows = rows.withColumn("held", F.greatest(F.length("keys") / 8, F.lit(limit / 2048))).withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))))
     total = rows.groupBy("cluster").agg(F.sum("held").alias("total"))
-    class_total = rows.groupBy("cluster", "class").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("held") / limit)).alias("salts"))
+    class_total = rows.groupBy("cluster", "class").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("held") / limit)).alias("salts"), F.count("*").alias("sets"))
+    class_total = stage_table(class_total, "cluster-classes")
     after = class_total.select("cluster", (F.col("class") - 1).alias("class"), F.col("salts").alias("salts_after"))
     before = class_total.select("cluster", (F.col("class") + 1).alias("class"), F.col("salts").alias("salts_before"))
     stats = class_total.join(after, ["cluster", "class"], "left").join(before, ["cluster", "class"], "left").join(total, "cluster")
-    rows = rows.join(stats, ["cluster", "class"])
+    rows = _with_stats(rows, stats, class_total.agg(F.sum("sets")).first()[0] or 0)
     salt = F.pmod(F.xxhash64("doc_id"), F.col("salts"))
 
     def pairs(count: str, low, high, low_class, high_class):
