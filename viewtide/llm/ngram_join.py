@@ -354,7 +354,7 @@ def _with_stats(rows: DataFrame, stats: DataFrame, n: int) -> DataFrame:
     rows = rows.join(F.broadcast(hot), keys, "left")
     rows = rows.withColumn("spread", F.when(F.col("hot").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("long"))
     found = rows.join(cool, [*keys, "spread"], "left").withColumn("found", F.coalesce("hot", "cool"))
-    return found.select("doc_id", "n", "keys", *keys, *[F.col("found").getField(v).alias(v) for v in values])
+    return found.select("doc_id", "n", *keys, *[F.col("found").getField(v).alias(v) for v in values])
 
 
 def cells(ordered: DataFrame, cluster: DataFrame, limit: int = CELL_TOKENS) -> DataFrame:
@@ -363,8 +363,10 @@ def cells(ordered: DataFrame, cluster: DataFrame, limit: int = CELL_TOKENS) -> D
     A cluster of up to ``limit`` shingles (and 2,048 sets) is one cell. A larger one is divided by length class
     (a partner is in the same or the next class) and, inside a class, by salt.
     """
-    rows = ordered.join(cluster.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    rows = rows.withColumn("held", F.greatest(F.length("keys") / 8, F.lit(limit / 2048))).withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))))
+    # the sets themselves join last, when each row's cells are known
+    sizes = ordered.select("doc_id", "n", F.greatest(F.length("keys") / 8, F.lit(limit / 2048)).alias("held"))
+    rows = sizes.join(cluster.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    rows = rows.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))))
     total = rows.groupBy("cluster").agg(F.sum("held").alias("total"))
     class_total = rows.groupBy("cluster", "class").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("held") / limit)).alias("salts"), F.count("*").alias("sets"))
     class_total = stage_table(class_total, "cluster-classes")
@@ -384,7 +386,8 @@ def cells(ordered: DataFrame, cluster: DataFrame, limit: int = CELL_TOKENS) -> D
         pairs("salts_after", lambda x: salt, lambda x: x, own, up),
         pairs("salts_before", lambda x: x, lambda x: salt, down, own),
     )
-    return rows.select("doc_id", "n", "keys", "total", F.explode(F.when(F.col("total") <= limit, F.array(F.col("cluster").cast("string"))).otherwise(split)).alias("cell"))
+    placed = rows.select("doc_id", "total", F.when(F.col("total") <= limit, F.array(F.col("cluster").cast("string"))).otherwise(split).alias("cells"))
+    return ordered.join(placed, "doc_id").select("doc_id", "n", "keys", "total", F.explode("cells").alias("cell"))
 
 
 def class_members(sets: DataFrame) -> DataFrame:
@@ -407,7 +410,8 @@ def _linked(docs: DataFrame) -> DataFrame:
     counts = stage_table(shared_counts(docs), "shingle-counts")
     sets = stage_table(shingle_table(docs, counts), "shingle-sets")
     members = stage_table(class_members(sets.select("doc_id", "high", "low", "n")), "shingle-classes")
-    firsts = sets.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    reps = members.where("doc_id = rep").select("doc_id")
+    firsts = split_by_ids(sets, reps)[0].join(reps, "doc_id", "left_semi")
     ordered = stage_table(ordered_sets(firsts.select("doc_id", "n", "tokens")), "ordered-sets")
     placed = cells(ordered, clusters(ordered))
     amount = 8 * (ordered.agg(F.sum(F.length("keys") / 8)).first()[0] or 0)
