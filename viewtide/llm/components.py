@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewtide.session import stage_table
+from viewtide.session import remove_staged, stage_table
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round lets every node link its larger neighbours to its smallest neighbour, then every
     node link its smaller neighbours to the smallest of them, until all trees are stars (a
     logarithmic number of rounds in practice). Each round is written to the shared folder, which
-    cuts the lineage. A node with very many neighbours is pre-aggregated before the shuffle, and
+    cuts the lineage, and its predecessor is removed. A node with very many neighbours is pre-aggregated before the shuffle, and
     the join that spreads its minimum can be split by the adaptive planner. Loops, repeated edges
     and nulls in either column have no effect.
     """
@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
         small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(small.select("hi", F.col("m").alias("lo")))
-        edges = stage_table(small.where("hi <> lo").distinct(), name)
+        before_edges, edges = edges, stage_table(small.where("hi <> lo").distinct(), name)
+        remove_staged(before_edges, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from viewtide.llm import arrays
 from viewtide.llm.components import components
 from viewtide.llm.rows import columns_of, keyed, split_by_ids
-from viewtide.session import stage_table
+from viewtide.session import remove_staged, stage_table
 
 BUCKET_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 HOT_CLASSES = 1000
 CELL_TOKENS = 1 << 20
 
@@ -53,7 +54,7 @@ def _emit_shingles(buckets: int):
     def task(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for rows, data, offsets in arrays.chunks(b):
+            for rows, data, offsets in arrays.chunks(b, limit=CHUNK_BYTES):
                 hashes, first = arrays.shingle_sets(data, offsets)
                 sizes = np.diff(first)
                 order = np.argsort(hashes)
@@ -413,6 +414,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     reps = members.where("doc_id = rep").select("doc_id")
     firsts = split_by_ids(sets, reps)[0].join(reps, "doc_id", "left_semi")
     ordered = stage_table(ordered_sets(firsts.select("doc_id", "n", "tokens")), "ordered-sets")
+    remove_staged(sets)
     placed = cells(ordered, clusters(ordered))
     amount = 8 * (ordered.agg(F.sum(F.length("keys") / 8)).first()[0] or 0)
     unit = F.when(F.col("total") <= CELL_TOKENS, F.pmod(F.xxhash64("cell"), F.lit(_buckets(docs, int(amount)))).cast("string")).otherwise(F.concat(F.lit("c"), "cell"))
