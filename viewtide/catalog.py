@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewtide.functions import times
-from viewtide.operators import encode, metrics, splits, stats, windows
+from viewtide.operators import encode, metrics, selection, splits, stats, windows
 from viewtide.operators.joins import join_back
 from viewtide.plans import evaluation, features, models, tuning
 from viewtide.plans.evaluation import ROLLING_WIDTH, part_of
@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {}
 HEAD_ROWS = 700
 PLOT_SAMPLE = 150
 FOLDS = 5
+QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 # Errors against a mean of round-numbered counts are short decimals; with this many digits
 # none of them lies halfway between two rounded values.
@@ -328,6 +329,32 @@ def baseline_values(spark, folder):
     return rounded(metrics.baseline_values(_split_log(spark, folder), "duration"), "mean", "median")
 
 
+# Small enough that the smallest test tables hold groups beyond it.
+ORDERED_ROWS = 64
+
+
+def _ns_log(spark, folder) -> DataFrame:
+    """The split log with the watch time in nanoseconds as ``label``, every row's another."""
+    return _split_log(spark, folder).withColumn("label", F.col("duration") * 1_000_000_000 + F.col("row_id") * 7919 % 1_000_003 * 997)
+
+
+@query
+def label_quantiles_ns(spark, folder):
+    table = selection.exact_quantiles(_ns_log(spark, folder), "label", QUANTILES, ["part"], ORDERED_ROWS)
+    return rounded(table, "quantile", digits=3)
+
+
+@query
+def streamer_quantiles_ns(spark, folder):
+    table = selection.exact_quantiles(_ns_log(spark, folder), "label", QUANTILES, ["streamer"], ORDERED_ROWS)
+    return rounded(table, "quantile", digits=3)
+
+
+@query
+def baseline_values_ns(spark, folder):
+    return rounded(metrics.baseline_values(_ns_log(spark, folder), "label", True, ORDERED_ROWS), "mean", "median", digits=3)
+
+
 @query
 def baseline_metrics(spark, folder):
     table = metrics.baseline_metrics(_split_log(spark, folder), "duration")

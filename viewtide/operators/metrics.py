@@ -3,7 +3,8 @@
 Labels are whole numbers of time units, so a histogram ``(label, n)`` holds all the
 information a baseline needs and is far smaller than the rows: its size is bounded by the
 time span of the log. Baselines are therefore computed on histograms that Spark
-pre-aggregates on the map side, never on groups of raw rows.
+pre-aggregates on the map side, never on groups of raw rows. For labels of which nearly all differ (``distinct=True``)
+medians come from selection in rounds instead (``operators/selection.py``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewtide.operators.selection import GROUP_ROWS, exact_quantiles
 from viewtide.operators.splits import TEST, TRAIN
 
 # Names of the results table, in its order.
@@ -54,9 +56,13 @@ def _weighted_errors(prediction: Column, prefix: str) -> list[Column]:
     ]
 
 
-def baseline_values(df: DataFrame, label: str) -> DataFrame:
+def baseline_values(df: DataFrame, label: str, distinct: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row: mean and exact median of the training labels."""
-    return label_histogram(df.where(F.col("part") == TRAIN), label).agg(*_mean_median())
+    train = df.where(F.col("part") == TRAIN)
+    if not distinct:
+        return label_histogram(train, label).agg(*_mean_median())
+    median = exact_quantiles(train, label, [0.5], group_rows=group_rows).agg(F.max("quantile")).scalar()
+    return train.agg(F.avg(F.col(label).cast("double")).alias("mean")).withColumn("median", median)
 
 
 def baseline_scalar(df: DataFrame, label: str) -> Column:
@@ -90,21 +96,24 @@ def baseline_residuals(df: DataFrame, label: str, row_id: str = "row_id") -> Dat
     )
 
 
-def median_per_streamer(df: DataFrame, label: str) -> DataFrame:
+def median_per_streamer(df: DataFrame, label: str, distinct: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Baseline that predicts each streamer's training median, the global one for a new streamer.
 
-    One row per streamer of the test part: the prediction used, test rows and their MAE.
+    One row per streamer of the test part: the prediction used, test rows and their MAE. With ``distinct`` the test
+    labels are not counted by value either, so a streamer's test rows are summed up where they lie.
     """
     train, test = df.where(F.col("part") == TRAIN), df.where(F.col("part") == TEST)
-    own = (
-        label_histogram(train.where(F.col("streamer").isNotNull()), label, ["streamer"])
-        .groupBy("streamer")
-        .agg(weighted_median(F.col("label"), F.col("n")).alias("_own"))
-    )
-    overall = label_histogram(train, label).agg(weighted_median(F.col("label"), F.col("n"))).scalar()
+    known = train.where(F.col("streamer").isNotNull())
+    if distinct:
+        own = exact_quantiles(known, label, [0.5], ["streamer"], group_rows).select("streamer", F.col("quantile").alias("_own"))
+        overall = exact_quantiles(train, label, [0.5], group_rows=group_rows).agg(F.max("quantile")).scalar()
+        labels = test.select("streamer", F.col(label).alias("label"), F.lit(1).cast("long").alias("n"))
+    else:
+        own = label_histogram(known, label, ["streamer"]).groupBy("streamer").agg(weighted_median(F.col("label"), F.col("n")).alias("_own"))
+        overall = label_histogram(train, label).agg(weighted_median(F.col("label"), F.col("n"))).scalar()
+        labels = label_histogram(test, label, ["streamer"])
     return (
-        label_histogram(test, label, ["streamer"])
-        .join(own, "streamer", "left")
+        labels.join(own, "streamer", "left")
         .withColumn("prediction", F.coalesce(F.col("_own"), overall))
         .groupBy("streamer", "prediction")
         .agg(

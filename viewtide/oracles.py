@@ -60,6 +60,17 @@ _FIRST_TEST = f"({_N} - ({_N} + 4) // 5)"
 _PARTS = f"parts AS (SELECT *, CASE WHEN row_id < {_FIRST_TEST} THEN 'train' ELSE 'test' END AS part FROM log)"
 _KEY = "CAST(concat('0x', substr(md5(concat(row_id, ':42')), 1, 8)) AS BIGINT)"
 _SHUFFLED = f"(row_number() OVER (ORDER BY {_KEY}, row_id) - 1)"
+_NS = "ns AS (SELECT *, duration * 1000000000 + row_id * 7919 % 1000003 * 997 AS label FROM parts)"
+
+
+def _quantiles_ns(by: str) -> str:
+    columns = " UNION ALL ".join(
+        f"SELECT {by}, count(label) AS rows, {p} AS probability, round(quantile_cont(CAST(label AS DOUBLE), {p}), 3) AS quantile FROM ns GROUP BY {by}"
+        for p in (0.01, 0.25, 0.5, 0.75, 0.99)
+    )
+    return _sql(f"SELECT {by}, rows, CAST(probability AS DOUBLE) AS probability, quantile FROM ({columns})", _PARTS, _NS)
+
+
 _BASE = """base AS (
         SELECT avg(duration) AS mean, median(duration) AS median FROM parts WHERE part = 'train')"""
 
@@ -332,6 +343,14 @@ SQL: dict[str, str] = {
         _PARTS,
     ),
     "one_hot": _sql(f"SELECT row_id, {_one_hot()} FROM log"),
+    "label_quantiles_ns": _quantiles_ns("part"),
+    "streamer_quantiles_ns": _quantiles_ns("streamer"),
+    "baseline_values_ns": _sql(
+        """SELECT round(avg(CAST(label AS DOUBLE)), 3) AS mean, round(median(CAST(label AS DOUBLE)), 3) AS median
+           FROM ns WHERE part = 'train'""",
+        _PARTS,
+        _NS,
+    ),
     "baseline_values": _sql("SELECT round(mean, 6) AS mean, round(median, 6) AS median FROM base", _PARTS, _BASE),
     "baseline_metrics": _sql(_BASELINE_METRICS, _PARTS, _BASE),
     "baseline_metrics_shuffled": _sql(
