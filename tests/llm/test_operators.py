@@ -20,6 +20,7 @@ from viewtide.llm import (
     collocations,
     embedding_links,
     language_id,
+    licenses,
     mixing,
     ngram_join,
     periodic_runs,
@@ -645,3 +646,49 @@ def test_language_on_held_out_rows(spark):
     rows = catalog.QUERIES["op13_language_id"](spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert len(held) > 200 and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+
+
+NOTICES = {
+    "Copyright 2020 Foo Inc. Licensed under the MIT License.": "MIT",
+    "This file is part of Foo and is licensed under the MIT License; see LICENSE for details.": "MIT",
+    "// SPDX-License-Identifier: MIT": "MIT",
+    "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "Mozilla Public License Version 2.0": "MPL-2.0",
+    "BSD 3-Clause License": "BSD-3-Clause",
+    "We ship it as is. Licensed under the Apache License, Version 2.0, it comes with\nno promise at all, and that is that.": "Apache-2.0",
+    "Licensed under the\n  Apache License, Version 2.0": "Apache-2.0",
+    "This work is licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+    "GNU Lesser General Public License": "LGPL",
+    "under the terms of the GNU Lesser General Public License, version 3": "LGPL-3.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Copyright (c) 2019 Bar GmbH. All rights reserved.": "Proprietary",
+    "The license of the software was granted by the town, and rights were reserved for all.": None,
+    "They mention the Apache helicopter, a gnu and a creative clause in the license.": None,
+    "": None,
+    None: None,
+}
+
+
+def test_notices_and_inheritance(spark):
+    rows = [(i, f"a/n{i}/x.txt", text, "clash") for i, text in enumerate(NOTICES)]
+    rows += [
+        (100, "p/LICENSE", "MIT License", "x"), (101, "p/q/r/deep.txt", "nothing here", "x"), (102, "p/q/COPYING.txt", "BSD 3-Clause License", "x"),
+        (103, "p/q/r/other.txt", "GNU Lesser General Public License", "x"), (104, "z/none.txt", "plain", "x"), (105, None, "MIT License", "x"), (106, None, None, "x"),
+        (None, "p/y.txt", "plain", "x"), (100, "w/v.txt", "All rights reserved", "x"), (107, "p/notice", None, "x"), (108, "t/LICENSE", "MIT License ISC License", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string, license string")
+    got = collections.defaultdict(list)
+    for r in licenses.scan(docs).collect():
+        got[r["doc_id"]].append((r["license"], r["how"], r["license_dir"]))
+    assert sum(map(len, got.values())) == len(rows)
+    for i, (text, name) in enumerate(NOTICES.items()):
+        assert got[i] == [(name, "own" if name else "none", None)], text
+    assert sorted(got[100]) == [("MIT", "own", None), ("Proprietary", "own", None)]
+    assert got[101] == [("BSD-3-Clause", "inherited", "p/q")] and got[103] == [("LGPL", "own", None)]
+    assert got[104] == [(None, "none", None)] == got[106] and got[105] == [("MIT", "own", None)]
+    assert got[None] == [("MIT", "inherited", "p")] == got[107]
+    assert got[108] == [("ISC", "own", None)]  # a tie goes to the template first in order
+    assert licenses.scan(docs.where("false")).collect() == []

@@ -1,17 +1,16 @@
 """Licence scans: sparse TF-IDF cosine to templates, and inheritance along the directory path.
 
-Units are the lines of every text (headers) and the whole text of licence files. A unit's vector
-holds term frequency x inverse document frequency over the templates; unknown words have the
-largest weight, so a longer unit must match more. A unit takes the template with the largest
-cosine from ``THRESHOLD`` up. Texts are searched first for any strong term: the other, weak terms
-of a template hold so little of its length that no unit made of them alone can reach the threshold
-(Cauchy-Schwarz, see ``strong_terms``), so the search loses nothing. A document's own licence is its best unit's.
-A document without one inherits from the nearest directory above it that has a licence file with a
+Every template names one of its words as its anchor. Wherever the anchor occurs in a text, the window of the
+template's length that has the anchor at the template's place is a unit, cut off at the ends of the text; so
+a notice is found inside a paragraph, across lines and beside a copyright line alike. A unit is compared with its template, a
+licence file besides as a whole with all templates. Vectors hold term frequency x inverse document frequency over the
+templates; unknown words have the largest weight. A unit takes the template with the largest cosine from ``THRESHOLD`` up.
+A document's own licence is its best unit's. A document without one inherits from the nearest directory above it that has a licence file with a
 licence. Only DataFrame expressions are used; the templates are a fixed small table.
 
 Defined cases: null and empty texts have no licence of their own. A null path has no directory and inherits
-nothing. Of equal scores the template first in order wins, of several licence files in a directory the
-better score, then the first template in order. Rows that repeat a doc_id are judged as rows of their own. Other columns are ignored.
+nothing. Of equal scores the template first in order wins (so longer, more specific ones stand first), of several licence files in a directory the
+better score, then the first template in order. Rows that repeat a doc_id are judged as rows of their own, null ids too. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,25 +24,51 @@ from pyspark.sql import functions as F
 
 from viewtide.session import stage_table
 
-THRESHOLD = 0.6
-# Short notices by which licences are declared.
+THRESHOLD = 0.72
+# Licence, notice or title by which it is declared, and the notice's anchor word.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "apache"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("Apache-2.0", "Apache License Version 2.0", "apache"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", "spdx"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause", "spdx"),
+    ("BSD-2-Clause", "BSD 2-Clause License", "clause"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause", "spdx"),
+    ("BSD-3-Clause", "BSD 3-Clause License", "clause"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "cc"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "creative"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0", "cc"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "creative"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0", "cc"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "creative"),
+    ("CC-BY-4.0", "CC BY 4.0", "cc"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "creative"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3", "affero"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0", "spdx"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1", "lesser"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1", "spdx"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3", "lesser"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0", "spdx"),
+    ("LGPL", "GNU Lesser General Public License", "lesser"),
+    ("GPL-2.0", "GNU General Public License version 2", "gnu"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0", "spdx"),
+    ("GPL-3.0", "GNU General Public License version 3", "gnu"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0", "spdx"),
+    ("GPL", "GNU General Public License", "gnu"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "hereby"),
+    ("ISC", "SPDX-License-Identifier: ISC", "spdx"),
+    ("ISC", "ISC License", "isc"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "hereby"),
+    ("MIT", "SPDX-License-Identifier: MIT", "spdx"),
+    ("MIT", "MIT License", "license"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0", "spdx"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", "mozilla"),
+    ("Proprietary", "All rights reserved", "reserved"),
 )
-# Common words of running text, the first to count as weak.
-COMMON = "a an and any are as be by can for found free in is it may met not of or person that the this to under use using v version with without work mit des source file form forms public terms you".split()
+UNITS = "array<struct<score:double,place:int,license:string>>"
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -53,85 +78,93 @@ def _tokens(text: str) -> list[str]:
 
 def template_weights() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
     """Inverse document frequencies, that of unknown words, and each template's unit vector."""
-    docs = [Counter(_tokens(t)) for _, t in TEMPLATES]
+    docs = [Counter(_tokens(t)) for _, t, _ in TEMPLATES]
     df = Counter(w for d in docs for w in d)
     idf = {w: math.log((1 + len(docs)) / (1 + n)) + 1 for w, n in sorted(df.items())}
     vectors = []
-    for (name, _), d in zip(TEMPLATES, docs, strict=True):
+    for (name, _, _), d in zip(TEMPLATES, docs, strict=True):
         raw = {w: n * idf[w] for w, n in sorted(d.items())}
         length = math.sqrt(sum(x * x for x in raw.values()))
         vectors.append((name, {w: x / length for w, x in raw.items()}))
     return idf, math.log(1 + len(docs)) + 1, vectors
 
 
-def strong_terms(threshold: float = THRESHOLD) -> list[str]:
-    """Terms of which any unit at the threshold holds one at least: all but weak ones, whose share of
-    each template's vector stays below the threshold."""
-    idf, _, vectors = template_weights()
-    weak: set[str] = set()
-    for w in (w for w in COMMON if w in idf):
-        if all(sum(v.get(x, 0) ** 2 for x in weak | {w}) < 0.98 * threshold**2 for _, v in vectors):
-            weak.add(w)
-    return sorted(set(idf) - weak)
+def anchors() -> list[tuple[int, str, str, int, int]]:
+    """Of each template: place (0, -1, -2 and so on), licence, anchor word, words before the anchor, words in all."""
+    found = []
+    for i, (name, text, word) in enumerate(TEMPLATES):
+        tokens = _tokens(text)
+        found.append((-i, name, word, tokens.index(word), len(tokens)))
+    return found
+
+
+ANCHORS = sorted({word for _, _, word, _, _ in anchors()})
+_HAS_ANCHOR = "(?i)(?:" + "|".join(ANCHORS) + ")"
 
 
 def _known(words: Column) -> Column:
     return F.filter(words, lambda w: w.isin(sorted(template_weights()[0])))
 
 
-def measure(words: Column) -> Column:
-    """Struct (top, length) of a unit's sorted words: a bound on its product with any template, and its vector's length.
-
-    The bound sums each word's weight times its largest weight in any template.
-    """
-    idf, unknown, vectors = template_weights()
-    peak = {w: max(v.get(w, 0.0) for _, v in vectors) for w in idf}
-    table = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, F.struct(F.lit(idf[w]).alias("idf"), F.lit(idf[w] * peak[w]).alias("top")))])
-    none = F.struct(F.lit(unknown).alias("idf"), F.lit(0.0).alias("top"))
-    weighed = F.transform(words, lambda w: F.struct(w.alias("w"), F.when(w.isin(sorted(idf)), F.try_element_at(table, w)).otherwise(none).alias("t")))
-    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("squares"), F.lit(0.0).alias("top"))
+def _length(words: Column) -> Column:
+    """Length of the vector of a unit's sorted words."""
+    idf, unknown, _ = template_weights()
+    table = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, idf[w])])
+    weighed = F.transform(words, lambda w: F.struct(w.alias("w"), F.coalesce(F.try_element_at(table, w), F.lit(unknown)).alias("f")))
+    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("squares"))
 
     def add(at: Column, x: Column) -> Column:
         n = F.when(x["w"] == at["w"], at["n"] + 1).otherwise(1.0)
         # the square of n minus that of n - 1, so that a word adds up to the square of its count
-        squares = at["squares"] + (2 * n - 1) * x["t"]["idf"] * x["t"]["idf"]
-        return F.struct(x["w"].alias("w"), n.alias("n"), squares.alias("squares"), (at["top"] + x["t"]["top"]).alias("top"))
+        return F.struct(x["w"].alias("w"), n.alias("n"), (at["squares"] + (2 * n - 1) * x["f"] * x["f"]).alias("squares"))
 
-    return F.aggregate(weighed, start, add, lambda at: F.struct(at["top"].alias("top"), F.sqrt(at["squares"]).alias("length")))
+    return F.aggregate(weighed, start, add, lambda at: F.sqrt(at["squares"]))
 
 
-def closest(words: Column, length: Column) -> Column:
-    """Struct (score, place, license) of the template with the largest cosine to sorted words of that vector length."""
+def _templates() -> Column:
+    """The templates as an array of structs (place, license, anchor, before, words, v)."""
     idf, _, vectors = template_weights()
-    table = F.array(*[
-        F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.create_map(*[F.lit(x) for w in sorted(v) for x in (w, idf[w] * v[w])]).alias("v"))
-        for i, (name, v) in enumerate(vectors)
+    return F.array(*[
+        F.struct(
+            F.lit(place).alias("place"), F.lit(name).alias("license"), F.lit(anchor).alias("anchor"), F.lit(before).alias("before"), F.lit(words).alias("words"),
+            F.create_map(*[F.lit(x) for w in sorted(v) for x in (w, idf[w] * v[w])]).alias("v"),
+        )
+        for (place, name, anchor, before, words), (_, v) in zip(anchors(), vectors, strict=True)
     ])
 
-    def score(template: Column) -> Column:
-        product = F.aggregate(_known(words), F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(template["v"], w), F.lit(0.0)))
-        return F.struct(F.round(product / length, 9).alias("score"), template["place"].alias("place"), template["license"].alias("license"))
 
-    return F.array_max(F.transform(table, score))
+def _score(words: Column, length: Column, template: Column) -> Column:
+    """Struct (score, place, license): the cosine of sorted words of that vector length to a template."""
+    product = F.aggregate(_known(words), F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(template["v"], w), F.lit(0.0)))
+    return F.struct(F.round(product / length, 9).alias("score"), template["place"].alias("place"), template["license"].alias("license"))
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path and the struct best (score, place, license) of every file, null without a licence of its own.
 
-    Each file is judged within its row, so no text moves. Only units whose bound reaches the threshold are scored.
+    Each file is judged within its row, so no text moves. Texts without any anchor word are not split.
     """
-    pattern = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(strong_terms(threshold)) + r")(?![A-Za-z0-9])"
     named = F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))
-    units = F.concat(lines, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))
-    words = F.transform(units, lambda u: F.sort_array(F.filter(F.split(F.lower(u), "[^a-z0-9]+"), lambda w: w != "")))
-    measured = F.transform("words", lambda u: F.struct(u.alias("words"), measure(u).alias("m")))
-    likely = F.filter("measured", lambda u: u["m"]["top"] * 1.000001 >= threshold * u["m"]["length"])
-    best = F.array_max(F.transform("likely", lambda u: closest(u["words"], u["m"]["length"])))
-    # texts without any strong term get no units; the others' arrays are built one column after the other
-    able = files.select("doc_id", "path", F.when(F.col("text").rlike(pattern), words).alias("words"))
-    judged = able.select("doc_id", "path", measured.alias("measured")).select("doc_id", "path", likely.alias("likely")).select("doc_id", "path", best.alias("best"))
-    return judged.select("doc_id", "path", F.when(F.col("best.score") >= threshold, F.col("best")).alias("best"))
+    able = files.select("doc_id", "path", F.when(F.col("text").rlike(_HAS_ANCHOR), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")).alias("words"))
+    hits = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(ANCHORS), F.struct(w.alias("w"), i.alias("i")))))
+
+    def window(template: Column, at: Column) -> Column:
+        start = at - template["before"]
+        cut = F.greatest(start, F.lit(0))
+        return F.sort_array(F.slice("words", cut + 1, template["words"] - (cut - start)))
+
+    def units(hit: Column) -> Column:
+        cut = F.transform(F.filter(_templates(), lambda t: t["anchor"] == hit["w"]), lambda t: F.struct(t.alias("t"), window(t, hit["i"]).alias("words")))
+        return F.transform(cut, lambda u: _score(u["words"], _length(u["words"]), u["t"]))
+
+    placed = able.withColumn("hits", hits)
+    whole = F.when(named & (F.size("words") > 0), F.sort_array("words"))
+    scored = placed.select("doc_id", "path", F.flatten(F.transform("hits", units)).alias("units"), whole.alias("whole"))
+    scored = scored.withColumn("length", _length(F.col("whole")))
+    files_too = F.when(F.col("whole").isNotNull(), F.transform(_templates(), lambda t: _score(F.col("whole"), F.col("length"), t)))
+    both = F.concat(F.coalesce("units", F.array().cast(UNITS)), F.coalesce(files_too, F.array().cast(UNITS)))
+    best = scored.select("doc_id", "path", F.array_max(both).alias("best"))
+    return best.select("doc_id", "path", F.when(F.col("best.score") >= threshold, F.col("best")).alias("best"))
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,22 +205,24 @@ def _oracle() -> str:
     """DuckDB SQL of ``scan(filed_documents(documents))``, written out from the templates."""
     idf, unknown, vectors = template_weights()
     values = lambda rows: ", ".join("(" + ", ".join(repr(x) if not isinstance(x, str) else f"'{x}'" for x in r) + ")" for r in rows)
-    pattern = r"(?i)\b(?:" + "|".join(strong_terms()) + r")\b"
     return rf"""
 WITH idf(w, f) AS (VALUES {values(list(idf.items()))}),
 vec(place, license, w, v) AS (VALUES {values([(-i, n, w, x) for i, (n, v) in enumerate(vectors) for w, x in v.items()])}),
+temps(place, license, anchor, k, n) AS (VALUES {values(anchors())}),
 spots AS (SELECT *, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), 'g' || CAST(doc_id // 640 AS VARCHAR)) AS spot FROM documents),
 files AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN spot || '/LICENSE' WHEN doc_id % 4 = 1 THEN spot || '/f' || CAST(doc_id // 80 AS VARCHAR) || '/LICENSE'
   ELSE spot || '/f' || CAST(doc_id // 80 AS VARCHAR) || '/doc' || CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM spots),
 dirs AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path LIKE '%/LICENSE' AS named FROM files),
-units AS (SELECT row_number() OVER () AS u, doc_id, path, unit FROM (
-  SELECT doc_id, path, unnest(string_split(text, chr(10))) AS unit FROM files WHERE regexp_matches(text, '{pattern}')
-  UNION ALL SELECT doc_id, path, text FROM files WHERE path LIKE '%/LICENSE' AND regexp_matches(text, '{pattern}'))),
-terms AS (SELECT u, w, count(*) AS n FROM (SELECT u, unnest(string_split_regex(lower(unit), '[^a-z0-9]+')) AS w FROM units WHERE regexp_matches(unit, '{pattern}')) WHERE w <> '' GROUP BY u, w),
+split AS (SELECT doc_id, path, named, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM files JOIN dirs USING (doc_id, path) WHERE regexp_matches(text, '{_HAS_ANCHOR}')),
+hits AS (SELECT doc_id, path, unnest(list_filter(range(1, len(ws) + 1), lambda i: list_contains([{", ".join(f"'{w}'" for w in ANCHORS)}], ws[i]))) AS i FROM split),
+units AS (SELECT row_number() OVER () AS u, * FROM (
+  SELECT doc_id, path, t.place AS aim, list_slice(ws, greatest(1, i - k), i - k + n - 1) AS unit FROM hits JOIN split USING (doc_id, path) JOIN temps t ON ws[i] = t.anchor
+  UNION ALL SELECT doc_id, path, NULL, ws FROM split WHERE named)),
+terms AS (SELECT u, w, count(*) AS n FROM (SELECT u, unnest(unit) AS w FROM units) GROUP BY u, w),
 weighed AS (SELECT t.u, t.w, t.n * coalesce(CAST(i.f AS DOUBLE), CAST({unknown!r} AS DOUBLE)) AS x FROM terms t LEFT JOIN idf i USING (w)),
 lengths AS (SELECT u, sqrt(sum(x * x)) AS len FROM weighed GROUP BY u),
 scored AS (SELECT w.u, v.place, v.license, round(sum(w.x * CAST(v.v AS DOUBLE)) / any_value(l.len), 9) AS score FROM weighed w JOIN vec v USING (w) JOIN lengths l USING (u) GROUP BY w.u, v.place, v.license),
-own AS (SELECT doc_id, path, max({{'score': score, 'place': place, 'license': license}}) AS best FROM scored JOIN units USING (u) WHERE score >= {THRESHOLD} GROUP BY doc_id, path),
+own AS (SELECT doc_id, path, max({{'score': score, 'place': place, 'license': license}}) AS best FROM scored JOIN units USING (u) WHERE score >= {THRESHOLD} AND coalesce(aim = place, true) GROUP BY doc_id, path),
 licensed AS (SELECT dir, max(best) AS best FROM own JOIN dirs USING (doc_id, path) WHERE named GROUP BY dir),
 above AS (SELECT base, array_to_string(list_slice(string_split(base, '/'), 1, k), '/') AS dir FROM (SELECT base, unnest(range(1, len(string_split(base, '/')) + 1)) AS k FROM (SELECT DISTINCT dir AS base FROM dirs))),
 nearest AS (SELECT base, arg_max(l.best, length(a.dir)) AS best, arg_max(a.dir, length(a.dir)) AS dir FROM above a JOIN licensed l ON a.dir = l.dir GROUP BY base)
