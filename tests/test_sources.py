@@ -95,6 +95,37 @@ def test_ingest_and_read_back(spark, write, tmp_path):
     assert [r[0] for r in rows(table)] == list(range(50))
 
 
+def test_text_is_decoded_once_and_rows_stay_where_they_are(spark, write, tmp_path, monkeypatch):
+    for name, first, n in (("part-10.csv.gz", 30, 25), ("part-9.csv.gz", 0, 30), ("part-11.csv.gz", 55, 0), ("part-12.csv.gz", 55, 7)):
+        write(name, "header", *[f"{i},s,b,{i},{i + 1}" for i in range(first, first + n)])
+    raw = interactions._strict_rows(spark, str(tmp_path), True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, staged = order.staged_text_order(raw, interactions._all_fields_valid())
+        plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "FileScan csv" not in plan and "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        by_path = sorted((r["row_id"], int(r["user_id"])) for r in got.collect())
+        assert by_path == [(i, i) for i in range(62)]
+        monkeypatch.setattr(order, "BROADCAST_PIECES", 0)
+        joined, _ = order.staged_text_order(raw, interactions._all_fields_valid())
+        assert sorted((r["row_id"], int(r["user_id"])) for r in joined.collect()) == by_path
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_split_files_ingest_in_order(spark, tmp_path):
+    text = tmp_path / "text"
+    text.mkdir()
+    for part in range(3):
+        (text / f"{part}.csv").write_text("".join(f"{i},s,b,{i},{i + 1}\n" for i in range(part * 5000, part * 5000 + 5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        table = interactions.ingest_interactions(spark, str(text), str(tmp_path / "log"), skip_header=False)
+        assert (table.where("row_id != user_id").count(), table.count()) == (0, 15_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_written_log_reads_back(spark, golden, tmp_path):
     interactions.write_log(golden, str(tmp_path / "text"))
     assert rows(interactions.scan_interactions(spark, str(tmp_path / "text"))) == rows(golden)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewtide.schema import INTEGER_FIELDS, INTERACTIONS, RAW_FIELDS, TEXT_SCHEMA
-from viewtide.sources.order import text_row_order
+from viewtide.session import remove_staged
+from viewtide.sources.order import staged_text_order, text_row_order
 
 CORRUPT = "_corrupt"
 
@@ -42,10 +43,19 @@ def scan_interactions(spark: SparkSession, path: str, skip_header: bool = True)
     task, so a large log should come as many files. A filter over all five fields keeps the
     checks in every plan, whatever columns a query uses.
     """
-    rows = _reader(spark, skip_header).schema(TEXT_SCHEMA).option("mode", "FAILFAST").csv(path)
+    rows = _strict_rows(spark, path, skip_header)
+    return _typed(text_row_order(rows).where(_all_fields_valid()), lambda f: F.col(f).cast("bigint"))
+
+
+def _strict_rows(spark: SparkSession, path: str, skip_header: bool) -> DataFrame:
+    return _reader(spark, skip_header).schema(TEXT_SCHEMA).option("mode", "FAILFAST").csv(path)
+
+
+def _all_fields_valid() -> Column:
+    """True, or the job fails."""
     whole = reduce(lambda a, b: a & b, [_whole_number(f).isNotNull() for f in INTEGER_FIELDS])
     every_field = F.length(F.concat_ws(",", *RAW_FIELDS)) >= 0  # true, but the reader must split the whole line
-    return _typed(text_row_order(rows).where(whole & every_field), lambda f: F.col(f).cast("bigint"))
+    return whole & every_field
 
 
 def scan_with_quarantine(
@@ -76,12 +86,13 @@ def scan_with_quarantine(
 def ingest_interactions(spark: SparkSession, source: str, target: str, skip_header: bool = True) -> DataFrame:
     """Load a text log once into the stored interaction table and read it back.
 
-    All five fields are parsed and checked here. A task writes whole pieces of the input in
-    order, so row ids are narrow ranges per row group and a cap on them later prunes the scan
-    without any sorting shuffle here.
+    All five fields are parsed and checked here, and the text is decoded once. Rows are written
+    task by task as they were read, so row ids are narrow ranges per row group and a cap on them later
+    prunes the scan without any sorting shuffle here.
     """
-    rows = scan_interactions(spark, source, skip_header)
-    rows.sortWithinPartitions("row_id").write.parquet(target)
+    rows, staged = staged_text_order(_strict_rows(spark, source, skip_header), _all_fields_valid())
+    _typed(rows, lambda f: F.col(f).cast("bigint")).sortWithinPartitions("row_id").write.parquet(target)
+    remove_staged(staged)
     return read_interactions(spark, target)
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from viewtide.session import stage_table
 
+# Offsets of this many pieces take some 30 MB.
+BROADCAST_PIECES = 1 << 19
+
 
 def natural_key(path: Column) -> Column:
     """Sort key of a path: its text and digit runs in turn, numbers by length and then by digits."""
@@ -52,6 +55,15 @@ def parquet_row_order(
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        *rows.columns,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+
+
 def text_row_order(
     rows: DataFrame, name: str = "row_id", file_key: Callable[[Column], Column] = natural_key
 ) -> DataFrame:
@@ -61,12 +73,7 @@ def text_row_order(
     scan task consecutively, so a row's position in its piece is its number minus the
     piece's smallest one. The scan is read twice: once for the counts, once for the rows.
     """
-    numbered = rows.select(
-        *rows.columns,
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
+    numbered = _numbered(rows)
     pieces = numbered.groupBy("_file", "_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first")
     )
@@ -76,6 +83,32 @@ def text_row_order(
     )
 
 
+def staged_text_order(
+    rows: DataFrame, where: Column, name: str = "row_id", file_key: Callable[[Column], Column] = natural_key
+) -> tuple[DataFrame, DataFrame]:
+    """``text_row_order`` that decodes the text once: the numbered rows, and the staged table they are read from.
+
+    Rows are written with their number, counts are taken from what is written, and each row finds its piece's offset by
+    scan task and a hash of file and start, 16 bytes a piece instead of a path. ``where`` must hold for every
+    row or fail (a check of the fields); it runs while the text is read. Up to ``BROADCAST_PIECES`` pieces their offsets
+    are broadcast and no row moves. Pieces of one task whose hashes agree are an error, not a wrong number.
+    """
+    numbered = _numbered(rows).where(where).withColumns({"_task": F.shiftright("_seq", 33).cast("int"), "_piece": F.xxhash64("_file", "_start")})
+    staged = stage_table(numbered, "text-rows")
+    counts = staged.groupBy("_task", "_piece").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"), *[f(c).alias(f"_{at}{c}") for c in ("_file", "_start") for at, f in (("least", F.min), ("most", F.max))]
+    )
+    one = (F.col("_least_file") == F.col("_most_file")) & (F.col("_least_start") == F.col("_most_start"))
+    pieces = counts.withColumn("_file", F.when(one, F.col("_least_file")).otherwise(F.raise_error("two pieces of the log share a hash")))
+    offsets = stage_table(
+        _piece_offsets(pieces, [file_key(F.col("_file")), "_file", "_least_start"]).select("_task", "_piece", (F.col("_before") - F.col("_first")).alias("_shift")),
+        "piece-offsets",
+    )
+    few = offsets.count() <= BROADCAST_PIECES
+    placed = staged.join(F.broadcast(offsets) if few else offsets, ["_task", "_piece"])
+    return placed.select(*rows.columns, (F.col("_seq") + F.col("_shift")).alias(name)), staged
+
+
 def sorted_order(df: DataFrame, order: Sequence[Column | str], name: str = "row_id") -> DataFrame:
     """The rows with their dense position in ``order``, as a staged table sorted by it.
 
