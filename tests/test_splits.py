@@ -78,3 +78,11 @@ def test_learning_curve_sizes_match_the_prefix_filters(spark, n, k):
 def test_head_rows(spark):
     assert splits.head_rows(table(spark, 10), 4).count() == 4
     assert splits.head_rows(table(spark, 10), None).count() == 10
+
+
+@pytest.mark.parametrize(("n", "spans"), [(0, 1), (8_193, 2), (1 << 20, 128), (4_800_000, 74), (28_800_000, 110), (1 << 28, 256)])
+def test_spans_of_a_fit_grow_before_their_number_does(spark, n, spans):
+    ends = spark.createDataFrame([(i,) for i in {0, n // 2, max(0, n - 1)}], "idx bigint")
+    laid = splits.by_spans(ends, "idx", n)
+    assert laid.rdd.getNumPartitions() == spans
+    assert sorted(r.idx for r in laid.collect()) == sorted(r.idx for r in ends.collect())
