@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gc
 import hashlib
 import random
 import re
@@ -195,6 +196,27 @@ def test_byte_bpe(docs, nothing):
     assert byte_bpe.encode(nothing, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_merges_in_portions(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = byte_bpe.read_ranks(f)
+    text = " ".join(f"q{i:x}zv{i * 7919:x}k" for i in range(4000)) + " " + "xq" * 3000
+    want = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).encode([text])
+    held, merge = [], byte_bpe.ByteBpe.merge
+    monkeypatch.setattr(byte_bpe, "MERGE_CHARS", 2000)
+    monkeypatch.setattr(byte_bpe.ByteBpe, "merge", lambda self, tokens: held.append([len(t) for t in tokens]) or merge(self, tokens))
+    assert byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).encode([text]) == want
+    assert len(held) > 5 and all(sum(x) <= 2000 or len(x) == 1 for x in held)
+
+
+def test_byte_bpe_task_walks_no_caches():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"]})
+    run = byte_bpe._task(path, public_tokenizers.PATTERN, True, False)(iter([rows]))
+    assert gc.isenabled() and next(run).schema.names == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and not gc.isenabled()
+    run.close()
+    assert gc.isenabled()
+
+
 def test_quality_counts(docs):
     got = {r.doc_id: r for r in quality.statistics(docs).collect()}
     for i, t, _ in ROWS:

@@ -19,8 +19,9 @@ or repeated doc_ids are kept as they are, row by row. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from viewtide.llm import arrays
 
 CHUNK_CHARS = 2 << 20
+#: Characters of pre-tokens merged together; the lists of a merge take some 200 bytes a character.
+MERGE_CHARS = 1 << 17
 KNOWN = 200_000
 
 
@@ -40,6 +43,19 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+def _portions(tokens: list[str], chars: int) -> Iterator[list[str]]:
+    """``tokens`` in order, cut into lists of about ``chars`` characters or one longer token."""
+    part, held = [], 0
+    for t in tokens:
+        if part and held + len(t) > chars:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
 class RankQueue:
     """Positions by merge rank; ``pop`` gives the smallest rank's positions from left to right."""
 
@@ -181,7 +197,8 @@ class ByteBpe:
                 young[t] = old[t]
             else:
                 rare.append(t)
-        young.update(zip(rare, self.merge([t.encode() for t in rare]), strict=True))
+        for part in _portions(rare, MERGE_CHARS):
+            young.update(zip(part, self.merge([t.encode() for t in part]), strict=True))
         known = {p: b"".join([young[t] for t in ts]) for p, ts in cut.items()}
         if len(young) > KNOWN:
             self.tokens = [{}, young]
@@ -212,10 +229,19 @@ class ByteBpe:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _task(path: str, pattern: str, keep_ids: bool):
+def _task(path: str, pattern: str, keep_ids: bool, keep_decoded: bool):
     def run(batches):
         with open(path, "rb") as lines:
             bpe = ByteBpe(read_ranks(lines), pattern)
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the caches are too large to be walked again and again
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(bpe, batches):
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
             lengths = pc.binary_length(text).fill_null(0).to_pylist()
@@ -230,8 +256,11 @@ def _task(path: str, pattern: str, keep_ids: bool):
                 columns = [ids[first:last], [len(x) // 4 for x in got], [hashlib.sha256(x).hexdigest() for x in got], [hashlib.sha256(x).hexdigest() for x in plain]]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array(plain, pa.binary())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in got], pa.list_(pa.int32())))
+                    names.append("ids")
+                if keep_decoded:
+                    columns.append(pa.array(plain, pa.binary()))
+                    names.append("decoded")
                 columns[1] = pa.array(columns[1], pa.int64())
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in columns], names=names)
                 first = last
@@ -239,10 +268,12 @@ def _task(path: str, pattern: str, keep_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids and decoded bytes.
+def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, keep_decoded: bool | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, with ``keep_ids`` the ids, and with ``keep_decoded`` (as ``keep_ids``
+    unless told otherwise) the decoded bytes.
 
     ``path`` is the vocabulary's file, present on every executor.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrays.in_batches, _task(path, pattern, keep_ids), schema)
+    keep_decoded = keep_ids if keep_decoded is None else keep_decoded
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded binary" * keep_decoded
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrays.in_batches, _task(path, pattern, keep_ids, keep_decoded), schema)
