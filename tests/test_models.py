@@ -1,7 +1,9 @@
 """Models on a planted signal: bounds on metrics, never exact predictions."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
-from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from viewtide.operators import metrics, splits
@@ -165,6 +167,32 @@ def test_a_fit_does_not_depend_on_the_partitions_of_its_table(planted):
     assert predictions[0] == predictions[1] == predictions[2]
 
 
+def test_a_deep_forest_is_fitted_in_parts(spark, planted, tmp_path, monkeypatch):
+    table = models.assemble(planted)
+    estimator = models.default_forest(trees=7, depth=12)
+    fits = []
+    one = RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, rows, setting=None: fits.append((setting or {}).get(self.numTrees)) or one(self, rows, setting))
+    found = [models.fit_and_score(estimator, t)[0] for t in (table, table.repartition(7))]
+    assert sorted(fits) == [1, 1, 3, 3, 3, 3]
+    with ThreadPoolExecutor(1) as pool:  # one fit after the other
+        found.append(models.fit(estimator, models.spread(table.where("part = 'train'"), "row_id", *models.span_of(estimator)), pool))
+    monkeypatch.undo()
+    path = str(tmp_path / "deep")
+    models.save_model(found[0], path)
+    found.append(RandomForestRegressionModel.load(path))
+    trees = [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in found]
+    assert trees[0] == trees[1] == trees[2] == trees[3]
+    assert len(set(trees[0])) == 7 == found[0].getNumTrees
+    assert all(m.getOrDefault("maxDepth") == 12 and m.getOrDefault("seed") == models.SEED for m in found)
+    test = table.where("part = 'test'").orderBy("row_id")
+    joined = [r.prediction for r in found[3].transform(test).collect()]
+    by_tree = zip(*([r.prediction for r in t.transform(test).collect()] for t in found[0].trees), strict=True)
+    assert joined == pytest.approx([sum(p) / 7 for p in by_tree])
+    scored = tuning.random_search(models.assemble(planted.where("part = 'train'")), k=2, draws=1, trees=(4, 5), depths=(None,))
+    assert scored.bestModel.getNumTrees == 4
+
+
 def test_a_search_that_was_cut_short_fits_only_what_is_absent(spark, train, tmp_path, monkeypatch):
     table = grid.ResultTable(spark, str(tmp_path / "whole"))
     whole = tuning.grid_search(train, trees=(2, 3), depths=(2, 4), k=2, results=table)
