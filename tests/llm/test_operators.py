@@ -105,6 +105,23 @@ def test_trie_links_match_all_pairs():
     assert components_of(range(60), ngram_join.trie_links(np.arange(60), sizes, sets)) == components_of(range(60), links)
 
 
+def test_classes_are_known_before_the_sets_and_sizes_come_without_a_join(docs, spark, monkeypatch):
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    counts = ngram_join.shared_counts(named)
+    sets = {i: shingles(t) for i, t, _ in ROWS if i is not None}
+    signed = {r.doc_id: (r.high, r.low, r.n) for r in counts.collect()}
+    assert all((sets[a] == sets[b]) == (signed[a] == signed[b]) for a in sets for b in sets)
+    table = ngram_join.shingle_table(named, counts).localCheckpoint()
+    ordered = ngram_join.ordered_sets(table)
+    assert "Join" not in ordered._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n for r in ordered.collect()}.items() <= {r.doc_id: r.n for r in table.collect()}.items()
+    found, shingles_of = [], ngram_join.shingles_of
+    monkeypatch.setattr(ngram_join, "shingles_of", lambda d, ids: found.append(shingles_of(d, ids)) or found[-1])
+    ngram_join.jaccard_components(named).collect()
+    rows = found[0].collect()
+    assert len({frozenset(sets[r.doc_id]) for r in rows}) == len(rows) > 0
+
+
 def test_large_clusters_are_split(docs, spark):
     sets = {i: shingles(t) for i, t, _ in ROWS}
     named = docs.where("doc_id is not null").select("doc_id", "text")

@@ -7,7 +7,8 @@ copies. A link needs four fifths of either set in the other, so the work narrows
    bucket. It tells how many shingles of a document occur elsewhere (a shingle met in two
    documents of one chunk is sent once, so a very common one costs one entry a chunk).
    Documents below four fifths have no partner. Cut hashes can only keep too many documents.
-2. ``shingle_table``: the others' sets with 64-bit hashes; equal sets become one class.
+   Equal sets, known by 128-bit signatures of their 64-bit hashes, become one class.
+2. ``shingle_table``: the set of the first document of each class, with 64-bit hashes.
 3. ``ordered_sets``: shingles in one global order, rare first, single ones left out but counted.
 4. ``clusters``: documents that share a shingle of their prefix (the part that cannot be missed
    altogether by a partner) and have compatible lengths are connected to clusters.
@@ -46,8 +47,16 @@ def _buckets(df: DataFrame, amount: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount // BUCKET_BYTES + 1)
 
 
-COUNTS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())])
-SHARED = "doc_id long, n long, shared long"
+COUNTS = pa.schema([(c, pa.int64()) for c in ("bucket", "doc_id", "n", "high", "low")] + [(c, pa.binary()) for c in ("docs", "sizes", "hashes")])
+SENT = "bucket long, doc_id long, n long, high long, low long, docs binary, sizes binary, hashes binary"
+SHARED = "doc_id long, n long, shared long, high long, low long"
+SALTS = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+def _signatures(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set's scrambled hashes; equal sets have equal ones."""
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mix(hashes ^ s)))) for s in SALTS]
+    return [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
 
 
 def _emit_shingles(buckets: int):
@@ -63,7 +72,8 @@ def _emit_shingles(buckets: int):
                 length = np.diff(starts)
                 many = np.repeat(length > 1, length)
                 local = np.bincount(doc[many], minlength=len(sizes))
-                yield arrays.batch(COUNTS, ids[rows] % buckets, ids[rows], sizes, [x.tobytes() for x in local.astype("<i8")], [None] * len(sizes), [None] * len(sizes))
+                none = [None] * len(sizes)
+                yield arrays.batch(COUNTS, ids[rows] % buckets, ids[rows], sizes, *_signatures(hashes, first), [x.tobytes() for x in local.astype("<i8")], none, none)
                 keep = starts[:-1]
                 h, doc = h[keep], np.where(length > 1, -1, doc[keep])
                 bucket = arrays.bucket_of(h, buckets)
@@ -81,7 +91,8 @@ def _emit_shingles(buckets: int):
                     out[2].append(lengths.astype("<u4").tobytes())
                     out[3].append((h[a:z] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
                 if out[0]:
-                    yield arrays.batch(COUNTS, out[0], [None] * len(out[0]), [None] * len(out[0]), out[1], out[2], out[3])
+                    none = [None] * len(out[0])
+                    yield arrays.batch(COUNTS, out[0], none, none, none, none, out[1], out[2], out[3])
 
     return task
 
@@ -90,7 +101,8 @@ def _count_shared(groups: int):
     def task(table: pa.Table) -> pa.Table:
         own = table.filter(pc.is_valid(table.column("doc_id")))
         rest = table.filter(pc.is_null(table.column("doc_id")))
-        ids, n, shared = [own.column("doc_id").to_numpy()], [own.column("n").to_numpy()], [arrays.packed(own.column("docs"), "<i8")]
+        numbers = {c: own.column(c).to_numpy() for c in ("n", "high", "low")}
+        dealt = [arrays.deal(own.column("doc_id").to_numpy(), {"shared": arrays.packed(own.column("docs"), "<i8")} | numbers, groups)]
         if len(rest):
             sizes = arrays.packed(rest.column("sizes"), "<u4")
             known, docs = [], []
@@ -105,52 +117,59 @@ def _count_shared(groups: int):
             again = np.repeat(length > 1, length)
             hit = order[again]
             found, count = np.unique(docs[hit[known[hit]]], return_counts=True)
-            ids.append(found), n.append(np.zeros(len(found), np.int64)), shared.append(count)
-        return arrays.deal(np.concatenate(ids), {"n": np.concatenate(n).astype("<i8"), "shared": np.concatenate(shared).astype("<i8")}, groups)
+            dealt.append(arrays.deal(found, {"shared": count.astype("<i8")}, groups))
+        return pa.concat_tables(dealt, promote_options="default")
 
     return task
 
 
 def _sum_by_document(table: pa.Table) -> pa.Table:
-    ids, starts, (n, shared) = arrays.gather(table, {"n": "<i8", "shared": "<i8"})
-    if not len(ids):
-        return pa.table({"doc_id": ids, "n": n, "shared": shared})
-    return pa.table({"doc_id": ids, "n": np.maximum.reduceat(n, starts[:-1]), "shared": np.add.reduceat(shared, starts[:-1])})
+    own = table.filter(pc.is_valid(table.column("n")))
+    ids, starts, (shared,) = arrays.gather(table, {"shared": "<i8"})
+    _, first, numbers = arrays.gather(own, {c: "<i8" for c in ("n", "high", "low")})
+    n, high, low = (x[first[:-1]] for x in numbers)
+    return pa.table({"doc_id": ids, "n": n, "shared": np.add.reduceat(shared, starts[:-1]) if len(ids) else shared, "high": high, "low": low})
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles) and shared (of these, how many another document may hold too)."""
+    """doc_id, n (distinct shingles), shared (of these, how many another document may hold too) and a 128-bit signature of the set."""
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = _buckets(docs, amount)
-    sent = docs.transform(arrays.in_batches, _emit_shingles(buckets), "bucket long, doc_id long, n long, docs binary, sizes binary, hashes binary")
-    found = sent.groupBy("bucket").applyInArrow(arrays.tidy(_count_shared(buckets)), "part long, docs binary, n binary, shared binary")
+    sent = docs.transform(arrays.in_batches, _emit_shingles(buckets), SENT)
+    found = sent.groupBy("bucket").applyInArrow(arrays.tidy(_count_shared(buckets)), "part long, docs binary, shared binary, n binary, high binary, low binary")
     return found.groupBy("part").applyInArrow(arrays.tidy(_sum_by_document), SHARED)
 
 
 def _sets(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("tokens", pa.binary())])
-    salts = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
     for b in batches:
         ids = b.column("doc_id").to_numpy(zero_copy_only=False)
         for rows, data, offsets in arrays.chunks(b):
             hashes, first = arrays.shingle_sets(data, offsets)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(arrays.mix(hashes ^ s)))) for s in salts]
-            high, low = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
-            yield arrays.batch(schema, ids[rows], np.diff(first), high, low, [hashes[a:z].astype("<u8").tobytes() for a, z in zip(first[:-1], first[1:], strict=True)])
+            yield arrays.batch(schema, ids[rows], np.diff(first), [hashes[a:z].astype("<u8").tobytes() for a, z in zip(first[:-1], first[1:], strict=True)])
+
+
+def able(counts: DataFrame) -> DataFrame:
+    """The documents that can have a partner."""
+    return counts.where("n > 0 and 100 * shared >= 80 * n")
 
 
 def shingle_table(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, n, 128-bit signature and sorted shingle hashes of documents that can have a partner."""
-    able = counts.where("n > 0 and 100 * shared >= 80 * n").select("doc_id")
-    return split_by_ids(docs, able)[0].join(able, "doc_id", "left_semi").transform(arrays.in_batches, _sets, "doc_id long, n long, high long, low long, tokens binary")
+    """doc_id, n and sorted shingle hashes of the documents of ``counts`` that can have a partner."""
+    return shingles_of(docs, able(counts).select("doc_id"))
+
+
+def shingles_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, n and sorted shingle hashes of the documents ``ids`` (doc_id, a staged table)."""
+    return split_by_ids(docs, ids)[0].join(ids, "doc_id", "left_semi").transform(arrays.in_batches, _sets, "doc_id long, n long, tokens binary")
 
 
 def _by_bucket(buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64())] + [(c, pa.binary()) for c in ("docs", "tokens", "own", "sizes")])
 
     def task(batches):
         for b in batches:
-            ids, sets = b.column("doc_id").to_numpy(), b.column("tokens").to_pylist()
+            ids, n, sets = b.column("doc_id").to_numpy(), b.column("n").to_numpy(), b.column("tokens").to_pylist()
             for first in range(0, len(sets), 512):
                 h = np.frombuffer(b"".join(sets[first : first + 512]), "<u8")
                 docs = np.repeat(ids[first : first + 512], [len(x) // 8 for x in sets[first : first + 512]])
@@ -158,13 +177,15 @@ def _by_bucket(buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 starts = arrays.runs(bucket[order])
                 cuts = list(zip(starts[:-1], starts[1:], strict=True))
-                yield arrays.batch(schema, [int(bucket[order[a]]) for a, _ in cuts], [docs[order[a:z]].tobytes() for a, z in cuts], [h[order[a:z]].tobytes() for a, z in cuts])
+                # the sizes of these sets go with one of the buckets
+                own, sizes = ([x[first : first + 512].tobytes()] + [None] * (len(cuts) - 1) for x in (ids, n))
+                yield arrays.batch(schema, [int(bucket[order[a]]) for a, _ in cuts], [docs[order[a:z]].tobytes() for a, z in cuts], [h[order[a:z]].tobytes() for a, z in cuts], own, sizes)
 
     return task
 
 
 def _frequencies(groups: int):
-    """Shingles held by two documents or more, with order keys: 12 bits of frequency, 52 of hash."""
+    """Shingles held by two documents or more, with order keys: 12 bits of frequency, 52 of hash; and the sizes that came along."""
 
     def task(table: pa.Table) -> pa.Table:
         docs, h = arrays.packed(table.column("docs"), "<i8"), arrays.packed(table.column("tokens"), "<u8")
@@ -174,33 +195,29 @@ def _frequencies(groups: int):
         order, df = order[df > 1], df[df > 1]
         rank = np.minimum(4095, (np.log2(df) * 64).astype(np.int64)).astype(np.uint64)
         keys = (rank << np.uint64(52)) | (h[order] >> np.uint64(12))
-        return arrays.deal(docs[order], {"keys": keys}, groups)
+        own, sizes = (arrays.packed(table.column(c), "<i8") for c in ("own", "sizes"))
+        return pa.concat_tables([arrays.deal(docs[order], {"keys": keys}, groups), arrays.deal(own, {"sizes": sizes}, groups)], promote_options="default")
 
     return task
 
 
 def _keys_by_document(table: pa.Table) -> pa.Table:
-    ids, starts, (keys,) = arrays.gather(table, {"keys": "<u8"})
-    return pa.table({"doc_id": ids, "keys": pa.array([np.sort(keys[a:z]).tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)], pa.binary())})
-
-
-def _with_prefix(batches):
     """One row per document: its shared shingles in global order and how many of them are prefix."""
-    for b in batches:
-        n, held = b.column("n").to_numpy(), pc.binary_length(b.column("keys")).to_numpy() // 8
-        prefix = n - (80 * n + 99) // 100 + 1 - (n - held)
-        rows = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(prefix), b.column("keys")], names=["doc_id", "n", "prefix", "keys"])
-        yield rows.filter(pa.array(prefix > 0))
+    ids, starts, (keys,) = arrays.gather(table.filter(pc.is_valid(table.column("keys"))), {"keys": "<u8"})
+    own, first, (sizes,) = arrays.gather(table.filter(pc.is_valid(table.column("sizes"))), {"sizes": "<i8"})
+    n, held = sizes[first[:-1]][np.searchsorted(own, ids)], np.diff(starts)
+    prefix = n - (80 * n + 99) // 100 + 1 - (n - held)
+    sets = pa.array([np.sort(keys[a:z]).tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+    return pa.table({"doc_id": ids, "n": n, "prefix": prefix, "keys": sets}).filter(pa.array(prefix > 0))
 
 
 def ordered_sets(sets: DataFrame) -> DataFrame:
     """doc_id, n, prefix, keys of documents of which a partner could share a prefix shingle."""
     amount = 8 * (sets.agg(F.sum("n")).first()[0] or 0)
     buckets = _buckets(sets, amount)
-    sent = sets.select("doc_id", "tokens").transform(arrays.in_batches, _by_bucket(buckets), "bucket long, docs binary, tokens binary")
-    found = sent.groupBy("bucket").applyInArrow(arrays.tidy(_frequencies(buckets)), "part long, docs binary, keys binary")
-    keys = found.groupBy("part").applyInArrow(arrays.tidy(_keys_by_document), "doc_id long, keys binary")
-    return keys.join(sets.select("doc_id", "n"), "doc_id").select("doc_id", "n", "keys").transform(arrays.in_batches, _with_prefix, "doc_id long, n long, prefix long, keys binary")
+    sent = sets.select("doc_id", "n", "tokens").transform(arrays.in_batches, _by_bucket(buckets), "bucket long, docs binary, tokens binary, own binary, sizes binary")
+    found = sent.groupBy("bucket").applyInArrow(arrays.tidy(_frequencies(buckets)), "part long, docs binary, keys binary, sizes binary")
+    return found.groupBy("part").applyInArrow(arrays.tidy(_keys_by_document), "doc_id long, n long, prefix long, keys binary")
 
 
 def _chains(token: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,11 +426,9 @@ def class_members(sets: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text), whose doc_ids are all different and not null."""
     counts = stage_table(shared_counts(docs), "shingle-counts")
-    sets = stage_table(shingle_table(docs, counts), "shingle-sets")
-    members = stage_table(class_members(sets.select("doc_id", "high", "low", "n")), "shingle-classes")
-    reps = members.where("doc_id = rep").select("doc_id")
-    firsts = split_by_ids(sets, reps)[0].join(reps, "doc_id", "left_semi")
-    ordered = stage_table(ordered_sets(firsts.select("doc_id", "n", "tokens")), "ordered-sets")
+    members = stage_table(class_members(able(counts).select("doc_id", "high", "low", "n")), "shingle-classes")
+    sets = stage_table(shingles_of(docs, members.where("doc_id = rep").select("doc_id")), "shingle-sets")
+    ordered = stage_table(ordered_sets(sets), "ordered-sets")
     remove_staged(sets)
     placed = cells(ordered, clusters(ordered))
     amount = 8 * (ordered.agg(F.sum(F.length("keys") / 8)).first()[0] or 0)
