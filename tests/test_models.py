@@ -194,6 +194,29 @@ def test_a_deep_forest_is_fitted_in_parts(spark, planted, tmp_path, monkeypatch)
     assert scored.bestModel.getNumTrees == 4
 
 
+def test_a_large_forest_predicts_in_parts(planted, monkeypatch):
+    table = models.assemble(planted)
+    estimator, test = models.default_forest(trees=7, depth=12), table.where("part = 'test'")
+    monkeypatch.setattr(models, "PART_ROWS", 0)  # fitted in parts too
+    laid_out = models.spread(table.where("part = 'train'"), "row_id", *models.span_of(estimator))
+    sent, found = [], []
+    one = RandomForestRegressionModel.transform
+    monkeypatch.setattr(RandomForestRegressionModel, "transform", lambda self, df: sent.append([t.numNodes for t in self.trees]) or one(self, df))
+    for bound in (1, 1_000, 1 << 18):
+        model = models.fit(estimator, laid_out)  # one that was not used before
+        sizes = [tree.numNodes for tree in model.trees]
+        monkeypatch.setattr(models, "PREDICT_NODES", bound)
+        sent.clear()
+        found.append(models.score(model, test))
+        assert [n for part in sent for n in part] == sizes
+        assert all(len(part) == 1 or sum(part) <= bound for part in sent) and (len(sent) > 1) == (bound < sum(sizes))
+    assert found[0].columns == found[1].columns == found[2].columns
+    rows = [{r.row_id: (r.prediction, r.residual) for r in scored.collect()} for scored in found]
+    assert rows[0].keys() == rows[1].keys() == rows[2].keys() and len(rows[2]) == test.count()
+    for i, whole in rows[2].items():
+        assert rows[0][i] == pytest.approx(whole) and rows[1][i] == pytest.approx(whole)
+
+
 def test_a_search_that_was_cut_short_fits_only_what_is_absent(spark, train, tmp_path, monkeypatch):
     table = grid.ResultTable(spark, str(tmp_path / "whole"))
     whole = tuning.grid_search(train, trees=(2, 3), depths=(2, 4), k=2, results=table)
