@@ -314,3 +314,11 @@ def test_predictions_out_of_fold(spark, planted):
     errors = {r.fold: r for r in tuning.fold_errors(scored).collect()}
     assert [errors[f].rows for f in range(3)] == [b - a for a, b in (splits.fold_bounds(n, 3, f) for f in range(3))]
     assert all(0 < e.mae <= e.rmse for e in errors.values())
+
+
+@pytest.mark.parametrize(("n", "boosting", "forest"), [(80_000, 10, 10), (1 << 18, 32, 32), (4_800_000, 19, 74), (28_800_000, 28, 110)])
+def test_boosting_has_fewer_spans_than_a_forest(spark, n, boosting, forest):
+    ends = spark.createDataFrame([(0,), (n - 1,)], "idx bigint")
+    laid = [models.spread(ends, "idx", *models.span_of(e)) for e in (models.boosted_trees(), models.tuned_forest())]
+    assert [rows.rdd.getNumPartitions() for rows in laid] == [boosting, forest]
+    assert sorted(r.idx for r in laid[0].collect()) == [0, n - 1]

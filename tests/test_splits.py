@@ -86,3 +86,10 @@ def test_spans_of_a_fit_grow_before_their_number_does(spark, n, spans):
     laid = splits.by_spans(ends, "idx", n)
     assert laid.rdd.getNumPartitions() == spans
     assert sorted(r.idx for r in laid.collect()) == sorted(r.idx for r in ends.collect())
+
+
+def test_spans_of_a_fit_can_be_fewer(spark):
+    ends = spark.createDataFrame([(0,), (4_799_999,)], "idx bigint")
+    laid = splits.by_spans(ends, "idx", 4_800_000, spans=32)
+    assert laid.rdd.getNumPartitions() == 19
+    assert sorted(r.idx for r in laid.collect()) == [0, 4_799_999]
