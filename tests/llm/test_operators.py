@@ -731,3 +731,12 @@ def test_notices_and_inheritance(spark):
     assert got[None] == [("MIT", "inherited", "p")] == got[107]
     assert got[108] == [("ISC", "own", None)]  # a tie goes to the template first in order
     assert licenses.scan(docs.where("false")).collect() == []
+
+
+def test_license_files_are_weighed_once_for_all_templates(spark):
+    files = spark.createDataFrame([(1, "a/LICENSE", "MIT License"), (2, "a/b.txt", "nothing"), (3, None, None)], "doc_id long, path string, text string")
+    found = licenses.own_licenses(files)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # within the function over the templates the known words would be looked up for each of them
+    assert "aggregate(filter(whole#" not in plan and plan.count("filter(whole#") == 1
+    assert {r.doc_id: r.best and (r.best.license, r.best.score) for r in found.collect()} == {1: ("MIT", 1.0), 2: None, 3: None}

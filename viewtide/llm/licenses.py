@@ -133,9 +133,9 @@ def _templates() -> Column:
     ])
 
 
-def _score(words: Column, length: Column, template: Column) -> Column:
-    """Struct (score, place, license): the cosine of sorted words of that vector length to a template."""
-    product = F.aggregate(_known(words), F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(template["v"], w), F.lit(0.0)))
+def _score(known: Column, length: Column, template: Column) -> Column:
+    """Struct (score, place, license): the cosine of a unit's sorted words, of which ``known`` are in templates, of that vector length to a template."""
+    product = F.aggregate(known, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(template["v"], w), F.lit(0.0)))
     return F.struct(F.round(product / length, 9).alias("score"), template["place"].alias("place"), template["license"].alias("license"))
 
 
@@ -155,13 +155,14 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def units(hit: Column) -> Column:
         cut = F.transform(F.filter(_templates(), lambda t: t["anchor"] == hit["w"]), lambda t: F.struct(t.alias("t"), window(t, hit["i"]).alias("words")))
-        return F.transform(cut, lambda u: _score(u["words"], _length(u["words"]), u["t"]))
+        return F.transform(cut, lambda u: _score(_known(u["words"]), _length(u["words"]), u["t"]))
 
     placed = able.withColumn("hits", hits)
     whole = F.when(named & (F.size("words") > 0), F.sort_array("words"))
     scored = placed.select("doc_id", "path", F.flatten(F.transform("hits", units)).alias("units"), whole.alias("whole"))
-    scored = scored.withColumn("length", _length(F.col("whole")))
-    files_too = F.when(F.col("whole").isNotNull(), F.transform(_templates(), lambda t: _score(F.col("whole"), F.col("length"), t)))
+    # the outer function holds both values for all templates; as columns the planner would put them into the inner one
+    once = F.array(F.struct(_known(F.col("whole")).alias("known"), _length(F.col("whole")).alias("length")))
+    files_too = F.when(F.col("whole").isNotNull(), F.flatten(F.transform(once, lambda u: F.transform(_templates(), lambda t: _score(u["known"], u["length"], t)))))
     both = F.concat(F.coalesce("units", F.array().cast(UNITS)), F.coalesce(files_too, F.array().cast(UNITS)))
     best = scored.select("doc_id", "path", F.array_max(both).alias("best"))
     return best.select("doc_id", "path", F.when(F.col("best.score") >= threshold, F.col("best")).alias("best"))
